@@ -44,7 +44,7 @@ def components(
     while seen[0]:
         # every larger neighbour of a node points to the node's smallest neighbour
         both = e.select(*keys, "u", "v").union(e.select(*keys, F.col("v"), F.col("u")))
-        low = both.groupBy(*keys, "u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        low = both.groupBy(*keys, "u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = (
             both.where("v > u")
             .join(low, [*keys, "u"])

@@ -42,14 +42,11 @@ def box_pairs(
     size: float,
     margin: float = 0.0,
     where: Column | None = None,
-    how: str = "inner",
 ) -> DataFrame:
     """Pairs of boxes that come within ``margin`` on both axes.
 
     Columns other than ``keys`` get the prefixes ``a_`` and ``b_``; ``where``
     is a further condition on those names. Both sides carry x1, y1, x2, y2.
-    ``how`` may be inner, left_semi or left_anti; the last two compare against
-    the matching left rows by their full row, so ids make rows distinct.
     """
     a = cells(prefixed(left, "a_", keys), size, margin, [f"a_{c}" for c in BOX])
     b = cells(prefixed(right, "b_", keys), size, 0.0, [f"b_{c}" for c in BOX])
@@ -64,12 +61,7 @@ def box_pairs(
         F.col("__cx") == _cell(F.greatest(F.col("a_x1") - margin, F.col("b_x1")), size)
     ) & (F.col("__cy") == _cell(F.greatest(F.col("a_y1") - margin, F.col("b_y1")), size))
     test = near & owner if where is None else near & owner & where
-    pairs = a.join(b, on).where(test).drop("__cx", "__cy")
-    if how == "inner":
-        return pairs
-    ids = [c for c in pairs.columns if c in keys or c.startswith("a_")]
-    hits = pairs.select(*ids).select(*[F.col(c).alias(c.removeprefix("a_")) for c in ids])
-    return left.join(hits, [c for c in left.columns], how)
+    return a.join(b, on).where(test).drop("__cx", "__cy")
 
 
 def _key_hits(pairs: DataFrame, keys: Sequence[str], ids: Sequence[str]) -> DataFrame:
