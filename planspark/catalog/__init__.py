@@ -11,6 +11,8 @@ MODULES = (
     "texts",
     "tasklog",
     "corpora",
+    "doors",
+    "detections",
 )
 
 

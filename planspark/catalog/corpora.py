@@ -51,7 +51,7 @@ def sample_n(spark, d):
     return S.sample_n(table(spark, d, "documents").select("doc_id"), "doc_id", 200, 7)
 
 
-_SHAPES = """WITH s AS (SELECT l_orderkey AS image, l_linenumber * 1000000000 + l_partkey AS shape_no,
+_SHAPES = """WITH s AS (SELECT l_orderkey AS image, l_linenumber * 1000000000000 + l_partkey * 1000000 + l_suppkey AS shape_no,
   CASE l_suppkey % 3 WHEN 0 THEN 'Delete' WHEN 1 THEN 'WallArea1' ELSE 'Door' END AS label FROM lineitem),
   k AS (SELECT image, count(*) AS shapes, arg_max(label, shape_no) AS last_label FROM s GROUP BY 1) """
 
@@ -59,7 +59,7 @@ _SHAPES = """WITH s AS (SELECT l_orderkey AS image, l_linenumber * 1000000000 +
 def _shapes(spark, d):
     return table(spark, d, "lineitem").select(
         F.col("l_orderkey").alias("image"),
-        F.expr("l_linenumber * 1000000000L + l_partkey").alias("shape_no"),
+        F.expr("l_linenumber * 1000000000000L + l_partkey * 1000000L + l_suppkey").alias("shape_no"),
         F.expr("CASE l_suppkey % 3 WHEN 0 THEN 'Delete' WHEN 1 THEN 'WallArea1' ELSE 'Door' END").alias("label"),
     )
 
