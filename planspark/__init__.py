@@ -3,7 +3,3 @@
 Every operator takes and returns DataFrames keyed by drawing (``dwg_id``) or
 image, so a corpus of drawings is one Spark job.
 """
-
-from planspark.session import cut, session
-
-__all__ = ["cut", "session"]

@@ -13,6 +13,7 @@ MODULES = (
     "corpora",
     "doors",
     "detections",
+    "lines",
 )
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -193,28 +192,6 @@ def reach_groups(rects: DataFrame, keys: Sequence[str], gap: int, cell: float =
     return home.select(*keys, F.col("a_id").alias("id"), F.col("b_id").alias("grp"))
 
 
-def _grow_in_order(box: np.ndarray, gap: int) -> list[np.ndarray]:
-    """Growing doors of one small group, rows in order (helper inside a task)."""
-    free = np.ones(len(box), dtype=bool)
-    doors = []
-    for i in range(len(box)):
-        if not free[i]:
-            continue
-        free[i], grown, merged = False, box[i].copy(), False
-        while True:
-            near = (np.maximum(grown[:2], box[:, :2]) - np.minimum(grown[2:], box[:, 2:]) <= gap).all(axis=1)
-            same = (box[:, [0, 2]] == grown[[0, 2]]).all(axis=1) | (box[:, [1, 3]] == grown[[1, 3]]).all(axis=1)
-            hits = np.flatnonzero(free & near & ~same)
-            if not hits.size:
-                break
-            j, merged = hits[0], True
-            free[j] = False
-            grown = np.concatenate([np.minimum(grown[:2], box[j, :2]), np.maximum(grown[2:], box[j, 2:])])
-        if merged:
-            doors.append(np.concatenate([[i], grown]))
-    return doors
-
-
 def _grow_by_rounds(rows: DataFrame, keys: Sequence[str], gap: int) -> DataFrame:
     """The same growth for groups too large for one task: one step per group and round."""
     keys = list(keys)
@@ -255,26 +232,46 @@ def slide_door_merge(rects: DataFrame, keys: Sequence[str], gap: int = SLIDE_GAP
     within the size bound is grown inside one task, a larger one by rounds.
     """
     keys = list(keys)
+    rects = rects.withColumns({c: F.col(c).cast("long") for c in ("id", *BOX)})
     grouped = rects.join(reach_groups(rects, keys, gap), [*keys, "id"])
     sizes = grouped.groupBy(*keys, "grp").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
     sized = cut(grouped.join(sizes, [*keys, "grp"]))
     bound = setting(rects, FOLD_KEY, FOLD_ROWS)
     small = sized.where(F.col("__n") <= bound)
-    types = {f.name: f.dataType.simpleString() for f in rects.schema}
-    names = [*keys, "id", "x1", "y1", "x2", "y2"]
-    schema = ", ".join(f"{n} {types[n]}" for n in names)
-
-    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id", ignore_index=True)
-        doors = _grow_in_order(pdf[["x1", "y1", "x2", "y2"]].to_numpy(), gap)
-        if not doors:
-            return pdf[names].iloc[:0]
-        table = np.stack(doors)
-        out = pdf.loc[table[:, 0].astype(int), [*keys, "id"]].reset_index(drop=True)
-        out[["x1", "y1", "x2", "y2"]] = table[:, 1:]
-        return out[names]
-
-    doors = small.groupBy(*keys, "grp").applyInPandas(grow, schema)
+    row = F.array("id", "x1", "y1", "x2", "y2")
+    lists = small.groupBy(*keys, "grp").agg(F.sort_array(F.collect_list(row)).alias("rows"))
+
+    @F.pandas_udf("array<array<bigint>>")
+    def grow(groups: pd.Series) -> pd.Series:
+        import numpy as np
+        import pandas as pd
+
+        def doors_of(rows):
+            table = np.stack(rows)
+            box, free, doors = table[:, 1:], np.ones(len(table), dtype=bool), []
+            for i in range(len(box)):
+                if not free[i]:
+                    continue
+                free[i], door, alone = False, box[i], True
+                while True:
+                    near = (np.maximum(door[:2], box[:, :2]) - np.minimum(door[2:], box[:, 2:]) <= gap).all(axis=1)
+                    equal = box == door
+                    twin = equal[:, [0, 2]].all(axis=1) | equal[:, [1, 3]].all(axis=1)
+                    hits = np.flatnonzero(free & near & ~twin)
+                    if not hits.size:
+                        break
+                    mate = box[hits[0]]
+                    alone, free[hits[0]] = False, False
+                    door = np.concatenate([np.minimum(door[:2], mate[:2]), np.maximum(door[2:], mate[2:])])
+                if not alone:
+                    doors.append(np.concatenate([table[i, :1], door]).tolist())
+            return doors
+
+        return pd.Series([doors_of(rows) for rows in groups])
+
+    door = F.explode(grow("rows")).alias("door")
+    names = ("id", "x1", "y1", "x2", "y2")
+    doors = lists.select(*keys, door).select(*keys, *[F.get("door", F.lit(k)).alias(n) for k, n in enumerate(names)])
     large = sized.where(F.col("__n") > bound)
     if large.isEmpty():
         return doors

@@ -62,26 +62,29 @@ def close_boxes(rects: DataFrame, keys: Sequence[str], gap: float | None = None,
         gx, gy = G.axis_gaps(A, B)
         meet = (gx <= gap) & (gy <= gap)
         margin = gap
-    count, turn = -1, 0
+    boxes, turn = boxes.withColumn("moved", F.lit(True)), 0
     while True:
         spot = F.when(inner, F.struct(px.alias("a"), py.alias("b"), F.lit(None).cast("long").alias("c"))).otherwise(
             F.struct(F.lit(None).cast("long").alias("a"), F.lit(None).cast("long").alias("b"), F.col("id").alias("c"))
         )
-        crowd = boxes.groupBy(*keys, spot.alias("spot")).agg(*_bounds(), F.min("id").alias("id"))
-        state = cut(crowd.select(*keys, "id", *BOX))
-        left = state.count()
-        if left == count:
-            return state
-        count, turn = left, turn + 1
-        draw = F.xxhash64(F.col("b_id"), F.lit(turn))
-        near = box_pairs(state, state, keys, cell, margin, where=(F.col("a_id") != F.col("b_id")) & meet)
-        hook = near.groupBy(*keys, F.col("a_id").alias("id")).agg(F.min(F.struct(draw.alias("h"), F.col("b_id").alias("b"))).alias("m"))
+        moved = F.max("moved") | (F.count(F.lit(1)) > 1)
+        crowd = boxes.groupBy(*keys, spot.alias("spot")).agg(*_bounds(), F.min("id").alias("id"), moved.alias("moved"))
+        state = cut(crowd.select(*keys, "id", *BOX, "moved"))
+        fresh = state.where("moved")
+        if fresh.isEmpty():
+            return state.drop("moved")
+        # boxes that stayed as they were cannot meet: one side of a pair is fresh
+        turn += 1
+        near = box_pairs(fresh, state, keys, cell, margin, where=(F.col("a_id") != F.col("b_id")) & meet)
+        both = near.select(*keys, F.explode(F.array(F.struct("a_id", "b_id"), F.struct(F.col("b_id").alias("a_id"), F.col("a_id").alias("b_id")))).alias("p"))
+        draw = F.struct(F.xxhash64(F.col("p.b_id"), F.lit(turn)).alias("h"), F.col("p.b_id").alias("b"))
+        hook = both.groupBy(*keys, F.col("p.a_id").alias("id")).agg(F.min(draw).alias("m"))
         own = F.xxhash64(F.col("id"), F.lit(turn))
         head = F.when(F.col("m.h") < own, F.col("m.b")).otherwise(F.col("id"))
-        boxes = (
-            state.join(hook, [*keys, "id"], "left").groupBy(*keys, head.alias("head")).agg(*_bounds(), F.min("id").alias("id"))
-            .select(*keys, "id", *BOX)
-        )
+        hooked = state.join(hook, [*keys, "id"], "left").withColumn("head", head)
+        boxes = hooked.groupBy(*keys, "head").agg(
+            *_bounds(), F.min("id").alias("__id"), (F.max(F.col("head") != F.col("id")) | (F.count(F.lit(1)) > 1)).alias("moved")
+        ).select(*keys, F.col("__id").alias("id"), *BOX, "moved")
 
 
 def merge_overlapping(rects: DataFrame, keys: Sequence[str], cell: float = 64) -> DataFrame:
