@@ -14,6 +14,7 @@ MODULES = (
     "doors",
     "detections",
     "lines",
+    "plans",
 )
 
 

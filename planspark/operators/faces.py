@@ -74,29 +74,78 @@ def planar_faces(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
     return cut(face_edges(prune(edges, keys), keys))
 
 
-def in_face_points(points: DataFrame, directed: DataFrame, keys: Sequence[str], cell: float = 64) -> DataFrame:
-    """Points strictly inside faces: (keys, point columns, face).
+def points_in_rings(points: DataFrame, edges: DataFrame, keys: Sequence[str], owner: str, cell: float = 64, border: bool = False) -> DataFrame:
+    """Points inside rings given as edges: (keys, point columns, owner).
 
-    A ray to the right is counted per face from (point, edge) pairs, so
-    neither a large face nor a crowded drawing sits in one row or task.
+    A ray to the right is counted per ring from (point, edge) pairs, so
+    neither a large ring nor a crowded drawing sits in one row or task. The
+    boundary counts only with ``border``.
     """
     keys = list(keys)
-    area = face_table(directed, keys).where("area > 0").select(*keys, "face", *SEG)
+    low, high = F.min(F.least("x1", "x2")), F.max(F.greatest("x1", "x2"))
+    area = edges.groupBy(*keys, owner).agg(
+        low.alias("x1"), F.min(F.least("y1", "y2")).alias("y1"), high.alias("x2"), F.max(F.greatest("y1", "y2")).alias("y2")
+    )
     near = box_pairs(point_box(points), area, keys, cell)
     rest = [c for c in points.columns if c not in keys]
-    cand = near.select(*keys, *[F.col(f"a_{c}").alias(c) for c in rest], F.col("b_face").alias("face"))
-    walls = directed.select(*keys, "face", *SEG)
-    pairs = cand.join(walls, [*keys, "face"])
+    cand = near.select(*keys, *[F.col(f"a_{c}").alias(c) for c in rest], F.col(f"b_{owner}").alias(owner))
+    pairs = cand.join(edges.select(*keys, owner, *[F.col(c).alias(f"e_{c}") for c in SEG]), [*keys, owner])
     x, y = F.col("x"), F.col("y")
-    rise = F.col("y2") - F.col("y1")
-    side = F.col("x1") + (y - F.col("y1")) * (F.col("x2") - F.col("x1")) / F.when(rise != 0, rise)
-    crosses = ((F.col("y1") > y) != (F.col("y2") > y)) & (x < side)
-    cross = (F.col("x2") - F.col("x1")) * (y - F.col("y1")) - rise * (x - F.col("x1"))
-    on = (cross == 0) & x.between(F.least("x1", "x2"), F.greatest("x1", "x2")) & y.between(F.least("y1", "y2"), F.greatest("y1", "y2"))
-    tested = pairs.groupBy(*keys, *rest, "face").agg(
-        (F.count_if(crosses) % 2).alias("odd"), F.count_if(on).alias("on")
+    ex1, ey1, ex2, ey2 = G.cols("e_x1 e_y1 e_x2 e_y2")
+    rise = ey2 - ey1
+    side = ex1 + (y - ey1) * (ex2 - ex1) / F.when(rise != 0, rise)
+    crosses = ((ey1 > y) != (ey2 > y)) & (x < side)
+    cross = (ex2 - ex1) * (y - ey1) - rise * (x - ex1)
+    on = (cross == 0) & x.between(F.least(ex1, ex2), F.greatest(ex1, ex2)) & y.between(F.least(ey1, ey2), F.greatest(ey1, ey2))
+    tested = pairs.groupBy(*keys, *rest, owner).agg((F.count_if(crosses) % 2).alias("__odd"), F.count_if(on).alias("__on"))
+    inside = (F.col("__odd") == 1) | (F.col("__on") > 0) if border else (F.col("__odd") == 1) & (F.col("__on") == 0)
+    return tested.where(inside).drop("__odd", "__on")
+
+
+def in_face_points(points: DataFrame, directed: DataFrame, keys: Sequence[str], cell: float = 64) -> DataFrame:
+    """Points strictly inside faces (outer borders left out)."""
+    keys = list(keys)
+    faces = face_table(directed, keys).where("area > 0").select(*keys, "face")
+    return points_in_rings(points, directed.join(faces, [*keys, "face"], "left_semi"), keys, "face", cell)
+
+
+def hole_sums(directed: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, face, hole_area, hole_length): outer borders lying in a face, given to the smallest such face."""
+    keys = list(keys)
+    table = face_table(directed, keys)
+    outer = table.where("area < 0").select(
+        *keys, F.col("face").alias("hole"), "area", "perimeter", F.col("face.x1").alias("x"), F.col("face.y1").alias("y")
+    )
+    inside = in_face_points(outer, directed, keys)
+    size = table.select(*keys, "face", F.col("area").alias("face_area"))
+    home = inside.join(size, [*keys, "face"]).groupBy(*keys, "hole").agg(
+        F.min_by("face", "face_area").alias("face"), F.first("area").alias("area"), F.first("perimeter").alias("perimeter")
     )
-    return tested.where("odd = 1 AND on = 0").drop("odd", "on")
+    return home.groupBy(*keys, "face").agg(F.sum(-F.col("area")).alias("hole_area"), F.sum("perimeter").alias("hole_length"))
+
+
+def block_rings(directed: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Closed walks cut at repeated vertices: (keys, block, pos, x1..y2).
+
+    Between two visits of a vertex the walk is a closed loop, and loops are
+    nested, never crossed. So the edge that arrives for a visit is linked to
+    the one that left at the visit before; the cycles of the new links are
+    the loops.
+    """
+    keys = list(keys)
+    walk = [*keys, "face"]
+    node = [*walk, "x1", "y1"]
+    visits = ranked(directed.select(*walk, "pos", *SEG), node, [F.col("pos")], "visit")
+    size = directed.groupBy(*walk).agg(F.count(F.lit(1)).alias("n"))
+    fan = visits.groupBy(*node).agg(F.max("visit").alias("visits"))
+    left = visits.join(fan, node).join(size, walk)
+    leave = left.select(*node, F.col("visit"), F.struct(*SEG).alias("nxt"))
+    before = F.when(F.col("visit") == 1, F.col("visits")).otherwise(F.col("visit") - 1)
+    arrive = left.select(*node, F.pmod(F.col("pos") - 1, F.col("n")).alias("pos"), before.alias("visit"))
+    edge = directed.select(*walk, "pos", F.struct(*SEG).alias("id"))
+    links = arrive.join(leave, [*node, "visit"]).join(edge, [*walk, "pos"]).select(*walk, "id", "nxt")
+    loops = cycle_labels(links, walk)
+    return loops.select(*keys, F.struct("face", "cycle").alias("block"), "pos", "id.*")
 
 
 def inner_points(directed: DataFrame, keys: Sequence[str]) -> DataFrame:

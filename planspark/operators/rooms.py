@@ -8,8 +8,293 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from planspark.functions import dictionaries as D
+from planspark.functions import geometry as G
+from planspark.functions import text as T
+from planspark.operators import faces as P
+from planspark.operators import rects as R
+from planspark.operators import segments as S
+from planspark.operators.ordering import ranked
+from planspark.operators.spatial import BOX, box_pairs, box_semi
+from planspark.session import cut
+
 
 def structure_union(layers: Mapping[str, DataFrame], columns: Sequence[str]) -> DataFrame:
     """Doors, windows, balconies and walls as one layer with a ``kind`` column."""
     parts = [df.select(F.lit(kind).alias("kind"), *columns) for kind, df in layers.items()]
     return reduce(DataFrame.unionByName, parts)
+
+
+# Smallest wall polygon in square pixels, units per square metre and metre.
+WALL_MIN_AREA = 30
+PX2_PER_M2, PX_PER_M = 1e4, 1e2
+
+
+def ring_edge_table(rings: DataFrame, keys: Sequence[str], owner: str, ring: str = "ring") -> DataFrame:
+    return rings.select(*keys, owner, F.inline(G.ring_edges(F.col(ring))))
+
+
+def unlabelled_faces(directed: DataFrame, rings: DataFrame, keys: Sequence[str], owner: str = "poly_id") -> DataFrame:
+    """(keys, face) of the faces that no polygon covers.
+
+    The edge set holds every polygon border, so a face lies wholly inside or
+    wholly outside a polygon and one inner point decides.
+    """
+    keys = list(keys)
+    positive = P.face_table(directed, keys).where("area > 0").select(*keys, "face")
+    spots = P.inner_points(directed.join(positive, [*keys, "face"], "left_semi"), keys)
+    covered = P.points_in_rings(spots, ring_edge_table(rings, keys, owner), keys, owner)
+    return positive.join(covered.select(*keys, "face"), [*keys, "face"], "left_anti")
+
+
+def label_rooms(labels: DataFrame, faces: DataFrame, keys: Sequence[str], owner: str = "face") -> DataFrame:
+    """One row per (room, label, function) for labels strictly inside rooms.
+
+    ``labels`` has keys, id, text, x, y; rows without a position are no labels
+    of any room.
+    """
+    placed = labels.where("x IS NOT NULL AND y IS NOT NULL").select(*keys, "id", "text", "x", "y")
+    inside = P.points_in_rings(placed, faces, keys, owner)
+    return inside.select(
+        *keys, owner, "id", "text", F.explode(T.room_functions(F.col("text"))).alias("function")
+    )
+
+
+def room_functions(labelled: DataFrame, rooms: DataFrame, keys: Sequence[str], owner: str = "face") -> DataFrame:
+    """Rooms with their distinct functions in label order; ``default`` without any.
+
+    There are at most as many functions as dictionary classes, so the list
+    per room is short however many labels a room has.
+    """
+    room = [*keys, owner]
+    first = labelled.groupBy(*room, "function").agg(F.min("id").alias("at"))
+    lists = first.groupBy(*room).agg(F.sort_array(F.collect_list(F.struct("at", "function"))).alias("f"))
+    names = F.transform("f", lambda p: p["function"])
+    return rooms.join(lists, room, "left").withColumn(
+        "function", F.coalesce(names, F.array(F.lit(D.ROOM_DEFAULT)))
+    ).drop("f")
+
+
+def rooms(rings: DataFrame, labels: DataFrame, keys: Sequence[str], owner: str = "poly_id") -> DataFrame:
+    """Rooms of each drawing: room_id, area in square metres, perimeter in metres, function, face.
+
+    ``rings`` is the structure layer (doors, windows, balconies, walls) with a
+    ring per polygon. Holes are taken off the area and added to the length.
+    """
+    keys = list(keys)
+    directed = P.planar_faces(P.node_boundaries(rings, keys), keys)
+    free = cut(unlabelled_faces(directed, rings, keys, owner))
+    table = P.face_table(directed, keys).join(free, [*keys, "face"], "left_semi")
+    holes = P.hole_sums(directed, keys)
+    sized = table.join(holes, [*keys, "face"], "left").fillna(0, ["hole_area", "hole_length"])
+    sized = sized.select(
+        *keys, "face",
+        ((F.col("area") - F.col("hole_area")) / PX2_PER_M2).alias("area"),
+        ((F.col("perimeter") + F.col("hole_length")) / PX_PER_M).alias("perimeter"),
+    )
+    borders = directed.join(free, [*keys, "face"], "left_semi")
+    named = room_functions(label_rooms(labels, borders, keys), sized, keys)
+    return ranked(cut(named), keys, [F.col("face")], "room_id")
+
+
+def wall_outlines(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Outer borders of the wall blocks: (keys, block, pos, x1..y2), nested ones left out.
+
+    Lines are merged and split, open ends bridged, dead ends removed. The
+    true outer border of every block is returned.
+    """
+    keys = list(keys)
+    split = S.split_all(S.merge_collinear(lines, keys), keys)
+    bridged = split.unionByName(S.leaf_bridges(split, keys))
+    directed = P.planar_faces(S.split_all(bridged, keys), keys)
+    outer = P.face_table(directed, keys).where("area < 0").select(*keys, "face")
+    blocks = cut(P.block_rings(directed.join(outer, [*keys, "face"], "left_semi"), keys))
+    sizes = blocks.groupBy(*keys, "block").agg(F.count(F.lit(1)).alias("n")).where("n > 3")
+    kept = cut(blocks.join(sizes.select(*keys, "block"), [*keys, "block"], "left_semi"))
+    spot = kept.groupBy(*keys, "block").agg(F.min(F.struct("x1", "y1")).alias("p")).select(
+        *keys, F.col("block").alias("inner"), F.col("p.x1").alias("x"), F.col("p.y1").alias("y")
+    )
+    nested = P.points_in_rings(spot, kept, keys, "block").where("inner <> block")
+    return kept.join(nested.select(*keys, F.col("inner").alias("block")), [*keys, "block"], "left_anti")
+
+
+def drop_contained_rings(rings: DataFrame, keys: Sequence[str], owner: str = "id", cell: float = 128) -> DataFrame:
+    """(keys, owner) of the polygons that lie in no other one; of equal ones the first stays.
+
+    A polygon lies in another when all its corners and edge middles do and no
+    edges cross.
+    """
+    keys = list(keys)
+    box = rings.select(*keys, owner, *[c.alias(n) for n, c in G.ring_bounds(F.col("ring")).items()], G.ring_area(F.col("ring")).alias("size"))
+    order = (F.col("a_size") < F.col("b_size")) | ((F.col("a_size") == F.col("b_size")) & (F.col(f"a_{owner}") > F.col(f"b_{owner}")))
+    cand = box_pairs(box, box, keys, cell, where=order & G.rect_inside(R.A, R.B)).select(
+        *keys, F.col(f"a_{owner}").alias("a"), F.col(f"b_{owner}").alias("b")
+    )
+    ring_a = rings.select(*keys, F.col(owner).alias("a"), F.col("ring").alias("ra"))
+    ring_b = rings.select(*keys, F.col(owner).alias("b"), F.col("ring").alias("rb"))
+    both = cand.join(ring_a, [*keys, "a"]).join(ring_b, [*keys, "b"])
+    ea, eb = G.ring_edges(F.col("ra")), G.ring_edges(F.col("rb"))
+    within = lambda x, y: G.point_in_ring(F.col("rb"), x, y) | (G.boundary_distance(F.col("rb"), x, y) == 0)
+    corners = F.forall("ra", lambda p: within(p["x"], p["y"]))
+    middles = F.forall(ea, lambda e: within((e["x1"] + e["x2"]) / 2, (e["y1"] + e["y2"]) / 2))
+
+    def cross(e, x, y):
+        return (e["x2"] - e["x1"]) * (y - e["y1"]) - (e["y2"] - e["y1"]) * (x - e["x1"])
+
+    def proper(e, f):
+        return (cross(e, f["x1"], f["y1"]) * cross(e, f["x2"], f["y2"]) < 0) & (cross(f, e["x1"], e["y1"]) * cross(f, e["x2"], e["y2"]) < 0)
+
+    crossing = F.exists(ea, lambda e: F.exists(eb, lambda f: proper(e, f)))
+    inner = both.where(corners & middles & ~crossing).select(*keys, F.col("a").alias(owner))
+    return rings.select(*keys, owner).join(inner, [*keys, owner], "left_anti")
+
+
+def nearest_label(points: DataFrame, labels: DataFrame, keys: Sequence[str], id: str = "pid") -> DataFrame:
+    """Each point with the nearest label of its room (``keys``); ties go to the smaller label id."""
+    keys = list(keys)
+    lab = labels.select(*keys, F.col("id").alias("label_id"), F.col("x").alias("lx"), F.col("y").alias("ly"))
+    d2 = F.pow(F.col("x") - F.col("lx"), F.lit(2)) + F.pow(F.col("y") - F.col("ly"), F.lit(2))
+    rest = [c for c in points.columns if c not in keys]
+    return points.join(lab, keys).groupBy(*keys, *rest).agg(F.min_by("label_id", F.struct(d2, "label_id")).alias("label_id"))
+
+
+def label_grid_split(rings: DataFrame, labels: DataFrame, keys: Sequence[str], grid: int = 2) -> DataFrame:
+    """Share a room among its labels by nearest distance on a grid: (keys, label_id, cells, area).
+
+    ``keys`` name one room; the area is in square metres.
+    """
+    keys = list(keys)
+    b = G.ring_bounds(F.col("ring"))
+    first, last = (lambda c: F.ceil(c / grid).cast("long")), (lambda c: F.floor(c / grid).cast("long"))
+    columns = rings.select(*keys, "ring", F.explode(F.sequence(first(b["x1"]), last(b["x2"]))).alias("gx"))
+    cells = columns.select(*keys, "ring", (F.col("gx") * grid).alias("x"), F.explode(F.sequence(first(b["y1"]), last(b["y2"]))).alias("gy"))
+    cells = cells.withColumn("y", F.col("gy") * grid).where(G.point_in_ring(F.col("ring"), F.col("x"), F.col("y")))
+    owned = nearest_label(cells.select(*keys, "x", "y"), labels, keys)
+    return owned.groupBy(*keys, "label_id").agg(
+        F.count(F.lit(1)).alias("cells"), (F.count(F.lit(1)) * grid * grid / PX2_PER_M2).alias("area")
+    )
+
+
+def label_guillotine_split(rings: DataFrame, labels: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Cut a room along x and y of every label and give each piece to the label nearest its centroid.
+
+    Returns (keys, label_id, pieces, area). ``keys`` name one room.
+    """
+    keys = list(keys)
+    b = rings.select(*keys, *[c.alias(n) for n, c in G.ring_bounds(F.col("ring")).items()])
+    at = labels.select(*keys, F.col("x").alias("lx"), F.col("y").alias("ly")).join(b, keys)
+    down = at.where("lx > x1 AND lx < x2").select(*keys, F.col("lx").alias("x1"), "y1", F.col("lx").alias("x2"), "y2")
+    across = at.where("ly > y1 AND ly < y2").select(*keys, "x1", F.col("ly").alias("y1"), "x2", F.col("ly").alias("y2"))
+    walls = rings.select(*keys, F.inline(G.ring_edges(F.col("ring")))).drop("i")
+    lines = walls.unionByName(down).unionByName(across).select(*keys, *[F.rint(c).cast("long").alias(c) for c in S.SEG])
+    directed = P.planar_faces(S.split_all(S.merge_collinear(lines, keys), keys), keys)
+    table = P.face_table(directed, keys).where("area > 0").select(*keys, "face", "area")
+    spots = P.inner_points(directed.join(table, [*keys, "face"], "left_semi"), keys)
+    owner = ring_edge_table(rings.withColumn("__o", F.lit(0)), keys, "__o")
+    inside = P.points_in_rings(spots, owner, keys, "__o").select(*keys, "face")
+    cross = F.col("x1") * F.col("y2") - F.col("x2") * F.col("y1")
+    centre = directed.join(inside, [*keys, "face"], "left_semi").groupBy(*keys, "face").agg(
+        (F.sum((F.col("x1") + F.col("x2")) * cross) / (3 * F.sum(cross))).alias("x"),
+        (F.sum((F.col("y1") + F.col("y2")) * cross) / (3 * F.sum(cross))).alias("y"),
+    )
+    owned = nearest_label(centre, labels, keys).join(table, [*keys, "face"])
+    return owned.groupBy(*keys, "label_id").agg(F.count(F.lit(1)).alias("pieces"), (F.sum("area") / PX2_PER_M2).alias("area"))
+
+
+def subtract_earlier(rings: DataFrame, keys: Sequence[str], owner: str = "id") -> DataFrame:
+    """Area of each polygon without the earlier ones: (keys, owner, area in px²).
+
+    Every face of the common edge set belongs to the first polygon over it.
+    """
+    keys = list(keys)
+    directed = P.planar_faces(P.node_boundaries(rings, keys), keys)
+    table = P.face_table(directed, keys).where("area > 0").select(*keys, "face", "area")
+    spots = P.inner_points(directed.join(table, [*keys, "face"], "left_semi"), keys)
+    over = P.points_in_rings(spots, ring_edge_table(rings, keys, owner), keys, owner)
+    first = over.groupBy(*keys, "face").agg(F.min(owner).alias(owner))
+    holes = P.hole_sums(directed, keys)
+    net = table.join(holes, [*keys, "face"], "left").fillna(0, ["hole_area"]).withColumn("area", F.col("area") - F.col("hole_area"))
+    return first.join(net, [*keys, "face"]).groupBy(*keys, owner).agg(F.sum("area").alias("area"))
+
+
+# --- fitting doors to walls -----------------------------------------------------------
+
+# Reach of the snapping policies in pixels.
+HINGED_EXTEND, HINGED_SHIFT, SLIDE_EXTRA = 5, 5, 5
+
+
+def door_wall_touch(doors: DataFrame, walls: DataFrame, keys: Sequence[str], cell: float = 64) -> DataFrame:
+    """Doors that meet a wall rectangle, borders included."""
+    return box_semi(doors, walls, keys, ["id"], cell)
+
+
+def snap_doors(doors: DataFrame, walls: DataFrame, keys: Sequence[str], method: str = "arc", cell: float = 64) -> DataFrame:
+    """Extend and shift doors until they meet a wall: (keys, id, x1..y2).
+
+    Each end is extended by the smallest whole number of pixels with which the
+    extended door meets a wall, or by the limit. A hinged door that still
+    stands free is shifted across by 1..5 pixels, minus before plus, and the
+    first shift that meets a wall counts; a sliding door is never shifted but
+    reaches as far as its size plus 5. A door that never meets a wall stays.
+    The smallest extension of a door that already touches is 0 at both ends.
+    """
+    keys = list(keys)
+    wide, high = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    flat = wide > high
+    if method == "slide":
+        shifts, limit = F.array(F.lit(0)), F.greatest(wide, high) + SLIDE_EXTRA
+    else:
+        order = [0] + [s for k in range(1, HINGED_SHIFT + 1) for s in (-k, k)]
+        shifts, limit = F.array(*[F.lit(s) for s in order]), F.lit(HINGED_EXTEND)
+    tries = doors.select(*keys, "id", *BOX, flat.alias("flat"), limit.cast("long").alias("limit"), F.posexplode(shifts).alias("turn", "shift"))
+    moved = tries.select(
+        *keys, "id", "turn", "limit", "flat",
+        *[(F.col(c) + F.when(~F.col("flat"), F.col("shift")).otherwise(0)).alias(c) for c in ("x1", "x2")],
+        *[(F.col(c) + F.when(F.col("flat"), F.col("shift")).otherwise(0)).alias(c) for c in ("y1", "y2")],
+    )
+    reach = moved.select(
+        *keys, "id", "turn", "limit", "flat", *[F.col(c).alias(f"o{c}") for c in BOX],
+        (F.col("x1") - F.when(F.col("flat"), F.col("limit")).otherwise(0)).alias("x1"),
+        (F.col("x2") + F.when(F.col("flat"), F.col("limit")).otherwise(0)).alias("x2"),
+        (F.col("y1") - F.when(F.col("flat"), F.lit(0)).otherwise(F.col("limit"))).alias("y1"),
+        (F.col("y2") + F.when(F.col("flat"), F.lit(0)).otherwise(F.col("limit"))).alias("y2"),
+    )
+    met = box_pairs(reach, walls.select(*keys, *BOX), keys, cell)
+    on_x = F.col("a_flat")
+    back = F.when(on_x, F.col("a_ox1") - F.col("b_x2")).otherwise(F.col("a_oy1") - F.col("b_y2"))
+    ahead = F.when(on_x, F.col("b_x1") - F.col("a_ox2")).otherwise(F.col("b_y1") - F.col("a_oy2"))
+    gap = F.ceil(F.greatest(back, ahead, F.lit(0)))
+    per = met.groupBy(*keys, F.col("a_id").alias("id"), F.col("a_turn").alias("turn")).agg(
+        F.min(F.when(ahead <= 0, gap)).alias("low"), F.min(F.when(back <= 0, gap)).alias("high")
+    )
+    first = per.groupBy(*keys, "id").agg(F.min(F.struct("turn", "low", "high")).alias("best"))
+    chosen = moved.join(first, [*keys, "id"]).where("turn = best.turn")
+    low, up = F.coalesce("best.low", "limit"), F.coalesce("best.high", "limit")
+    zero = F.lit(0)
+    fitted = chosen.select(
+        *keys, "id",
+        (F.col("x1") - F.when(F.col("flat"), low).otherwise(zero)).alias("x1"),
+        (F.col("y1") - F.when(F.col("flat"), zero).otherwise(low)).alias("y1"),
+        (F.col("x2") + F.when(F.col("flat"), up).otherwise(zero)).alias("x2"),
+        (F.col("y2") + F.when(F.col("flat"), zero).otherwise(up)).alias("y2"),
+    )
+    rest = doors.join(first, [*keys, "id"], "left_anti").select(*keys, "id", *BOX)
+    return fitted.unionByName(rest)
+
+
+def plan_bill(room_table: DataFrame, doors: DataFrame, windows: DataFrame, structure_area: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Per drawing: total and room area, rooms, doors by kind, windows.
+
+    ``structure_area`` has keys and ``area`` (square metres covered by the
+    structure layer); the total is that plus the rooms.
+    """
+    keys = list(keys)
+    r = room_table.groupBy(*keys).agg(F.sum("area").alias("room_area"), F.count(F.lit(1)).alias("rooms"))
+    d = doors.groupBy(*keys).agg(*[F.count_if(F.col("kind") == k).alias(f"{k}_doors") for k in ("single", "double", "slide")])
+    w = windows.groupBy(*keys).agg(F.count(F.lit(1)).alias("windows"))
+    s = structure_area.select(*keys, F.col("area").alias("structure"))
+    bill = r.join(d, keys, "full_outer").join(w, keys, "full_outer").join(s, keys, "full_outer").fillna(0)
+    return bill.select(
+        *keys, (F.col("structure") + F.col("room_area")).alias("total_area"), "room_area", "rooms",
+        "single_doors", "double_doors", "slide_doors", "windows",
+    )
