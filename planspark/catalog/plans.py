@@ -90,12 +90,10 @@ _GRID = f"""WITH {cte('texts', 'hexagons')}, {_IN_HEX}, rm AS (SELECT DISTINCT h
 
 @query("nearest_label", _GRID + "SELECT dwg_id, room, px AS x, py AS y, label_id FROM nr")
 def nearest_label(spark, d):
+    labels = _labels_in_rooms(spark, d)
     ring = hex_rings(spark, d).select("dwg_id", F.col("id").alias("room"), "ring")
-    b = R.G.ring_bounds(F.col("ring"))
-    cells = ring.select("dwg_id", "room", "ring", F.explode(F.sequence(F.ceil(b["x1"] / 8), F.floor(b["x2"] / 8))).alias("gx"))
-    cells = cells.select("dwg_id", "room", "ring", (F.col("gx") * 8).alias("x"), F.explode(F.sequence(F.ceil(b["y1"] / 8), F.floor(b["y2"] / 8))).alias("gy"))
-    cells = cells.withColumn("y", F.col("gy") * 8).where(R.G.point_in_ring(F.col("ring"), F.col("x"), F.col("y")))
-    return R.nearest_label(cells.select("dwg_id", "room", "x", "y"), _labels_in_rooms(spark, d), ["dwg_id", "room"])
+    ring = ring.join(labels.select("dwg_id", "room").distinct(), ["dwg_id", "room"], "left_semi")
+    return R.nearest_label(R.grid_points(ring, ["dwg_id", "room"], 8), labels, ["dwg_id", "room"])
 
 
 @query("label_grid_split", _GRID + "SELECT dwg_id, room, label_id, count(*) AS cells, round(count(*) * 64 / 1e4, 6) AS area FROM nr GROUP BY 1, 2, 3")

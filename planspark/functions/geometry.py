@@ -427,13 +427,28 @@ def point_on_boundary(ring: Column, x: Column, y: Column, tolerance: float = 1e-
     return boundary_distance(ring, x, y) < tolerance
 
 
-def point_in_ring(ring: Column, x: Column, y: Column) -> Column:
-    """Strictly inside: even-odd rule, the boundary does not count."""
-    edges = ring_edges(ring)
-    odd = F.aggregate(
-        edges, F.lit(0), lambda acc, e: acc + F.when(_crosses(e, x, y), 1).otherwise(0)
+def _on_edge(e: Column, x: Column, y: Column) -> Column:
+    cross = (e["x2"] - e["x1"]) * (y - e["y1"]) - (e["y2"] - e["y1"]) * (x - e["x1"])
+    return (
+        (cross == 0)
+        & x.between(F.least(e["x1"], e["x2"]), F.greatest(e["x1"], e["x2"]))
+        & y.between(F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"]))
     )
-    return (odd % 2 == 1) & (boundary_distance(ring, x, y) > 0)
+
+
+def on_edges(edges: Column, x: Column, y: Column) -> Column:
+    """Exactly on one of the edges."""
+    return F.exists(edges, lambda e: _on_edge(e, x, y))
+
+
+def point_in_edges(edges: Column, x: Column, y: Column) -> Column:
+    """Strictly inside the ring of the edges: even-odd rule, the boundary does not count."""
+    odd = F.size(F.filter(edges, lambda e: _crosses(e, x, y)))
+    return (odd % 2 == 1) & ~on_edges(edges, x, y)
+
+
+def point_in_ring(ring: Column, x: Column, y: Column) -> Column:
+    return point_in_edges(ring_edges(ring), x, y)
 
 
 def vertex_turns(ring: Column) -> Column:

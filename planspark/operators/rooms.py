@@ -105,8 +105,8 @@ def wall_outlines(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
     """
     keys = list(keys)
     split = S.split_all(S.merge_collinear(lines, keys), keys)
-    bridged = split.unionByName(S.leaf_bridges(split, keys))
-    directed = P.planar_faces(S.split_all(bridged, keys), keys)
+    bridged = S.unique_edges(split.unionByName(S.leaf_bridges(split, keys)), keys)
+    directed = P.planar_faces(bridged, keys)
     outer = P.face_table(directed, keys).where("area < 0").select(*keys, "face")
     blocks = cut(P.block_rings(directed.join(outer, [*keys, "face"], "left_semi"), keys))
     sizes = blocks.groupBy(*keys, "block").agg(F.count(F.lit(1)).alias("n")).where("n > 3")
@@ -134,7 +134,7 @@ def drop_contained_rings(rings: DataFrame, keys: Sequence[str], owner: str = "id
     ring_b = rings.select(*keys, F.col(owner).alias("b"), F.col("ring").alias("rb"))
     both = cand.join(ring_a, [*keys, "a"]).join(ring_b, [*keys, "b"])
     ea, eb = G.ring_edges(F.col("ra")), G.ring_edges(F.col("rb"))
-    within = lambda x, y: G.point_in_ring(F.col("rb"), x, y) | (G.boundary_distance(F.col("rb"), x, y) == 0)
+    within = lambda x, y: G.point_in_edges(eb, x, y) | G.on_edges(eb, x, y)
     corners = F.forall("ra", lambda p: within(p["x"], p["y"]))
     middles = F.forall(ea, lambda e: within((e["x1"] + e["x2"]) / 2, (e["y1"] + e["y2"]) / 2))
 
@@ -158,18 +158,24 @@ def nearest_label(points: DataFrame, labels: DataFrame, keys: Sequence[str], id:
     return points.join(lab, keys).groupBy(*keys, *rest).agg(F.min_by("label_id", F.struct(d2, "label_id")).alias("label_id"))
 
 
+def grid_points(rings: DataFrame, keys: Sequence[str], grid: int) -> DataFrame:
+    """(keys, x, y): the points of a grid strictly inside each ring."""
+    b = G.ring_bounds(F.col("ring"))
+    steps = lambda lo, hi: F.sequence(F.ceil(lo / grid).cast("long"), F.floor(hi / grid).cast("long"))
+    spans = rings.select(*keys, G.ring_edges(F.col("ring")).alias("edges"), steps(b["x1"], b["x2"]).alias("gx"), steps(b["y1"], b["y2"]).alias("gy"))
+    columns = spans.select(*keys, "edges", "gy", F.explode("gx").alias("cx"))
+    cells = columns.select(*keys, "edges", (F.col("cx") * grid).alias("x"), F.explode("gy").alias("cy")).withColumn("y", F.col("cy") * grid)
+    return cells.where(G.point_in_edges(F.col("edges"), F.col("x"), F.col("y"))).select(*keys, "x", "y")
+
+
 def label_grid_split(rings: DataFrame, labels: DataFrame, keys: Sequence[str], grid: int = 2) -> DataFrame:
     """Share a room among its labels by nearest distance on a grid: (keys, label_id, cells, area).
 
     ``keys`` name one room; the area is in square metres.
     """
     keys = list(keys)
-    b = G.ring_bounds(F.col("ring"))
-    first, last = (lambda c: F.ceil(c / grid).cast("long")), (lambda c: F.floor(c / grid).cast("long"))
-    columns = rings.select(*keys, "ring", F.explode(F.sequence(first(b["x1"]), last(b["x2"]))).alias("gx"))
-    cells = columns.select(*keys, "ring", (F.col("gx") * grid).alias("x"), F.explode(F.sequence(first(b["y1"]), last(b["y2"]))).alias("gy"))
-    cells = cells.withColumn("y", F.col("gy") * grid).where(G.point_in_ring(F.col("ring"), F.col("x"), F.col("y")))
-    owned = nearest_label(cells.select(*keys, "x", "y"), labels, keys)
+    named = rings.join(labels.select(*keys).distinct(), keys, "left_semi")
+    owned = nearest_label(grid_points(named, keys, grid), labels, keys)
     return owned.groupBy(*keys, "label_id").agg(
         F.count(F.lit(1)).alias("cells"), (F.count(F.lit(1)) * grid * grid / PX2_PER_M2).alias("area")
     )
