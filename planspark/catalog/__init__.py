@@ -16,6 +16,7 @@ MODULES = (
     "lines",
     "plans",
     "symbols",
+    "rasters",
 )
 
 

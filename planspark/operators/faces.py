@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from planspark.functions import geometry as G
 from planspark.operators.ordering import ranked
 from planspark.operators.rounds import cycle_labels
-from planspark.operators.segments import SEG, merge_collinear, prune, split_all
+from planspark.operators.segments import SEG, merge_collinear, split_all, unique_edges
 from planspark.operators.spatial import box_pairs, point_box
 from planspark.session import cut
 
@@ -33,7 +33,7 @@ def half_edges(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
     both = edges.select(*keys, *SEG).union(edges.select(*keys, "x2", "y2", "x1", "y1"))
     angle = F.atan2((F.col("y2") - F.col("y1")).cast("double"), (F.col("x2") - F.col("x1")).cast("double"))
     node = [*keys, "x1", "y1"]
-    turned = ranked(both.withColumn("angle", angle), node, [F.col("angle")], "turn")
+    turned = ranked(both.withColumn("angle", angle), node, [F.col("angle"), F.col("x2"), F.col("y2")], "turn")
     last = turned.groupBy(*node).agg(F.max("turn").alias("fan"))
     fan = turned.join(last, node).withColumn("id", F.struct(*SEG)).drop("angle")
     back = fan.select(
@@ -70,8 +70,19 @@ def face_rings(directed: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def planar_faces(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Directed edges of the closed regions of a noded edge set, open ends pruned."""
-    return cut(face_edges(prune(edges, keys), keys))
+    """Directed edges of the closed regions of a noded edge set.
+
+    An edge with the same face on both sides closes nothing: it hangs loose or
+    only connects two closed parts. All of these are found by one labelling
+    and left out of the second.
+    """
+    keys = list(keys)
+    walked = cut(face_edges(cut(unique_edges(edges, keys)), keys))
+    swapped = walked.select(
+        *keys, "face", F.col("x2").alias("x1"), F.col("y2").alias("y1"), F.col("x1").alias("x2"), F.col("y1").alias("y2")
+    )
+    closed = walked.join(swapped, [*keys, "face", *SEG], "left_anti")
+    return cut(face_edges(cut(unique_edges(closed, keys)), keys))
 
 
 def points_in_rings(points: DataFrame, edges: DataFrame, keys: Sequence[str], owner: str, cell: float = 64, border: bool = False) -> DataFrame:

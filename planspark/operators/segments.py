@@ -163,18 +163,3 @@ def leaf_bridges(edges: DataFrame, keys: Sequence[str], reach: tuple[int, int] =
         *keys, F.col("win.x").alias("x1"), F.col("win.y").alias("y1"), F.col("lose.x").alias("x2"), F.col("lose.y").alias("y2")
     )
 
-
-def prune(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Remove edges with an open end until none is left."""
-    keys = list(keys)
-    current = cut(unique_edges(edges, keys))
-    count = current.count()
-    while True:
-        open_ends = degrees(current, keys).where("degree = 1").select(*keys, "x", "y")
-        one = open_ends.withColumnsRenamed({"x": "x1", "y": "y1"})
-        two = open_ends.withColumnsRenamed({"x": "x2", "y": "y2"})
-        current = cut(current.join(one, [*keys, "x1", "y1"], "left_anti").join(two, [*keys, "x2", "y2"], "left_anti").select(*keys, *SEG))
-        left = current.count()
-        if left == count:
-            return current
-        count = left
