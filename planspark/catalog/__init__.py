@@ -17,6 +17,7 @@ MODULES = (
     "plans",
     "symbols",
     "rasters",
+    "formats",
 )
 
 
