@@ -17,7 +17,7 @@ def docs(spark, d, expr, source="orders", key="o_orderkey"):
 
 def _dump(n):
     values = ", ', ', ".join(["o_custkey", "o_orderkey", "o_custkey + 5", "o_orderkey + 7", "o_orderkey % 2", "1", "3", "9"][:n])
-    bad = "CASE WHEN o_orderkey % 11 = 0 THEN 'Door2: 1, x, 3' ELSE concat('Door2: ', %s) END" % values
+    bad = f"CASE WHEN o_orderkey % 11 = 0 THEN 'Door2: 1, x, 3' ELSE concat('Door2: ', {values}) END"
     return f"concat('range: 0, 0, ', o_custkey, ', 50\\ntotal: 2\\nDoor1: ', {values}, '\\n', {bad})"
 
 
