@@ -107,8 +107,10 @@ def islands(
         )
     starts = F.when(F.col("__reach") >= F.col(lo), 0).otherwise(1)
     rows = rows.withColumn("__start", starts)
+    # equal intervals may come in any order, so the one that starts goes first
+    counted = _window(keys, [*order, F.col("__start").desc()], large)
     rows = rows.withColumn(
-        name, F.sum("__start").over(window.rowsBetween(Window.unboundedPreceding, 0))
+        name, F.sum("__start").over(counted.rowsBetween(Window.unboundedPreceding, 0))
     )
     if large:
         carry = _carry(rows.drop("__carry_reach"), keys, {"island": F.sum("__start")}, F.sum)

@@ -45,7 +45,7 @@ def test_close_boxes(spark, gap):
 
 @pytest.mark.parametrize("bound", ["20000", "1"])
 def test_slide_doors_in_tasks_and_by_rounds(spark, bound):
-    rows = boxes(random.Random(4), 40, 30, 220)
+    rows = boxes(random.Random(4), 14, 30, 130)
     df = spark.createDataFrame(rows, "dwg_id int, id int, x1 int, y1 int, x2 int, y2 int")
     spark.conf.set(D.FOLD_KEY, bound)
     try:
