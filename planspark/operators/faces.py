@@ -154,9 +154,9 @@ def block_rings(directed: DataFrame, keys: Sequence[str]) -> DataFrame:
     before = F.when(F.col("visit") == 1, F.col("visits")).otherwise(F.col("visit") - 1)
     arrive = left.select(*node, F.pmod(F.col("pos") - 1, F.col("n")).alias("pos"), before.alias("visit"))
     edge = directed.select(*walk, "pos", F.struct(*SEG).alias("id"))
-    links = arrive.join(leave, [*node, "visit"]).join(edge, [*walk, "pos"]).select(*walk, "id", "nxt")
-    loops = cycle_labels(links, walk)
-    return loops.select(*keys, F.struct("face", "cycle").alias("block"), "pos", "id.*")
+    links = arrive.join(leave, [*node, "visit"]).join(edge, [*walk, "pos"]).select(*keys, "id", "nxt")
+    loops = cycle_labels(links, keys)  # a directed edge is in one walk, so it names its loop within the drawing
+    return loops.select(*keys, F.col("cycle").alias("block"), "pos", "id.*")
 
 
 def inner_points(directed: DataFrame, keys: Sequence[str]) -> DataFrame:
