@@ -12,7 +12,7 @@ from planspark.operators.ordering import ranked
 from planspark.operators.rounds import cycle_labels
 from planspark.operators.segments import SEG, merge_collinear, split_all, unique_edges
 from planspark.operators.spatial import box_pairs, point_box
-from planspark.session import cut
+from planspark.session import cut, stored
 
 
 def node_boundaries(rings: DataFrame, keys: Sequence[str], ring: str = "ring") -> DataFrame:
@@ -155,7 +155,7 @@ def block_rings(directed: DataFrame, keys: Sequence[str]) -> DataFrame:
     arrive = left.select(*node, F.pmod(F.col("pos") - 1, F.col("n")).alias("pos"), before.alias("visit"))
     edge = directed.select(*walk, "pos", F.struct(*SEG).alias("id"))
     links = arrive.join(leave, [*node, "visit"]).join(edge, [*walk, "pos"]).select(*keys, "id", "nxt")
-    loops = cycle_labels(links, keys)  # a directed edge is in one walk, so it names its loop within the drawing
+    loops = cycle_labels(stored(links), keys)  # a directed edge is in one walk, so it names its loop within the drawing
     return loops.select(*keys, F.col("cycle").alias("block"), "pos", "id.*")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,6 +54,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a table in the checkpoint folder and read it back.
+
+    Unlike a checkpoint, the table carries nothing of the plan that made it.
+    """
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def setting(df: DataFrame, key: str, default: int) -> int:
     """An integer setting of the session, e.g. a size bound."""
     return int(df.sparkSession.conf.get(key, str(default)))
