@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planspark.llm import bpe, chat, exact_dedup, urls
+from planspark.llm import bpe, chat, decontaminate, exact_dedup, html_crf, lines, packing, simhash, toxicity, urls
 from planspark.llm.common import in_rows_of, sha256_hex, table
 
 QUERIES: dict = {}
@@ -27,6 +27,11 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def held_out() -> Column:
+    """Rows never learnt from."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -142,3 +147,105 @@ SELECT p.page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM p LEFT
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(list(URL_RULES), "host string, path string, verdict string")
     return urls.filter_urls(table(spark, sf_dir, "pages"), rules, "page_id")
+
+
+@query("op6_toxicity")
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~held_out())
+    scored = toxicity.score(docs, toxicity.fit(docs, labels))
+    return scored.select(
+        "doc_id",
+        held_out().alias("held_out"),
+        "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
+_BREAKS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query(
+    "op7_decontaminate",
+    f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_BREAKS}') AS ws FROM documents),
+b AS (SELECT item_id, ws, least(len(ws), 10) AS k
+      FROM (SELECT item_id, regexp_extract_all({_LOWER}, '{_BREAKS}') AS ws FROM benchmark) WHERE len(ws) > 0),
+w AS (SELECT DISTINCT item_id, k, array_to_string(ws[i:i + k - 1], ' ') AS win
+      FROM (SELECT item_id, k, ws, unnest(generate_series(1, len(ws) - k + 1)) AS i FROM b)),
+p AS (SELECT doc_id, k, i, array_to_string(ws[i:i + k - 1], ' ') AS win
+      FROM (SELECT doc_id, ws, k, unnest(generate_series(1, len(ws) - k + 1)) AS i
+            FROM d, (SELECT DISTINCT k FROM w) WHERE len(ws) >= k)),
+h AS (SELECT doc_id, i, k, item_id FROM p JOIN w USING (k, win)),
+c AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + k - 1)) AS pos FROM h) GROUP BY 1),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+      FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY 1)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
+""",
+)
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    names = F.array_sort(F.transform("items", lambda i: i.cast("string")))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        sha256_hex(F.array_join(names, ",")).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+@query("op8_simhash")
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+_TRIM = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+@query(
+    "op10_line_dedup",
+    f"""
+WITH s AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM s),
+k AS (SELECT *, translate(trim(line, {_TRIM}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+f AS (SELECT key, min(doc_id) AS first FROM k WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) > 1),
+j AS (SELECT k.*, first IS NOT NULL AND first <> doc_id AS gone FROM k LEFT JOIN f ON k.key = f.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM j GROUP BY doc_id
+""",
+)
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    dropped = F.aggregate("_runs", F.lit(0).cast("long"), lambda s, r: s + r["length"])
+    return done.select(
+        "doc_id",
+        F.size("_lines").cast("long").alias("n_lines"),
+        dropped.alias("n_dropped"),
+        sha256_hex(F.col("_kept")).alias("kept_sha256"),
+    )
+
+
+@query("op2_html_text")
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    chain = html_crf.train(pages.select("page_id", "html"))
+    # the url rides in the id so that the text is made in one scan
+    keyed = pages.select(F.struct("page_id", "url").alias("page"), "html")
+    found = html_crf.main_text(keyed, chain, "page")
+    return found.select(
+        "page.page_id", "page.url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars")
+    )
+
+
+@query("op3_token_packing")
+def op3_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
+    return packing.pack(docs)
