@@ -54,14 +54,17 @@ def item_windows(items: DataFrame, id: str, text: str, window: int) -> DataFrame
     )
 
 
-def in_sets(size: int, leads: list[int], full: list[int]):
-    """Test of a position: the hash of the leading words first, then that of the whole window."""
+def scan(size: int, leads: list[int], full: list[int]) -> Column:
+    """Positions whose leading words' hash is in ``leads`` and whose window's hash is in ``full``.
 
-    def hit(at: Column) -> Column:
-        whole = window_hash(F.col("ws"), at, size).isin(*full)
-        return whole if size < LEAD else window_hash(F.col("ws"), at, LEAD).isin(*leads) & whole
+    Written as SQL text: one literal list, in place of a call per literal.
+    """
+
+    def hashed(length: int) -> str:
+        return "xxhash64(" + ", ".join(f"get(ws, at + {k})" for k in range(length)) + ")"
 
-    return hit
+    tests = [f"{hashed(n)} IN ({', '.join(f'{h}L' for h in hs)})" for n, hs in ((LEAD, leads), (size, full)) if n <= size]
+    return F.expr(f"filter(if(size(ws) >= {size}, sequence(0, size(ws) - {size}), array()), at -> {' AND '.join(tests)})")
 
 
 def candidates(docs: DataFrame, known: DataFrame, sizes: list[int], set_windows: int) -> DataFrame:
@@ -87,7 +90,7 @@ def candidates(docs: DataFrame, known: DataFrame, sizes: list[int], set_windows:
             ).collect()
             full, leads = sorted({r["h"] for r in rows}), sorted({r["lead"] for r in rows})
 
-            found.append(F.transform(F.filter(positions(size), in_sets(size, leads, full)), show(size)))
+            found.append(F.transform(scan(size, leads, full), show(size)))
         hits = F.concat(*found) if found else empty
         return docs.select("doc_id", "text_key", F.size("ws").alias("n_words"), hits.alias("hits"))
 
