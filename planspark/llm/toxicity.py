@@ -31,11 +31,12 @@ from planspark.session import cut
 TRAIN_ROWS = 20_000
 #: Most lexicon entries taken; the strongest ones.
 LEXICON_TERMS = 3_000
-#: An entry occurs in this share of the toxic texts, and in this many, at least.
-SUPPORT_SHARE, SUPPORT_LEAST = 0.01, 3
+#: An entry occurs in at least this many toxic texts, or this share of them; a word stands before that many different
+#: words there, a stem begins that many: near copies of one text lend no further support to its words.
+TEXTS_LEAST, OTHERS_LEAST, LEAST_SHARE = 2, 4, 0.005
 #: Least log odds ratio of an entry.
 LOG_ODDS = 3.0
-STEM_SIZES = (4, 5, 6)
+STEM_SIZES = (4, 5, 6, 7, 8)
 NEAR = 6
 CALIBRATION_FOLD, CALIBRATION_FOLDS = 0, 4
 THRESHOLD = 0.3
@@ -241,29 +242,42 @@ def learn_lexicon(sample: DataFrame, terms: int) -> Lexicon:
 
     def run(batches):
         for batch in batches:
-            entries, ys = [], []
+            rows: list[tuple] = []
             for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 low = (t or "").lower()
-                seen = {s for w in {*WORD.findall(low), *map(unmask, MASKED.findall(low))} if len(w) > 2 for s in stems(w)}
-                entries += seen
-                ys += [y] * len(seen)
-            yield pa.RecordBatch.from_arrays([pa.array(entries, pa.string()), pa.array(ys, pa.int32())], names=["entry", "y"])
+                words = WORD.findall(low)
+                pairs = {*zip(words, [*words[1:], ""]), *((unmask(m), "") for m in MASKED.findall(low))}
+                seen = {(s, n if s == w else w) for w, n in pairs if len(w) > 2 for s in stems(w)}
+                rows += [(s, n, y, 0) for s, n in seen] if y else []
+                rows += [(s, "", y, 1) for s in {s for s, _ in seen}]
+            columns = list(zip(*rows)) or [()] * 4
+            kinds = (pa.string(), pa.string(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(columns, kinds)], names=["entry", "other", "y", "texts"]
+            )
 
     fitting = sample.where(F.col("fold") != CALIBRATION_FOLD)
     toxic, all_rows = fitting.agg(F.coalesce(F.sum("y"), F.lit(0)), F.count(F.lit(1))).first()
     if not toxic or toxic == all_rows:
         return Lexicon(frozenset())
-    least = max(SUPPORT_LEAST, int(SUPPORT_SHARE * toxic))
+    share = int(LEAST_SHARE * toxic)
     counted = (
         fitting.select("text", "y")
-        .mapInArrow(run, "entry string, y int")
+        .mapInArrow(run, "entry string, other string, y int, texts int")
+        .groupBy("entry", "other")
+        .agg(
+            F.sum(F.col("texts") * F.col("y")).alias("bad"),
+            F.sum("texts").alias("n"),
+            F.max(F.col("y") * (1 - F.col("texts"))).alias("with_other"),
+        )
         .groupBy("entry")
-        .agg(F.sum("y").alias("bad"), F.count(F.lit(1)).alias("n"))
-        .where(F.col("bad") >= least)
+        .agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"), F.sum("with_other").alias("others"))
+        .where((F.col("bad") >= max(TEXTS_LEAST, share)) & (F.col("others") >= max(OTHERS_LEAST, share)))
     )
     odds = F.log((F.col("bad") + 0.5) / (toxic + 1)) - F.log((F.col("n") - F.col("bad") + 0.5) / (all_rows - toxic + 1))
     strong = counted.withColumn("odds", odds).where(F.col("odds") >= LOG_ODDS)
-    return Lexicon(frozenset(r["entry"] for r in strong.orderBy(F.desc("odds"), "entry").limit(terms).select("entry").collect()))
+    taken = strong.orderBy(F.desc("odds"), "entry").limit(terms).select("entry").collect()
+    return Lexicon(frozenset(r["entry"] for r in taken))
 
 
 def fit(
