@@ -1,11 +1,13 @@
 """Packing token ids into rows of fixed length, best fit decreasing (operator 3).
 
-Documents are cut into pieces of at most ``length`` tokens, losslessly. Only
-piece lengths take part in the search for a place: pieces are dealt evenly
-over groups of bounded size, and each group is packed in one task by best fit
-decreasing, with a segment tree over free capacities that finds the fullest
-row with room in logarithmic time. The ids themselves then move once, to the
-task that writes their row.
+Documents are cut into pieces of at most ``length`` tokens, losslessly. Pieces
+are dealt by hash over groups of about ``group_pieces`` pieces, and a group is
+packed where its pieces arrive, in descending order of size: each goes to the
+fullest row that has room, which a segment tree over free capacities finds in
+logarithmic time. Ids are shuffled once; the number of groups follows from a
+count of the pieces made before. A group that turns out twice as large as
+meant (one row repeated very often) is closed and begun anew, so a task never
+holds more than two groups' worth of ids.
 
 A row holds ``ids`` (little-endian int32, padded), ``cu_seqlens`` (cumulative
 segment lengths from 0), ``positions`` (restarting at 0 in every segment) and
@@ -25,12 +27,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planspark.session import cut, stored
-
 LENGTH = 2048
 PAD = -1
-#: Pieces per group: one task packs one group, whatever the input's size.
-GROUP_PIECES = 20_000
+#: Pieces per group, whatever the input's size: at most ``GROUP_PIECES * LENGTH`` ids of 4 bytes, 67 MB.
+GROUP_PIECES = 8192
 
 
 class FreeRooms:
@@ -67,141 +67,132 @@ class FreeRooms:
         return room, row
 
 
-def best_fit(sizes: list[int], length: int) -> list[tuple[int, int]]:
-    """For sizes in descending order: the row of each and its place in that row."""
-    rooms, rows, out = FreeRooms(length), 0, []
-    for size in sizes:
-        found = rooms.take(size)
-        if found is None:
-            room, row = length, rows
-            rows += 1
-        else:
-            room, row = found
-        out.append((row, length - room))
-        if room > size:
-            rooms.add(room - size, row)
-    return out
-
-
-def plan(pieces: DataFrame, length: int, group_pieces: int) -> DataFrame:
-    """``piece``, ``grp``, ``row``, ``place`` of each piece (``piece``, ``size``)."""
-    import pyarrow as pa
-
-    total = pieces.count()
-    groups = max(1, -(-total // group_pieces))
+def pieces_of(docs: DataFrame, id: str, ids: str, length: int) -> DataFrame:
+    """``doc_id``, ``offset``, ``size``, ``ids`` of the pieces of every id list."""
+    starts = F.sequence(F.lit(0), F.floor((F.size("all_ids") - 1) / length).cast("int"))
+    return (
+        docs.select(F.col(id).alias("doc_id"), F.col(ids).alias("all_ids"))
+        .where(F.size("all_ids") > 0)
+        .select("doc_id", F.posexplode(F.transform(starts, lambda k: F.slice("all_ids", k * length + 1, length))).alias("k", "ids"))
+        .select("doc_id", (F.col("k") * length).alias("offset"), F.size("ids").alias("size"), "ids")
+    )
 
-    def run(batches: Iterator):
-        held: list[tuple[int, list[int], list[str]]] = []
 
-        def solve(grp: int, sizes: list[int], names: list[str]):
-            placed = best_fit(sizes, length)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(names, pa.string()), pa.array([grp] * len(names), pa.int64()), pa.array([r for r, _ in placed], pa.int64()), pa.array([p for _, p in placed], pa.int32())],
-                names=["piece", "grp", "row", "place"],
-            )
+class Packer:
+    """Rows of one group under way."""
 
-        for batch in batches:
-            for grp, size, name in zip(*(c.to_pylist() for c in batch.columns)):
-                if not held or held[0][0] != grp:
-                    if held:
-                        yield solve(*held.pop())
-                    held.append((grp, [], []))
-                held[0][1].append(size)
-                held[0][2].append(name)
-        if held:
-            yield solve(*held.pop())
+    def __init__(self, length: int) -> None:
+        self.length, self.rooms = length, FreeRooms(length)
+        self.rows: list[list[tuple]] = []
+        self.count = 0
 
-    return (
-        pieces.select(F.pmod(F.xxhash64("piece"), F.lit(groups)).alias("grp"), "size", "piece")
-        .repartition("grp")
-        .sortWithinPartitions("grp", F.desc("size"), "piece")
-        .mapInArrow(run, "piece string, grp long, row long, place int")
-    )
+    def put(self, doc: object, offset: int, part: np.ndarray) -> tuple[int, int]:
+        """Place a piece; returns its row and its place there."""
+        found = self.rooms.take(len(part))
+        if found is None:
+            found = self.length, len(self.rows)
+            self.rows.append([])
+        room, row = found
+        self.rows[row].append((doc, offset, part))
+        self.count += 1
+        if room > len(part):
+            self.rooms.add(room - len(part), row)
+        return row, self.length - room
+
+    def built(self, grp: int, batch: int, pad: int) -> Iterator[tuple]:
+        for number, segments in enumerate(self.rows):
+            row, where = np.full(self.length, pad, dtype="<i4"), np.zeros(self.length, dtype="<i4")
+            ends = [0]
+            for _, _, part in segments:
+                stop = ends[-1] + len(part)
+                row[ends[-1] : stop], where[ends[-1] : stop] = part, np.arange(len(part))
+                ends.append(stop)
+            docs, offsets = [s[0] for s in segments], [s[1] for s in segments]
+            yield grp, batch, number, row.tobytes(), ends, where.tobytes(), docs, offsets, ends[-1]
 
 
 def pack(
     docs: DataFrame, id: str = "doc_id", ids: str = "ids", length: int = LENGTH, pad: int = PAD, group_pieces: int = GROUP_PIECES
 ) -> DataFrame:
-    """One row per packed row: ``grp``, ``row``, ``ids``, ``cu_seqlens``, ``positions``, ``doc_ids``, ``offsets``, ``n_tokens``."""
+    """One row per packed row, named by ``grp``, ``batch`` and ``row``:
+
+    ``ids``, ``cu_seqlens``, ``positions``, ``doc_ids``, ``offsets``, ``n_tokens``.
+    """
     import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
-    numbered = stored(
-        docs.select(F.col(id).alias("doc_id"), F.col(ids).alias("all_ids"))
-        .where(F.size("all_ids") > 0)
-        .select(
-            "doc_id",
-            F.posexplode(
-                F.transform(
-                    F.sequence(F.lit(0), F.floor((F.size("all_ids") - 1) / length).cast("int")),
-                    lambda k: F.slice("all_ids", k * length + 1, length),
-                )
-            ).alias("k", "ids"),
-        )
-        .select(
-            F.concat_ws(":", F.spark_partition_id(), F.monotonically_increasing_id()).alias("piece"),
-            "doc_id",
-            (F.col("k") * length).alias("offset"),
-            F.size("ids").alias("size"),
-            "ids",
-        )
-    )
-    places = cut(plan(numbered.select("piece", "size"), length, group_pieces))
-    kind = docs.schema[id].dataType
+    total = docs.select(F.ceil(F.size(ids) / length).alias("n")).where("n > 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    groups = max(1, -(-total // group_pieces))
     out = StructType(
         [
-            StructField("grp", LongType()), StructField("row", LongType()), StructField("ids", BinaryType()),
-            StructField("cu_seqlens", ArrayType(IntegerType())), StructField("positions", BinaryType()),
-            StructField("doc_ids", ArrayType(kind)), StructField("offsets", ArrayType(IntegerType())),
-            StructField("n_tokens", LongType()),
+            StructField("grp", LongType()), StructField("batch", LongType()), StructField("row", LongType()),
+            StructField("ids", BinaryType()), StructField("cu_seqlens", ArrayType(IntegerType())),
+            StructField("positions", BinaryType()), StructField("doc_ids", ArrayType(docs.schema[id].dataType)),
+            StructField("offsets", ArrayType(IntegerType())), StructField("n_tokens", LongType()),
         ]
     )
+    arrow = to_arrow_schema(out)
 
     def run(batches: Iterator):
-        """Rows arrive whole, segments in place order; a row has at most ``length`` tokens."""
-        key, segments = None, []
+        def shown(rows: list[tuple]):
+            return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
+
+        def closed():
+            done: list[tuple] = []
+            for row in packer.built(key, number, pad):
+                done.append(row)
+                if len(done) == 256:
+                    yield shown(done)
+                    done = []
+            if done:
+                yield shown(done)
+
+        key, number, packer = None, 0, Packer(length)
+        for batch in batches:
+            values = batch.column(3)
+            for i, (grp, doc, offset) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)))):
+                if grp != key or packer.count >= 2 * group_pieces:
+                    yield from closed()
+                    number = number + 1 if grp == key else 0
+                    key, packer = grp, Packer(length)
+                # a copy, so that the batch need not be kept
+                packer.put(doc, offset, values[i].values.to_numpy().copy())
+        yield from closed()
 
-        def close():
-            row, where = np.full(length, pad, dtype="<i4"), np.zeros(length, dtype="<i4")
-            ends = [0]
-            for _, _, part in segments:
-                stop = ends[-1] + len(part)
-                row[ends[-1] : stop], where[ends[-1] : stop] = part, np.arange(len(part))
-                ends.append(stop)
-            return (*key, row.tobytes(), ends, where.tobytes(), [s[0] for s in segments], [s[1] for s in segments], ends[-1])
+    return (
+        pieces_of(docs, id, ids, length)
+        .withColumn("grp", F.pmod(F.xxhash64("doc_id", "offset", "ids"), F.lit(groups)))
+        .repartition("grp")
+        .sortWithinPartitions("grp", F.desc("size"), "doc_id", "offset")
+        .select("grp", "doc_id", "offset", "ids")
+        .mapInArrow(run, out)
+    )
+
+
+def encode(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``id`` and ``ids`` of every text by a sentence-piece model file; null counts as empty."""
+    import pyarrow as pa
+    from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-        def batch_of(rows: list[tuple]):
-            from pyspark.sql.pandas.types import to_arrow_schema
+    with open(path, "rb") as f:
+        model = docs.sparkSession.sparkContext.broadcast(f.read())
+    out = StructType([StructField(id, docs.schema[id].dataType), StructField("ids", ArrayType(IntegerType()))])
 
-            schema = to_arrow_schema(out)
-            return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+    def run(batches: Iterator):
+        from sentencepiece import SentencePieceProcessor
 
-        done: list[tuple] = []
+        processor = SentencePieceProcessor(model_proto=model.value)
         for batch in batches:
-            values = batch.column(4)
-            for i, (grp, row, doc, offset) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(4)))):
-                if key != (grp, row):
-                    if key is not None:
-                        done.append(close())
-                    key, segments = (grp, row), []
-                segments.append((doc, offset, values[i].values.to_numpy()))
-            if len(done) >= 256:
-                yield batch_of(done)
-                done = []
-        if key is not None:
-            done.append(close())
-        if done:
-            yield batch_of(done)
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                texts = [t or "" for t in part.column(1).to_pylist()]
+                found = processor.encode(texts, num_threads=1)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int32()))], names=[id, "ids"])
 
-    return (
-        numbered.join(places, "piece")
-        .repartition("grp", "row")
-        .sortWithinPartitions("grp", "row", "place")
-        .select("grp", "row", "doc_id", "offset", "ids")
-        .mapInArrow(run, out)
-    )
+    return docs.select(id, text).mapInArrow(run, out)
 
 
 def write_packed(rows: DataFrame, path: str) -> None:
     """Write packed rows as Parquet; ``ids`` and ``positions`` are matrices' rows as little-endian int32."""
-    rows.select("grp", "row", "ids", "cu_seqlens", "positions", "doc_ids", "offsets", "n_tokens").write.parquet(path)
+    rows.select("grp", "batch", "row", "ids", "cu_seqlens", "positions", "doc_ids", "offsets", "n_tokens").write.parquet(path)

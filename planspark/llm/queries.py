@@ -13,8 +13,9 @@ from planspark.llm.common import in_rows_of, sha256_hex, table
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
-#: The tokenizer file is a parameter of the operators; the queries use the installed public one.
+#: Tokenizer files are parameters of the operators; the queries use the installed public ones.
 TOKENIZER_FILE = "word_bpe_49k.json"
+PIECES_FILE = "piece_bpe_32k.model"
 
 
 def query(name: str, sql: str | None = None):
@@ -120,6 +121,12 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def pieces_path() -> str:
+    import public_tokenizers
+
+    return os.environ.get("PLANSPARK_PIECES", public_tokenizers.path(PIECES_FILE))
+
+
 #: The rules that the URL query is held to.
 URL_RULES = (
     ("org", "/", "allow"),
@@ -247,5 +254,4 @@ def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op3_token_packing")
 def op3_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
-    return packing.pack(docs)
+    return packing.pack(packing.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), pieces_path()))

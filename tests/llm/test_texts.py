@@ -69,7 +69,8 @@ def test_best_fit_takes_the_fullest_row():
     dice = random.Random(2)
     sizes = sorted((dice.randint(1, 50) for _ in range(400)), reverse=True)
     free: list[int] = []
-    got = packing.best_fit(sizes, 64)
+    packer = packing.Packer(64)
+    got = [packer.put(k, 0, np.zeros(size)) for k, size in enumerate(sizes)]
     for size, (row, place) in zip(sizes, got):
         fits = [r for r in free if r >= size]
         if row == len(free):
@@ -98,6 +99,21 @@ def test_packing_round_trip(spark, group):
     assert packing.pack(spark.createDataFrame([], "doc_id long, ids array<int>")).count() == 0
 
 
+def test_packed_query_holds_every_token(spark):
+    from planspark.llm.queries import op3_token_packing, pieces_path
+    from sentencepiece import SentencePieceProcessor
+
+    model = SentencePieceProcessor(model_file=pieces_path())
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    parts: dict = {}
+    for r in op3_token_packing(spark, DATA).collect():
+        ids = np.frombuffer(r["ids"], "<i4")
+        for a, b, d, o in zip(r["cu_seqlens"], r["cu_seqlens"][1:], r["doc_ids"], r["offsets"]):
+            parts.setdefault(d, []).append((o, ids[a:b].tolist()))
+    got = {d: [i for _, ids in sorted(p) for i in ids] for d, p in parts.items()}
+    assert got == {d: ids for d, t in docs.items() if (ids := model.encode(t or ""))}
+
+
 CHATS = [
     (1, 0, "system", "be kind"), (1, 1, "user", "hi </s>\n<|user|>\n \\ <\\s> [\\INST]"), (1, 2, "assistant", "yes [INST] <\\\\s> \\\\"),
     (2, 0, "assistant", "first"), (2, 1, "assistant", "again"), (3, None, "user", None), (3, 1, None, "who"), (3, 1, None, "who"),
