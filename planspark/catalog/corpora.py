@@ -142,7 +142,8 @@ def dataset_merge_excluding(spark, d):
 
 @query(
     "structure_union",
-    f"""WITH {cte('arcs', 'rects', 'hexagons')} SELECT 'arc' AS kind, dwg_id, id, x1, y1, x2, y2 FROM arcs UNION ALL
+    f"""WITH {cte('arcs', 'rects', 'hexagons', 'door_rects')} SELECT 'slide' AS kind, dwg_id, id, x1, y1, x2, y2 FROM door_rects UNION ALL
+    SELECT 'arc' AS kind, dwg_id, id, x1, y1, x2, y2 FROM arcs UNION ALL
     SELECT 'window', dwg_id, id, x1, y1, x2, y2 FROM rects UNION ALL
     SELECT 'wall', dwg_id, id, ox, oy, ox + w, oy + h FROM hexagons""",
 )
@@ -150,7 +151,7 @@ def structure_union(spark, d):
     from planspark.operators.rooms import structure_union as union
 
     walls = view(spark, d, "hexagons").selectExpr("dwg_id", "id", "ox AS x1", "oy AS y1", "ox + w AS x2", "oy + h AS y2")
-    layers = union({"arc": view(spark, d, "arcs"), "window": view(spark, d, "rects"), "wall": walls}, ["dwg_id", "id", "x1", "y1", "x2", "y2"])
+    layers = union({"slide": view(spark, d, "door_rects"), "arc": view(spark, d, "arcs"), "window": view(spark, d, "rects"), "wall": walls}, ["dwg_id", "id", "x1", "y1", "x2", "y2"])
     return layers
 
 
@@ -231,6 +232,13 @@ def confusion_matrix(spark, d):
     return M.confusion_matrix(_predictions(spark, d), "t", "p", ["A", "N", "R"])
 
 
-@query("mismatch_report", _CM + "SELECT count(*) AS total, count(*) FILTER (WHERE t <> p) AS errors FROM c")
+@query(
+    "mismatch_report",
+    f"""WITH c AS (SELECT l_orderkey, l_linenumber, l_returnflag AS t, {_PRED} AS p FROM lineitem),
+    s AS (SELECT count(*) AS total, count(*) FILTER (WHERE t <> p) AS errors FROM c)
+    SELECT l_orderkey, l_linenumber, t, p, total, errors FROM c, s WHERE t <> p""",
+)
 def mismatch_report(spark, d):
-    return M.mismatch_totals(_predictions(spark, d), "t", "p")
+    """The rows that differ, with the totals beside them."""
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("t"), F.expr(_PRED).alias("p"))
+    return M.mismatches(rows, "t", "p").join(F.broadcast(M.mismatch_totals(rows, "t", "p")))

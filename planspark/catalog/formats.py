@@ -10,6 +10,9 @@ from planspark.catalog.scalars import hex_rings, r6, yolo
 from planspark.sources import files as S
 from planspark.sources import sinks as W
 
+#: Items per document part.
+PART = 5
+
 
 def docs(spark, d, expr, source="orders", key="o_orderkey"):
     return table(spark, d, source).select(F.col(key).alias("file"), F.expr(expr).alias("content"))
@@ -96,12 +99,12 @@ def src_labelme(spark, d):
 
 @query(
     "src_svg_segments",
-    """SELECT o_orderkey AS file, s AS seg_no, CASE s WHEN 1 THEN CAST(o_custkey AS DOUBLE) ELSE 5.5 END AS x1, CASE s WHEN 1 THEN 5.5 ELSE CAST(o_orderkey AS DOUBLE) END AS x2
+    """SELECT o_orderkey AS file, s - 1 AS path_no, 1 AS seg_no, CASE s WHEN 1 THEN CAST(o_custkey AS DOUBLE) ELSE 5.5 END AS x1, CASE s WHEN 1 THEN 5.5 ELSE CAST(o_orderkey AS DOUBLE) END AS x2
     FROM orders, (SELECT unnest([1, 2]) AS s)""",
 )
 def src_svg_segments(spark, d):
-    content = """concat('<svg><g id="A-WALL-1"><path style="x" d="M ', o_custkey, ',2 L 5.5,7 L ', o_orderkey, ',-3"/></g><g id="DOOR"><path d="M 1,1 L 2,2"/></g></svg>')"""
-    return S.parse_svg(docs(spark, d, content)).select("file", "seg_no", "x1", "x2")
+    content = """concat('<svg><g id="A-WALL-1"><g transform="scale(1)"><path style="x" d="M ', o_custkey, ',2 L 5.5,7"/></g><path d="M 5.5,7 L ', o_orderkey, ',-3"/></g><g id="DOOR"><path d="M 1,1 L 2,2"/></g></svg>')"""
+    return S.parse_svg(docs(spark, d, content)).select("file", "path_no", "seg_no", "x1", "x2")
 
 
 @query(
@@ -125,21 +128,21 @@ def snk_coco(spark, d):
     return a.select("id", "image_id", "category_id", r6(F.col("bx")).alias("bx"), r6(F.col("area")).alias("area"), "iscrowd")
 
 
-@query("snk_result_json", f"WITH {cte('arcs')} SELECT dwg_id, 0 AS part, count(*) AS n, min(x1) AS low FROM arcs GROUP BY 1")
+@query("snk_result_json", f"WITH {cte('arcs')} SELECT dwg_id, (n - 1) // 5 AS part, count(*) AS n, min(x1) AS low FROM (SELECT *, row_number() OVER (PARTITION BY dwg_id ORDER BY id) AS n FROM arcs) GROUP BY 1, 2")
 def snk_result_json(spark, d):
     """Documents written and read back: items per drawing and the smallest x."""
-    out = W.result_json(view(spark, d, "arcs"), ["dwg_id"], "doors", ["x1", "y1", "x2", "y2"])
+    out = W.result_json(view(spark, d, "arcs"), ["dwg_id"], "doors", ["x1", "y1", "x2", "y2"], PART)
     back = out.select("dwg_id", "part", F.from_json("json", "doors array<array<bigint>>")["doors"].alias("doors"))
     return back.select("dwg_id", "part", F.size("doors").alias("n"), F.array_min(F.transform("doors", lambda r: r[0])).alias("low"))
 
 
-@query("snk_labelme", f"WITH {cte('hexagons')} SELECT dwg_id, 0 AS part, count(*) AS n, min(ox) + 0.0 AS low FROM hexagons GROUP BY 1")
+@query("snk_labelme", f"WITH {cte('hexagons')} SELECT dwg_id, (n - 1) // 5 AS part, count(*) AS n, min(ox) + 0.0 AS low FROM (SELECT *, row_number() OVER (PARTITION BY dwg_id ORDER BY id) AS n FROM hexagons) GROUP BY 1, 2")
 def snk_labelme(spark, d):
     """LabelMe documents written and parsed again."""
     shapes = hex_rings(spark, d).select(
         "dwg_id", F.col("id").alias("shape_no"), F.lit("WallArea1").alias("label"), F.transform("ring", lambda p: F.array(p["x"], p["y"])).alias("points"),
         F.lit("polygon").alias("shape_type"), F.lit("").alias("description"),
     )
-    out = W.labelme_json(shapes, "dwg_id", F.lit(400), F.lit(400))
+    out = W.labelme_json(shapes, "dwg_id", F.lit(400), F.lit(400), PART)
     back = S.parse_labelme(out.select(F.struct("dwg_id", "part").alias("file"), F.col("json").alias("content")))
     return back.groupBy("file.dwg_id", "file.part").agg(F.count(F.lit(1)).alias("n"), F.min("x1").alias("low"))

@@ -138,11 +138,12 @@ def _snap_sql(shifts: str, limit: str) -> str:
     return _DW + f""", tr AS (SELECT dwg_id, id, x2 - x1 > y2 - y1 AS flat, {limit} AS lim, sh.turn, x1 + CASE WHEN x2 - x1 > y2 - y1 THEN 0 ELSE sh.s END AS x1,
       x2 + CASE WHEN x2 - x1 > y2 - y1 THEN 0 ELSE sh.s END AS x2, y1 + CASE WHEN x2 - x1 > y2 - y1 THEN sh.s ELSE 0 END AS y1,
       y2 + CASE WHEN x2 - x1 > y2 - y1 THEN sh.s ELSE 0 END AS y2 FROM door_rects, ({shifts}) sh),
-    dl AS (SELECT tr.*, e.dir, e.delta FROM tr, (SELECT 'lo' AS dir, unnest(range(120)) AS delta UNION ALL SELECT 'hi', unnest(range(120))) e WHERE e.delta <= lim),
-    ex AS (SELECT *, x1 - CASE WHEN flat AND dir = 'lo' THEN delta ELSE 0 END AS u1, x2 + CASE WHEN flat AND dir = 'hi' THEN delta ELSE 0 END AS u2,
-      y1 - CASE WHEN NOT flat AND dir = 'lo' THEN delta ELSE 0 END AS v1, y2 + CASE WHEN NOT flat AND dir = 'hi' THEN delta ELSE 0 END AS v2 FROM dl),
-    ok AS (SELECT ex.dwg_id, ex.id, turn, min(delta) FILTER (WHERE dir = 'lo') AS lo, min(delta) FILTER (WHERE dir = 'hi') AS hi FROM ex JOIN arcs a ON a.dwg_id = ex.dwg_id
-      AND a.x1 <= u2 AND a.x2 >= u1 AND a.y1 <= v2 AND a.y2 >= v1 GROUP BY 1, 2, 3),
+    m AS (SELECT tr.dwg_id, tr.id, turn, lim, CASE WHEN flat THEN tr.x1 - a.x2 ELSE tr.y1 - a.y2 END AS back,
+      CASE WHEN flat THEN a.x1 - tr.x2 ELSE a.y1 - tr.y2 END AS ahead FROM tr JOIN arcs a ON a.dwg_id = tr.dwg_id
+      AND CASE WHEN flat THEN a.y1 <= tr.y2 AND a.y2 >= tr.y1 ELSE a.x1 <= tr.x2 AND a.x2 >= tr.x1 END),
+    ok AS (SELECT dwg_id, id, turn, min(greatest(back, 0)) FILTER (WHERE ahead <= 0 AND back <= lim) AS lo,
+      min(greatest(ahead, 0)) FILTER (WHERE back <= 0 AND ahead <= lim) AS hi FROM m
+      WHERE greatest(back, ahead) <= lim GROUP BY 1, 2, 3),
     f AS (SELECT * FROM ok QUALIFY row_number() OVER (PARTITION BY dwg_id, id ORDER BY turn) = 1),
     g AS (SELECT tr.*, coalesce(lo, lim) AS lo, coalesce(hi, lim) AS hi FROM tr JOIN f USING (dwg_id, id, turn))
     SELECT dwg_id, id, x1 - CASE WHEN flat THEN lo ELSE 0 END AS x1, y1 - CASE WHEN flat THEN 0 ELSE lo END AS y1,

@@ -12,6 +12,7 @@ from planspark.operators import rooms as R
 from planspark.session import cut
 
 I = ["image_id"]
+IS = ["image_id", "side"]
 W, H = 200, 24
 _PX = f"WITH RECURSIVE {cte('raw_runs')}, px AS (SELECT DISTINCT image_id, side, y, unnest(range(x0, x1 + 1)) AS x FROM raw_runs), t AS (SELECT * FROM px WHERE side = 0), p AS (SELECT * FROM px WHERE side = 1) "
 
@@ -21,19 +22,24 @@ def sides(spark, d, keys=("image_id",)):
     return [cut(M.union_runs(raw.where(F.col("side") == s), keys)) for s in (0, 1)]
 
 
-@query("mask_area_bbox", _PX + "SELECT image_id, count(*) AS area, min(x) AS x, min(y) AS y, max(x) - min(x) + 1 AS w, max(y) - min(y) + 1 AS h FROM t GROUP BY 1")
+def both_sides(spark, d):
+    """Masks of both sides, each of its own: keys image_id and side."""
+    return cut(M.union_runs(view(spark, d, "raw_runs"), IS))
+
+
+@query("mask_area_bbox", _PX + "SELECT image_id, side, count(*) AS area, min(x) AS x, min(y) AS y, max(x) - min(x) + 1 AS w, max(y) - min(y) + 1 AS h FROM px GROUP BY 1, 2")
 def mask_area_bbox(spark, d):
-    return M.area_bbox(sides(spark, d)[0], I)
+    return M.area_bbox(both_sides(spark, d), IS)
 
 
 @query(
     "mask_rle",
-    _PX + f""", o AS (SELECT image_id, x * {H} + y AS k FROM t), g AS (SELECT image_id, k, k - row_number() OVER (PARTITION BY image_id ORDER BY k) AS g FROM o),
-    r AS (SELECT image_id, min(k) AS start, max(k) + 1 AS e FROM g GROUP BY image_id, g)
-    SELECT image_id, start, start - coalesce(lag(e) OVER (PARTITION BY image_id ORDER BY start), 0) AS zeros, e - start AS ones FROM r""",
+    _PX + f""", o AS (SELECT image_id, side, x * {H} + y AS k FROM px), g AS (SELECT image_id, side, k, k - row_number() OVER (PARTITION BY image_id, side ORDER BY k) AS g FROM o),
+    r AS (SELECT image_id, side, min(k) AS start, max(k) + 1 AS e FROM g GROUP BY image_id, side, g)
+    SELECT image_id, side, start, start - coalesce(lag(e) OVER (PARTITION BY image_id, side ORDER BY start), 0) AS zeros, e - start AS ones FROM r""",
 )
 def mask_rle(spark, d):
-    return M.column_rle(sides(spark, d)[0], I, W, H)
+    return M.column_rle(both_sides(spark, d), IS, W, H)
 
 
 @query(
@@ -72,16 +78,16 @@ def pixel_boundary_f1(spark, d):
 
 @query(
     "run_components",
-    _PX + """, n AS (SELECT image_id, y, x, y * 1000 + x AS k FROM t), rn AS (SELECT image_id, y, k, x - row_number() OVER (PARTITION BY image_id, y ORDER BY x) AS g, x FROM n),
-    r AS (SELECT image_id, y, min(x) AS x0, max(x) AS x1, min(k) AS id FROM rn GROUP BY image_id, y, g),
-    e AS (SELECT a.image_id, a.id AS a, b.id AS b FROM r a JOIN r b ON a.image_id = b.image_id AND abs(a.y - b.y) = 1 AND a.x0 <= b.x1 AND a.x1 >= b.x0),
-    cc AS (SELECT image_id, id, id AS comp FROM r UNION SELECT cc.image_id, e.b, cc.comp FROM cc JOIN e ON e.image_id = cc.image_id AND e.a = cc.id WHERE cc.comp < e.b),
-    m AS (SELECT image_id, id, min(comp) AS comp FROM cc GROUP BY 1, 2)
-    SELECT image_id, comp, CAST(sum(x1 - x0 + 1) AS BIGINT) AS area FROM r JOIN m USING (image_id, id) GROUP BY 1, 2 HAVING sum(x1 - x0 + 1) > 30""",
+    _PX + """, n AS (SELECT image_id, side, y, x, y * 1000 + x AS k FROM px), rn AS (SELECT image_id, side, y, k, x - row_number() OVER (PARTITION BY image_id, side, y ORDER BY x) AS g, x FROM n),
+    r AS (SELECT image_id, side, y, min(x) AS x0, max(x) AS x1, min(k) AS id FROM rn GROUP BY image_id, side, y, g),
+    e AS (SELECT a.image_id, a.side, a.id AS a, b.id AS b FROM r a JOIN r b ON a.image_id = b.image_id AND a.side = b.side AND abs(a.y - b.y) = 1 AND a.x0 <= b.x1 AND a.x1 >= b.x0),
+    cc AS (SELECT image_id, side, id, id AS comp FROM r UNION SELECT cc.image_id, cc.side, e.b, cc.comp FROM cc JOIN e ON e.image_id = cc.image_id AND e.side = cc.side AND e.a = cc.id WHERE cc.comp < e.b),
+    m AS (SELECT image_id, side, id, min(comp) AS comp FROM cc GROUP BY 1, 2, 3)
+    SELECT image_id, side, comp, CAST(sum(x1 - x0 + 1) AS BIGINT) AS area FROM r JOIN m USING (image_id, side, id) GROUP BY 1, 2, 3 HAVING sum(x1 - x0 + 1) > 30""",
 )
 def run_components(spark, d):
-    c = M.run_components(sides(spark, d)[0], I, 30)
-    return c.select("image_id", F.expr("comp.y * 1000 + comp.x0").alias("comp"), "area")
+    c = M.run_components(both_sides(spark, d), IS, 30)
+    return c.select("image_id", "side", F.expr("comp.y * 1000 + comp.x0").alias("comp"), "area")
 
 
 @query(

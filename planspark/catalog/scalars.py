@@ -435,11 +435,14 @@ def point_on_boundary(spark, d):
 
 @query(
     "vertex_turns",
-    f"""WITH {HEX_SQL} SELECT b.dwg_id, b.id, b.i, round((b.x - a.x) * (c.y - b.y) - (b.y - a.y) * (c.x - b.x), 6)
-    AS turn, round(degrees(acos(greatest(-1, least(1, -((b.x - a.x) * (c.x - b.x) + (b.y - a.y) * (c.y - b.y))
-      / sqrt((pow(b.x - a.x, 2) + pow(b.y - a.y, 2)) * (pow(c.x - b.x, 2) + pow(c.y - b.y, 2))))))), 6) AS angle
-    FROM verts b JOIN verts a ON a.id = b.id AND a.i = (b.i + 5) % 6
-    JOIN verts c ON c.id = b.id AND c.i = (b.i + 1) % 6""",
+    f"""WITH {HEX_SQL}, w AS (SELECT dwg_id, id, i, x, y,
+      coalesce(lag(x) OVER p, last_value(x) OVER a) AS ax, coalesce(lag(y) OVER p, last_value(y) OVER a) AS ay,
+      coalesce(lead(x) OVER p, first_value(x) OVER a) AS cx, coalesce(lead(y) OVER p, first_value(y) OVER a) AS cy FROM verts
+      WINDOW p AS (PARTITION BY id ORDER BY i), a AS (PARTITION BY id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+    SELECT dwg_id, id, i, round((x - ax) * (cy - y) - (y - ay) * (cx - x), 6)
+    AS turn, round(degrees(acos(greatest(-1, least(1, -((x - ax) * (cx - x) + (y - ay) * (cy - y))
+      / sqrt((pow(x - ax, 2) + pow(y - ay, 2)) * (pow(cx - x, 2) + pow(cy - y, 2))))))), 6) AS angle
+    FROM w""",
 )
 def vertex_turns(spark, d):
     turns = hex_rings(spark, d).select(*KEY, F.inline(G.vertex_turns(F.col("ring"))))

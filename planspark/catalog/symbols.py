@@ -90,7 +90,7 @@ def legend_sort(spark, d):
 def item_order(spark, d):
     from planspark.operators.ordering import ranked
 
-    return ranked(view(spark, d, "rects").select("dwg_id", "id"), K, [F.col("id")], "item_order")
+    return ranked(view(spark, d, "rects").select("dwg_id", "id"), K, [F.col("id")], "item_order", bounded=False)
 
 
 _ROWS = """gd AS (SELECT dwg_id, line_id FROM legend_nodes GROUP BY 1, 2 HAVING count(*) FILTER (WHERE type = 'Text') > 0 AND count(*) FILTER (WHERE type <> 'Text') > 0),

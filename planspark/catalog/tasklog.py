@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from planspark.catalog.bindings import cte, table, view
@@ -31,9 +33,9 @@ def src_tasks(spark, d):
     return conform(tasks(spark, d), TASK_COLUMNS).select("task_id", "user_id", "task_type", "task_name", "create_time")
 
 
-@query("task_by_user_sorted", _TASKS + "SELECT user_id, task_id, created FROM t ORDER BY created DESC")
+@query("task_by_user_sorted", _TASKS + "SELECT user_id, task_id, created FROM t WHERE user_id = 8 ORDER BY created DESC")
 def task_by_user_sorted(spark, d):
-    return K.by_user_sorted(tasks(spark, d)).select("user_id", "task_id", "created")
+    return K.by_user_sorted(tasks(spark, d), F.lit(8)).select("user_id", "task_id", "created")
 
 
 @query(
@@ -56,11 +58,11 @@ def task_search(spark, d):
 
 @query(
     "point_lookup",
-    "SELECT p_name, min(p_partkey) AS p_partkey, arg_min(p_brand, p_partkey) AS p_brand FROM part GROUP BY 1",
+    "SELECT p_name, min(p_partkey) AS p_partkey, arg_min(p_brand, p_partkey) AS p_brand FROM part WHERE p_name = 'small ring' GROUP BY 1",
 )
 def point_lookup(spark, d):
     parts = table(spark, d, "part").select("p_name", "p_partkey", "p_brand")
-    return K.first_by(parts, "p_name", "p_partkey")
+    return K.first_by(parts.where(F.col("p_name") == "small ring"), "p_name", "p_partkey")
 
 
 @query("recent_tasks_sql", _TASKS + "SELECT task_id, created FROM t ORDER BY created DESC, task_id LIMIT 10")
@@ -98,9 +100,17 @@ def task_delete(spark, d):
     "SELECT user_id, arg_max(event_type, (ts, event_type)) AS status FROM events GROUP BY 1",
 )
 def stream_task_status(spark, d):
-    """The state the status stream keeps: the last status per task."""
-    log = table(spark, d, "events").select("user_id", "ts", F.col("event_type").alias("status"))
-    return K.latest_status(log, "user_id").select("user_id", "status")
+    """The status stream run over all events until none is left, then its table read."""
+    from planspark.session import ensure_checkpoint_dir
+    from planspark.streaming.jobs import current_status, stream_task_status as job
+
+    folder = f"{ensure_checkpoint_dir(spark)}/status-{uuid.uuid4().hex}"
+    schema = table(spark, d, "events").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet*")
+    rows = events.select(F.col("user_id").alias("task_id"), F.col("event_type").alias("status"), "ts")
+    job(rows, f"{folder}/out", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    found = current_status(spark.read.parquet(f"{folder}/out"))
+    return found.select(F.col("task_id").alias("user_id"), "status")
 
 
 @query(

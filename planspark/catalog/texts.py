@@ -10,6 +10,7 @@ from planspark.functions import dictionaries as D
 from planspark.functions import text as T
 from planspark.operators import metrics as M
 from planspark.operators import texts as X
+from planspark.session import cut
 
 
 def _lit(text: str) -> str:
@@ -54,10 +55,10 @@ def keep_cjk(spark, d):
 
 @query(
     "text_len_filter",
-    TX + f"SELECT id, text FROM texts WHERE length(regexp_replace(text, '[^{_HEX_CJK}]', '', 'g')) BETWEEN 2 AND 4",
+    TX + f"SELECT id, text FROM texts WHERE length(regexp_replace(text, '[^{_HEX_CJK}]', '', 'g')) BETWEEN 2 AND 7",
 )
 def text_len_filter(spark, d):
-    return view(spark, d, "texts").where(T.label_length_ok(F.col("text"), 2, 4)).select("id", "text")
+    return view(spark, d, "texts").where(T.label_length_ok(F.col("text"))).select("id", "text")
 
 
 @query("has_cjk", LN + f"SELECT id, regexp_matches(text, '[{_HEX_WIDE}]') AS cjk FROM legend_names")
@@ -309,12 +310,15 @@ def viewport_code(spark, d):
 
 @query("text_classifier")
 def text_classifier(spark, d):
-    """Quality labels predicted from whole texts; the report of the held-in labels."""
+    """Quality labels predicted from whole texts: fitted on the train part, reported on the test part."""
+    from planspark.operators.datasets import THREE_WAY, split_exact
+
     rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").select(
         "doc_id", "text", F.col("quality").alias("label")
     )
-    model = X.text_classifier(rows, features=1 << 12, max_iter=10)
-    scored = X.classify(model, rows)
+    parts = cut(split_exact(rows, "doc_id", THREE_WAY))
+    model = X.text_classifier(parts.where("split = 'train'"), features=1 << 12, max_iter=10)
+    scored = X.classify(model, parts.where("split = 'test'"))
     return M.classification_report(M.confusion_counts(scored, "label", "prediction"))
 
 

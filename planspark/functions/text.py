@@ -92,15 +92,22 @@ def viewport_of(path: Column, kind: str = "model") -> Column:
 
 
 def natural_key(name: Column) -> Column:
-    """Sort key of alternating texts and numbers; numbers compare by value."""
+    """Sort key of alternating texts and numbers; numbers of any length compare by value.
+
+    A number is written as its count of digits, then the digits.
+    """
     runs = F.regexp_extract_all(F.lower(name), F.lit("([0-9]+|[^0-9]+)"), F.lit(1))
     keyed = F.transform(
         runs,
-        lambda r: F.when(r.rlike("^[0-9]"), F.lpad(F.regexp_replace(r, "^0+(?=.)", ""), 20, "0")).otherwise(r),
+        lambda r: F.when(r.rlike("^[0-9]"), _counted(F.regexp_replace(r, "^0+(?=.)", ""))).otherwise(r),
     )
     return F.when(name.rlike("^[0-9]"), F.concat(F.array(F.lit("")), keyed)).otherwise(keyed)
 
 
+def _counted(digits: Column) -> Column:
+    return F.concat(F.lpad(F.length(digits).cast("string"), 10, "0"), digits)
+
+
 def type_fanout(task_type: Column) -> Column:
     """Jobs of a task: ``Area`` covers the others, unknown names are ignored."""
     parts = F.split(task_type, ",")

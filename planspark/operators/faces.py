@@ -88,9 +88,10 @@ def planar_faces(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
 def points_in_rings(points: DataFrame, edges: DataFrame, keys: Sequence[str], owner: str, cell: float = 64, border: bool = False) -> DataFrame:
     """Points inside rings given as edges: (keys, point columns, owner).
 
-    A ray to the right is counted per ring from (point, edge) pairs, so
-    neither a large ring nor a crowded drawing sits in one row or task. The
-    boundary counts only with ``border``.
+    A ray to the right is counted per ring from (point, edge) pairs. Edges are
+    listed by the strips of y that they touch and points meet those of their
+    own strip only, so neither a large ring nor a crowded drawing sits in one
+    row or task. The boundary counts only with ``border``.
     """
     keys = list(keys)
     low, high = F.min(F.least("x1", "x2")), F.max(F.greatest("x1", "x2"))
@@ -100,7 +101,12 @@ def points_in_rings(points: DataFrame, edges: DataFrame, keys: Sequence[str], ow
     near = box_pairs(point_box(points), area, keys, cell)
     rest = [c for c in points.columns if c not in keys]
     cand = near.select(*keys, *[F.col(f"a_{c}").alias(c) for c in rest], F.col(f"b_{owner}").alias(owner))
-    pairs = cand.join(edges.select(*keys, owner, *[F.col(c).alias(f"e_{c}") for c in SEG]), [*keys, owner])
+    strip = lambda v: F.floor(v / F.lit(cell)).cast("long")
+    listed = edges.select(
+        *keys, owner, *[F.col(c).alias(f"e_{c}") for c in SEG],
+        F.explode(F.sequence(strip(F.least("y1", "y2")), strip(F.greatest("y1", "y2")))).alias("__strip"),
+    )
+    pairs = cand.withColumn("__strip", strip(F.col("y"))).join(listed, [*keys, owner, "__strip"])
     x, y = F.col("x"), F.col("y")
     ex1, ey1, ex2, ey2 = G.cols("e_x1 e_y1 e_x2 e_y2")
     rise = ey2 - ey1

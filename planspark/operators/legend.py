@@ -101,7 +101,7 @@ def component_bbox(grouped: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def sorted_nodes(nodes: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Number nodes from the top (larger y) and the left."""
-    return ranked(nodes, keys, [F.col("y1").desc(), F.col("x1"), F.col("id")], "rn")
+    return ranked(nodes, keys, [F.col("y1").desc(), F.col("x1"), F.col("id")], "rn", bounded=False)
 
 
 def legend_rows(items: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -185,12 +185,13 @@ def template_keys(members: DataFrame, edges: DataFrame, keys: Sequence[str], tur
     tpl = [*keys, "label", "tpl"]
     triples = edges.join(src, [*keys, "src"]).join(dst, [*tpl, "dst"])
     spin = triples.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(3 if turns else 0))))
-    triple = F.xxhash64("s", "d", G.rotated_code(F.col("weight"), F.col("turn"))).cast("decimal(38,0)")
-    shape = spin.groupBy(*tpl, "turn").agg(F.sum(triple).alias("h"), F.count(F.lit(1)).alias("e"))
-    kinds = members.groupBy(*tpl).agg(F.sum(F.xxhash64("ntype").cast("decimal(38,0)")).alias("k"), F.count(F.lit(1)).alias("n"))
+    # a template has few nodes, so its sorted types and triples are its key
+    triple = F.struct("s", "d", G.rotated_code(F.col("weight"), F.col("turn")).alias("w"))
+    shape = spin.groupBy(*tpl, "turn").agg(F.array_sort(F.collect_list(triple)).alias("h"))
+    kinds = members.groupBy(*tpl).agg(F.array_sort(F.collect_list("ntype")).alias("k"), F.count(F.lit(1)).alias("n"))
     every = kinds.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(3 if turns else 0))))
     known = every.join(shape, [*tpl, "turn"], "left").where("h IS NOT NULL OR turn = 0")
-    return known.groupBy(*keys, "label", "k", "n", "h", "e").agg(F.min(F.struct("tpl", "turn")).alias("t")).select(
+    return known.groupBy(*keys, "label", "k", "n", "h").agg(F.min(F.struct("tpl", "turn")).alias("t")).select(
         *keys, "label", "t.tpl", "t.turn", F.col("n").alias("node_num")
     )
 

@@ -199,5 +199,6 @@ def polygon_iou(pairs: DataFrame, left: DataFrame, right: DataFrame, keys: Seque
     both = x.join(right.select(*keys, "b", "y", F.col("x0").alias("r0"), F.col("x1").alias("r1")), [*keys, "b", "y"])
     width = F.least("l1", "r1") - F.greatest("l0", "r0") + 1
     common = both.where(width > 0).groupBy(*keys, "a", "b").agg(F.sum(width).alias("c"))
-    s = pairs.join(common, [*keys, "a", "b"], "left").join(la, [*keys, "a"]).join(lb, [*keys, "b"]).fillna(0, ["c"])
-    return s.select(*keys, "a", "b", (F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))).alias("iou"))
+    s = pairs.join(common, [*keys, "a", "b"], "left").join(la, [*keys, "a"], "left").join(lb, [*keys, "b"], "left").fillna(0, ["c", "na", "nb"])
+    union = F.col("na") + F.col("nb") - F.col("c")
+    return s.select(*keys, "a", "b", F.when(union > 0, F.col("c") / union).otherwise(0.0).alias("iou"))

@@ -1,10 +1,13 @@
 """Numbering and running folds that survive a group of any size.
 
-A window over one key sorts the whole key in one task. When the largest group
-is within ``planspark.window.maxGroupRows`` that is the cheapest plan. Beyond
-it the rows are range-partitioned in (keys, order), each range is numbered on
-its own, and the per-range totals, a table with one row per (key, range), are
-carried forward. Both ways give the same result.
+A window over one key sorts the whole key in one task. That is right where a
+key's rows are few by nature (a pixel row, a node's edges, a page's boxes);
+such callers leave ``bounded`` true. Orders without a key, and keys that may
+hold any number of rows (a drawing, an owner of tasks), go another way at
+every size: the rows are range-partitioned in (keys, order), each range is
+numbered on its own, and the per-range totals, a table with one row per (key,
+range), are carried forward. Both ways give the same result; which one runs is
+stated by the caller and never depends on the data.
 """
 
 from __future__ import annotations
@@ -14,23 +17,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from planspark.session import cut, setting
-
-MAX_GROUP_ROWS = "planspark.window.maxGroupRows"
-DEFAULT_GROUP_ROWS = 2_000_000
+from planspark.session import cut
 
 _CHUNK = "__chunk"
 
 
-def is_large_group(df: DataFrame, keys: Sequence[str]) -> bool:
-    """True when one group of ``keys`` is beyond the size bound for a window."""
-    bound = setting(df, MAX_GROUP_ROWS, DEFAULT_GROUP_ROWS)
-    if not keys:
-        return df.select(F.lit(1)).limit(bound + 1).count() > bound
-    largest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-    return (largest or 0) > bound
-
-
 def chunked(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """Range-partition by (keys, order) and name each row's range in ``__chunk``.
 
@@ -63,12 +54,13 @@ def ranked(
     keys: Sequence[str],
     order: Sequence[Column],
     name: str = "rn",
-    large: bool | None = None,
+    bounded: bool | None = None,
 ) -> DataFrame:
-    """Add ``name``: 1, 2, ... within ``keys`` in ``order`` (a total order)."""
-    if large is None:
-        large = is_large_group(df, keys)
-    if not large:
+    """Add ``name``: 1, 2, ... within ``keys`` in ``order`` (a total order).
+
+    ``bounded``: the rows of a key are few by nature; by default so if there is a key.
+    """
+    if bounded or (bounded is None and keys):
         return df.withColumn(name, F.row_number().over(_window(keys, order, False)).cast("long"))
     rows = chunked(df, keys, order)
     carry = _carry(rows, keys, {"n": F.count(F.lit(1))}, F.sum)
@@ -87,15 +79,14 @@ def islands(
     hi: str,
     tiebreak: Sequence[str] = (),
     name: str = "island",
-    large: bool | None = None,
+    bounded: bool | None = None,
 ) -> DataFrame:
     """Number the groups of intervals that touch or overlap within ``keys``.
 
     A new island starts where ``lo`` is beyond the largest ``hi`` seen so far.
     """
     order = [F.col(lo), F.col(hi), *[F.col(c) for c in tiebreak]]
-    if large is None:
-        large = is_large_group(df, keys)
+    large = not (keys if bounded is None else bounded)
     rows = chunked(df, keys, order) if large else df
     window = _window(keys, order, large)
     before = window.rowsBetween(Window.unboundedPreceding, -1)
@@ -126,12 +117,11 @@ def carried_header(
     order: Sequence[Column],
     value: Column,
     name: str,
-    large: bool | None = None,
+    bounded: bool | None = None,
 ) -> DataFrame:
     """Carry the latest non-null ``value`` down the rows of each group."""
     df = df.withColumn("__value", value)
-    if large is None:
-        large = is_large_group(df, keys)
+    large = not (keys if bounded is None else bounded)
     rows = chunked(df, keys, order) if large else df
     upto = _window(keys, order, large).rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn(name, F.last("__value", ignorenulls=True).over(upto))

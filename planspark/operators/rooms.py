@@ -94,7 +94,7 @@ def rooms(rings: DataFrame, labels: DataFrame, keys: Sequence[str], owner: str =
     )
     borders = directed.join(free, [*keys, "face"], "left_semi")
     named = room_functions(label_rooms(labels, borders, keys), sized, keys)
-    return ranked(cut(named), keys, [F.col("face")], "room_id")
+    return ranked(cut(named), keys, [F.col("face")], "room_id", bounded=False)
 
 
 def wall_outlines(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -118,11 +118,16 @@ def wall_outlines(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
     return kept.join(nested.select(*keys, F.col("inner").alias("block")), [*keys, "block"], "left_anti")
 
 
+#: Rounding of positions along an edge, in pixels.
+NEAR = 1e-6
+
+
 def drop_contained_rings(rings: DataFrame, keys: Sequence[str], owner: str = "id", cell: float = 128) -> DataFrame:
     """(keys, owner) of the polygons that lie in no other one; of equal ones the first stays.
 
-    A polygon lies in another when all its corners and edge middles do and no
-    edges cross.
+    A polygon lies in another when its border does. Each of its edges is cut
+    wherever the other border touches it, and the middles of all pieces are
+    tested, so edges that meet in corners only are seen too.
     """
     keys = list(keys)
     box = rings.select(*keys, owner, *[c.alias(n) for n, c in G.ring_bounds(F.col("ring")).items()], G.ring_area(F.col("ring")).alias("size"))
@@ -133,19 +138,40 @@ def drop_contained_rings(rings: DataFrame, keys: Sequence[str], owner: str = "id
     ring_a = rings.select(*keys, F.col(owner).alias("a"), F.col("ring").alias("ra"))
     ring_b = rings.select(*keys, F.col(owner).alias("b"), F.col("ring").alias("rb"))
     both = cand.join(ring_a, [*keys, "a"]).join(ring_b, [*keys, "b"])
-    ea, eb = G.ring_edges(F.col("ra")), G.ring_edges(F.col("rb"))
-    within = lambda x, y: G.point_in_edges(eb, x, y) | G.on_edges(eb, x, y)
-    corners = F.forall("ra", lambda p: within(p["x"], p["y"]))
-    middles = F.forall(ea, lambda e: within((e["x1"] + e["x2"]) / 2, (e["y1"] + e["y2"]) / 2))
-
-    def cross(e, x, y):
-        return (e["x2"] - e["x1"]) * (y - e["y1"]) - (e["y2"] - e["y1"]) * (x - e["x1"])
+    eb = G.ring_edges(F.col("rb"))
+    edge = both.select(*keys, "a", "b", eb.alias("eb"), F.explode(G.ring_edges(F.col("ra"))).alias("e"))
+    ex, ey = F.col("e.x1"), F.col("e.y1")
+    dx, dy = (F.col("e.x2") - ex).cast("double"), (F.col("e.y2") - ey).cast("double")
+    size = dx * dx + dy * dy
+
+    def touches(f):
+        """Where along the edge it meets ``f``: their crossing, or the ends of ``f`` if both lie on one line."""
+        fx, fy = (f["x2"] - f["x1"]).cast("double"), (f["y2"] - f["y1"]).cast("double")
+        turn, gx, gy = dx * fy - dy * fx, f["x1"] - ex, f["y1"] - ey
+        t, u = (gx * fy - gy * fx) / turn, (gx * dy - gy * dx) / turn
+        ends = F.array((gx * dx + gy * dy) / size, ((f["x2"] - ex) * dx + (f["y2"] - ey) * dy) / size)
+        return F.when(turn != 0, F.array(F.when(u.between(-NEAR, 1 + NEAR), t))).when(F.abs(gx * dy - gy * dx) <= NEAR * F.sqrt(size), ends)
+
+    stops = F.flatten(F.array_compact(F.transform("eb", touches)))
+    stops = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0), F.lit(1.0)), F.filter(stops, lambda t: t.between(0, 1)))))
+    pieces = edge.where(size > 0).withColumn("stops", stops)
+    middles = F.zip_with(
+        F.slice("stops", 1, F.size("stops") - 1), F.slice("stops", 2, F.size("stops") - 1),
+        lambda p, q: F.struct((ex + dx * (p + q) / 2).alias("x"), (ey + dy * (p + q) / 2).alias("y"), (q - p).alias("share")),
+    )
 
-    def proper(e, f):
-        return (cross(e, f["x1"], f["y1"]) * cross(e, f["x2"], f["y2"]) < 0) & (cross(f, e["x1"], e["y1"]) * cross(f, e["x2"], e["y2"]) < 0)
+    def near(f, x, y):
+        fx, fy = (f["x2"] - f["x1"]).cast("double"), (f["y2"] - f["y1"]).cast("double")
+        off = F.abs(fx * (y - f["y1"]) - fy * (x - f["x1"])) <= NEAR * F.greatest(F.lit(1.0), F.abs(fx) + F.abs(fy))
+        return off & x.between(F.least(f["x1"], f["x2"]) - NEAR, F.greatest(f["x1"], f["x2"]) + NEAR) & y.between(
+            F.least(f["y1"], f["y2"]) - NEAR, F.greatest(f["y1"], f["y2"]) + NEAR
+        )
 
-    crossing = F.exists(ea, lambda e: F.exists(eb, lambda f: proper(e, f)))
-    inner = both.where(corners & middles & ~crossing).select(*keys, F.col("a").alias(owner))
+    within = lambda p: G.point_in_edges(F.col("eb"), p["x"], p["y"]) | F.exists("eb", lambda f: near(f, p["x"], p["y"]))
+    tested = pieces.withColumn("middles", middles).select(
+        *keys, "a", "b", F.forall("middles", lambda p: (p["share"] < NEAR) | within(p)).alias("fits")
+    )
+    inner = tested.groupBy(*keys, "a", "b").agg(F.min("fits").alias("fits")).where("fits").select(*keys, F.col("a").alias(owner))
     return rings.select(*keys, owner).join(inner, [*keys, owner], "left_anti")
 
 

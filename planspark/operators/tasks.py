@@ -31,7 +31,7 @@ def pages(tasks: DataFrame, page: int, limit: int, keys: Sequence[str] = ("user_
     timed = with_time(tasks)
     totals = timed.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"))
     order = [F.col("created").desc(), F.col("task_id")]
-    numbered = ranked(timed, keys, order, "pos")
+    numbered = ranked(timed, keys, order, "pos", bounded=False)
     rows = numbered.where((F.col("pos") > (page - 1) * limit) & (F.col("pos") <= page * limit))
     return rows.join(totals, keys)
 

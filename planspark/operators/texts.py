@@ -26,7 +26,7 @@ def vocabulary(
         .where(F.col("count") >= min_count)
     )
     order = [F.col("count").desc(), F.col("token")]
-    top = ranked(counts.orderBy(*order).limit(size), [], order, "id", large=False)
+    top = ranked(counts.orderBy(*order).limit(size), [], order, "id", bounded=True)
     known = top.select("token", "count", (F.col("id") - 1).alias("id"))
     n = known.agg(F.count(F.lit(1)).alias("n"))
     extra = n.select(
@@ -45,8 +45,8 @@ def token_ids(
 ) -> DataFrame:
     """(key, seq_len, ids): token ids cut or padded to ``size``.
 
-    The vocabulary has at most VOCAB_SIZE + 2 rows, so it is broadcast; a row
-    is put together again from its ``size`` ids.
+    How the vocabulary meets the tokens is left to the planner; a row is put
+    together again from its ``size`` ids.
     """
     rows = texts.select(key, T.tokens(F.col(column), by_word).alias("__t"))
     rows = rows.select(
@@ -55,7 +55,7 @@ def token_ids(
         F.posexplode(T.padded(F.col("__t"), size, F.lit(D.PADDING))).alias("pos", "token"),
     )
     unknown = vocab.where(F.col("token") == D.UNKNOWN).select(F.col("id").alias("__unk"))
-    found = rows.join(F.broadcast(vocab.select("token", "id")), "token", "left").join(F.broadcast(unknown))
+    found = rows.join(vocab.select("token", "id"), "token", "left").join(F.broadcast(unknown))
     pair = F.struct("pos", F.coalesce("id", "__unk").alias("id"))
     return found.groupBy(key).agg(
         F.first("seq_len").alias("seq_len"),
@@ -63,22 +63,6 @@ def token_ids(
     )
 
 
-def category_table(words: DataFrame) -> dict[str, list[str]]:
-    """A dictionary table (rank, category, word) as a mapping.
-
-    Dictionaries are small by nature; one that is not is an error here and
-    belongs in a join.
-    """
-    bound = 100_000
-    rows = words.orderBy("rank").limit(bound + 1).collect()
-    if len(rows) > bound:
-        raise ValueError("dictionary table too large to be used as expressions")
-    out: dict[str, list[str]] = {}
-    for r in rows:
-        out.setdefault(r["category"], []).append(r["word"])
-    return out
-
-
 def reclassify(names: DataFrame, text: str, moves: Sequence[tuple[str, list[str], str | None]] = D.RECLASSIFY) -> DataFrame:
     """Move names with given words to other categories; the rest stays 'default'.
 
@@ -115,8 +99,8 @@ def subject_table(spark, subjects: Mapping[str, Sequence[str]] = D.LEGEND_SUBJEC
 def char_ngrams(column: str) -> Column:
     """Runs of one, two and three characters: the text zipped with itself, shifted."""
     one = T.characters(F.col(column))
-    two = F.zip_with(one, F.slice(one, 2, F.greatest(F.size(one) - 1, F.lit(0))), F.concat)
-    three = F.zip_with(two, F.slice(one, 3, F.greatest(F.size(one) - 2, F.lit(0))), F.concat)
+    two = F.zip_with(one, F.slice(one, 2, F.greatest(F.size(one) - 1, F.lit(0))), lambda a, b: F.concat(a, b))
+    three = F.zip_with(two, F.slice(one, 3, F.greatest(F.size(one) - 2, F.lit(0))), lambda a, b: F.concat(a, b))
     return F.array_compact(F.concat(one, two, three))
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,10 +29,9 @@ def session(app: str = "planspark", master: str | None = None, **conf: str) -> S
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the cluster.
 
-    The folder named by ``spark.checkpoint.dir`` is used as it is. Only a
-    local-mode session without one gets a scratch folder: on a cluster a
-    folder of one machine could not be read after an executor is lost, so a
-    missing setting is an error there.
+    The folder named by ``spark.checkpoint.dir`` is used as it is. Without
+    one, a folder in the warehouse is taken: executors and driver share the
+    warehouse wherever tables can be written, and it outlives a lost executor.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -41,9 +39,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     named = spark.conf.get(CHECKPOINT_KEY, None)
     if not named:
-        if not sc.master.startswith("local"):
-            raise RuntimeError(f"set {CHECKPOINT_KEY} to a shared folder")
-        named = tempfile.mkdtemp(prefix="planspark-checkpoint-")
+        named = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
     sc.setCheckpointDir(named)
     return named
 
@@ -63,7 +59,3 @@ def stored(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
-
-def setting(df: DataFrame, key: str, default: int) -> int:
-    """An integer setting of the session, e.g. a size bound."""
-    return int(df.sparkSession.conf.get(key, str(default)))

@@ -7,7 +7,7 @@ one row, its items are exploded at once.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ITEM_SCHEMA = (
@@ -170,11 +170,34 @@ def parse_corpus(files: DataFrame) -> DataFrame:
 def parse_svg(files: DataFrame, mark: str = "WALL") -> DataFrame:
     """(file, group_no, path_no, seg_no, x1..y2) of the paths in groups whose id holds ``mark``.
 
-    M moves, L draws from the last point. Groups are taken without nesting.
+    M moves, L draws from the last point. Groups nest: a group ends with the
+    closing tag of its own depth, and marked groups inside a marked one belong
+    to the outer one. Tags of one file are ordered in one window, as a file is
+    one row to begin with.
     """
-    groups = F.regexp_extract_all("content", F.lit(rf'(?s)<g[^>]*id="[^"]*{mark}[^"]*"[^>]*>(.*?)</g>'), F.lit(1))
-    g = files.select("file", F.posexplode(groups).alias("group_no", "g"))
-    p = g.select("file", "group_no", F.posexplode(F.regexp_extract_all("g", F.lit('<path[^>]* d="([^"]*)"'), F.lit(1))).alias("path_no", "d"))
+    tags = F.regexp_extract_all("content", F.lit(r"(?s)(<g(?=[\s>/])[^>]*>|</g\s*>|<path(?=[\s>/])[^>]*>)"), F.lit(1))
+    t = files.select("file", F.posexplode(tags).alias("pos", "tag"))
+    opens = F.col("tag").startswith("<g") & ~F.col("tag").endswith("/>")
+    step = F.when(opens, 1).when(F.col("tag").startswith("</g"), -1).otherwise(0)
+    along = Window.partitionBy("file").orderBy("pos")
+    t = t.withColumn("step", step).withColumn("depth", F.sum("step").over(along))
+    # the k-th opening tag of a depth belongs to the k-th closing tag of that depth
+    level = F.when(F.col("step") == 1, F.col("depth")).otherwise(F.col("depth") + 1)
+    t = t.withColumn("level", level).withColumn("nth", F.row_number().over(Window.partitionBy("file", "level", "step").orderBy("pos")))
+    ends = t.where("step = -1").select("file", "level", "nth", F.lit(1).alias("step"), F.col("pos").alias("end"))
+    t = t.join(ends, ["file", "level", "nth", "step"], "left")
+    marked = (F.col("step") == 1) & F.col("tag").rlike(f'id="[^"]*{mark}[^"]*"')
+    t = t.withColumn("reach", F.when(marked, F.coalesce("end", F.lit(2**31 - 1))))
+    before = along.rowsBetween(Window.unboundedPreceding, -1)
+    t = t.withColumn("open_to", F.coalesce(F.max("reach").over(before), F.lit(-1)))
+    outer = F.when(F.col("reach").isNotNull() & (F.col("open_to") < F.col("pos")), 1).otherwise(0)
+    t = t.withColumn("outer", outer).withColumn("group_no", F.sum("outer").over(along) - 1)
+    paths = t.where(F.col("tag").startswith("<path") & (F.col("open_to") > F.col("pos")) & F.col("tag").rlike(r'\sd="'))
+    p = paths.select(
+        "file", F.col("group_no").cast("int").alias("group_no"),
+        (F.row_number().over(Window.partitionBy("file", "group_no").orderBy("pos")) - 1).alias("path_no"),
+        F.regexp_extract("tag", r'\sd="([^"]*)"', 1).alias("d"),
+    )
     token = r"([ML])\s*([-0-9.]+),([-0-9.]+)"
     steps = F.arrays_zip(
         F.regexp_extract_all("d", F.lit(token), F.lit(1)).alias("c"), F.regexp_extract_all("d", F.lit(token), F.lit(2)).alias("x"),

@@ -1,7 +1,8 @@
 """Result and annotation documents.
 
-A document holds at most ``max_items`` items; a larger drawing or image is
-written as several parts, so no row grows with the data.
+A document is one part of a drawing or image: items are numbered, and part k
+holds the items from k times ``part_items``. The part length belongs to the
+format and is stated by whoever writes; no row grows with the data.
 """
 
 from __future__ import annotations
@@ -13,28 +14,26 @@ from pyspark.sql import functions as F
 
 from planspark.operators.ordering import ranked
 
-MAX_ITEMS = 10_000
 
-
-def documents(items: DataFrame, keys: Sequence[str], order: Sequence[str], item: Column, name: str, max_items: int = MAX_ITEMS) -> DataFrame:
-    """(keys, part, name): ordered item arrays of bounded length."""
+def documents(items: DataFrame, keys: Sequence[str], order: Sequence[str], item: Column, name: str, part_items: int) -> DataFrame:
+    """(keys, part, name): ordered item arrays of ``part_items`` items each, the last one shorter."""
     keys = list(keys)
-    numbered = ranked(items.withColumn("__item", item), keys, [F.col(c) for c in order], "__n")
-    part = F.floor((F.col("__n") - 1) / max_items).alias("part")
+    numbered = ranked(items.withColumn("__item", item), keys, [F.col(c) for c in order], "__n", bounded=False)
+    part = F.floor((F.col("__n") - 1) / part_items).alias("part")
     lists = numbered.groupBy(*keys, part).agg(F.array_sort(F.collect_list(F.struct("__n", "__item"))).alias("l"))
     return lists.select(*keys, "part", F.transform("l", lambda p: p["__item"]).alias(name))
 
 
-def result_json(items: DataFrame, keys: Sequence[str], kind: str, fields: Sequence[str]) -> DataFrame:
+def result_json(items: DataFrame, keys: Sequence[str], kind: str, fields: Sequence[str], part_items: int) -> DataFrame:
     """(keys, part, json): ``{kind: [[field values], ...]}`` per drawing."""
-    docs = documents(items, keys, ["id"], F.array(*fields), kind)
+    docs = documents(items, keys, ["id"], F.array(*fields), kind, part_items)
     return docs.select(*keys, "part", F.to_json(F.struct(*keys, kind)).alias("json"))
 
 
-def labelme_json(shapes: DataFrame, key: str, width: Column, height: Column) -> DataFrame:
+def labelme_json(shapes: DataFrame, key: str, width: Column, height: Column, part_items: int) -> DataFrame:
     """(key, part, json) from (key, shape_no, label, points, shape_type, description)."""
     shape = F.struct("label", "points", F.lit(None).cast("string").alias("group_id"), "description", "shape_type")
-    docs = documents(shapes, [key], ["shape_no"], shape, "shapes")
+    docs = documents(shapes, [key], ["shape_no"], shape, "shapes", part_items)
     body = F.struct(
         F.lit("5.5.0").alias("version"), F.col(key).cast("string").alias("imagePath"), height.alias("imageHeight"), width.alias("imageWidth"), "shapes"
     )
@@ -65,6 +64,7 @@ def coco_annotations(boxes: DataFrame, images: DataFrame, key: str) -> DataFrame
     )
 
 
-def write_documents(docs: DataFrame, path: str, by: Sequence[str]) -> None:
-    """One folder per key, the JSON text inside."""
-    docs.select(*by, "json").write.mode("overwrite").partitionBy(*by).text(path)
+def write_documents(docs: DataFrame, path: str, by: Sequence[str], buckets: int) -> None:
+    """The documents as rows (key columns, json) in ``buckets`` folders by the hash of the key."""
+    bucket = F.pmod(F.xxhash64(*by), F.lit(buckets)).alias("bucket")
+    docs.select(bucket, *by, "json").repartition("bucket").write.mode("overwrite").partitionBy("bucket").json(path)

@@ -4,57 +4,109 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from planspark.operators.tasks import latest_status, skip_done
-from planspark.sources.files import parse_items
+from planspark.sources.files import ITEM_KINDS, parse_items
 
-WAIT = "100 seconds"
+# Fixed value: how long the files of a drawing may take to arrive.
+WAIT_SECONDS = 100
+KIND_OF_FILE = r"([^/]*)_([A-Za-z]+)\.json$"
+
+
+def complete_drawings(files: DataFrame, kinds: int, wait: int = WAIT_SECONDS) -> DataFrame:
+    """The files of each drawing, once ``kinds`` different kinds have arrived.
+
+    ``files`` streams (dwg_name, kind, ts, file, content). A drawing's files
+    are kept as state under its name, at most one per kind, a later one in
+    place of an earlier one. They are given out together when the last kind
+    comes; a drawing that stays incomplete for ``wait`` seconds after its
+    latest file is given up, and its state removed.
+    """
+
+    def gather(key, frames, state):
+        held: dict[str, tuple[str, str]] = {}
+        latest = 0
+        if state.exists:
+            names, texts, sorts, latest = state.get
+            held = {k: (f, c) for k, f, c in zip(sorts, names, texts)}
+        if state.hasTimedOut:
+            state.remove()
+            return
+        for frame in frames:
+            for kind, ts, file, content in zip(frame["kind"], frame["ts"], frame["file"], frame["content"]):
+                held[kind] = (file, content)
+                latest = max(latest, int(ts.timestamp() * 1000))
+        if len(held) >= kinds:
+            if state.exists:
+                state.remove()
+            yield pd.DataFrame([(key[0], k, f, c) for k, (f, c) in sorted(held.items())], columns=["dwg_name", "kind", "file", "content"])
+            return
+        state.update(([f for f, _ in held.values()], [c for _, c in held.values()], list(held), latest))
+        state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + wait * 1000)
+
+    return (
+        files.withWatermark("ts", f"{wait} seconds")
+        .groupBy("dwg_name")
+        .applyInPandasWithState(
+            gather,
+            "dwg_name string, kind string, file string, content string",
+            "files array<string>, contents array<string>, kinds array<string>, latest long",
+            "append",
+            "EventTimeTimeout",
+        )
+    )
+
+
+def arriving_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(dwg_name, kind, ts, file, content) of item files named '<drawing>_<kind>.json', by their time of change."""
+    texts = spark.readStream.text(folder, wholetext=True)
+    path = F.col("_metadata.file_path")
+    return texts.select(
+        F.regexp_extract(path, KIND_OF_FILE, 1).alias("dwg_name"), F.regexp_extract(path, KIND_OF_FILE, 2).alias("kind"),
+        F.col("_metadata.file_modification_time").alias("ts"), path.alias("file"), F.col("value").alias("content"),
+    ).where("kind <> ''")
 
 
 def stream_drawings(
-    spark: SparkSession, folder: str, results: str, checkpoint: str, pipeline: Callable[[DataFrame], DataFrame], done: DataFrame | None = None
+    spark: SparkSession, folder: str, results: str, checkpoint: str, pipeline: Callable[[DataFrame], DataFrame],
+    done: DataFrame | None = None, kinds: int = len(ITEM_KINDS), wait: int = WAIT_SECONDS,
 ):
-    """Parse item files as they arrive and append the results of ``pipeline``.
+    """Run ``pipeline`` on the items of every drawing whose files have all arrived.
 
     Each batch is written under its batch id, so a batch that is run again
     after a failure replaces its own output. Files in ``done`` are skipped.
     """
-    texts = spark.readStream.text(folder, wholetext=True).select(
-        F.col("_metadata.file_path").alias("file"), F.col("value").alias("content")
-    )
+    ready = complete_drawings(arriving_files(spark, folder), kinds, wait)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         todo = batch if done is None else skip_done(batch, done, ["file"])
-        pipeline(parse_items(todo)).write.mode("overwrite").parquet(f"{results}/batch={batch_id}")
+        pipeline(parse_items(todo.select("file", "content"))).write.mode("overwrite").parquet(f"{results}/batch={batch_id}")
 
-    return texts.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
+    return ready.writeStream.foreachBatch(handle).outputMode("append").option("checkpointLocation", checkpoint)
 
 
-def complete_drawings(arrivals: DataFrame, kinds: int, wait: str = WAIT) -> DataFrame:
-    """Drawings whose item kinds have all arrived within the waiting time.
+def stream_task_status(events: DataFrame, target: str, checkpoint: str):
+    """Keep the last status per task of a stream (task_id, status, ts).
 
-    ``arrivals`` streams (dwg_id, kind, ts); a window of the waiting time
-    holds the kinds seen, bounded by the number of kinds.
+    The status is keyed state of the stream. A batch writes the tasks it
+    changes under its batch id and touches no others; ``current_status`` reads
+    the table. A repeated batch replaces its own rows.
     """
-    seen = arrivals.withWatermark("ts", wait).groupBy("dwg_id", F.window("ts", wait)).agg(
-        F.size(F.collect_set("kind")).alias("kinds")
-    )
-    return seen.where(F.col("kinds") >= kinds).select("dwg_id", "kinds")
 
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
 
-def stream_task_status(events: DataFrame, target: str, checkpoint: str):
-    """Keep the last status per task of a stream (task_id, status, ts) under ``target``.
+    return (
+        latest_status(events.select("task_id", "status", "ts"))
+        .writeStream.foreachBatch(handle)
+        .outputMode("update")
+        .option("checkpointLocation", checkpoint)
+    )
 
-    Every batch merges its own last status with the state written before;
-    states are numbered, so a repeated batch gives the same state.
-    """
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        rows = batch.select("task_id", "status", "ts")
-        if batch_id > 0:
-            rows = rows.unionByName(spark.read.parquet(f"{target}/state={batch_id - 1}"))
-        latest_status(rows).write.mode("overwrite").parquet(f"{target}/state={batch_id}")
 
-    return events.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
+def current_status(changes: DataFrame) -> DataFrame:
+    """The last status per task from the changes that ``stream_task_status`` wrote."""
+    return latest_status(changes.select("task_id", "status", "ts"))

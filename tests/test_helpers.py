@@ -14,7 +14,7 @@ from planspark.operators.spatial import box_pairs
 def test_ranked_is_the_same_for_large_groups(spark, large):
     rows = [(i % 2 if i % 3 else 0, (i * 37) % 11, i) for i in range(300)]
     df = spark.createDataFrame(rows, "k int, v int, id int")
-    got = {(r.k, r.id): r.rn for r in O.ranked(df, ["k"], [F.col("v"), F.col("id")], large=large).collect()}
+    got = {(r.k, r.id): r.rn for r in O.ranked(df, ["k"], [F.col("v"), F.col("id")], bounded=not large).collect()}
     for k in (0, 1):
         order = sorted((v, i) for g, v, i in rows if g == k)
         assert [got[k, i] for _, i in order] == list(range(1, len(order) + 1))
@@ -24,7 +24,7 @@ def test_ranked_is_the_same_for_large_groups(spark, large):
 def test_islands(spark, large):
     rng = random.Random(3)
     rows = [(g, a, a + rng.randrange(1, 5)) for g in range(2) for a in (rng.randrange(300) for _ in range(80))]
-    out = O.islands(spark.createDataFrame(rows, "g int, lo int, hi int"), ["g"], "lo", "hi", large=large)
+    out = O.islands(spark.createDataFrame(rows, "g int, lo int, hi int"), ["g"], "lo", "hi", bounded=not large)
     got = {(r.g, r.lo, r.hi) for r in out.groupBy("g", "island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).collect()}
     want = set()
     for g in range(2):
@@ -41,7 +41,7 @@ def test_islands(spark, large):
 @pytest.mark.parametrize("large", [False, True])
 def test_carried_header(spark, large):
     rows = [(0, i, f"h{i}" if i % 7 == 3 else None) for i in range(60)]
-    out = O.carried_header(spark.createDataFrame(rows, "g int, pos int, h string"), ["g"], [F.col("pos")], F.col("h"), "section", large)
+    out = O.carried_header(spark.createDataFrame(rows, "g int, pos int, h string"), ["g"], [F.col("pos")], F.col("h"), "section", not large)
     last = None
     for r in sorted(out.collect(), key=lambda r: r.pos):
         last = r.h or last

@@ -43,15 +43,10 @@ def test_close_boxes(spark, gap):
     assert got == set(todo)
 
 
-@pytest.mark.parametrize("bound", ["20000", "1"])
-def test_slide_doors_in_tasks_and_by_rounds(spark, bound):
+def test_slide_doors(spark):
     rows = boxes(random.Random(4), 14, 30, 130)
     df = spark.createDataFrame(rows, "dwg_id int, id int, x1 int, y1 int, x2 int, y2 int")
-    spark.conf.set(D.FOLD_KEY, bound)
-    try:
-        got = {(r.id, r.x1, r.y1, r.x2, r.y2) for r in D.slide_door_merge(df, K).collect()}
-    finally:
-        spark.conf.unset(D.FOLD_KEY)
+    got = {(r.id, r.x1, r.y1, r.x2, r.y2) for r in D.slide_door_merge(df, K).collect()}
     free, want = {r[1]: r[2:] for r in rows}, set()
     while free:
         i = min(free)
@@ -105,6 +100,42 @@ def test_wall_outline_of_two_blocks(spark):
     assert sorted(r.a for r in out) == [2400.0, 5000.0]
 
 
+NOTCHED = [(0, 0), (10, 0), (10, 10), (4, 10), (4, 8), (4, 5), (3, 5), (3, 8), (3, 10), (0, 10)]
+
+
+@pytest.mark.parametrize(
+    "inner, stays",
+    [
+        ([(0, 1), (10, 1), (10, 8), (0, 8)], True),
+        ([(0, 1), (10, 1), (10, 5), (0, 5)], False),
+        ([(0, 6), (3, 6), (3, 9), (0, 9)], False),
+        ([(2, 6), (5, 6), (5, 7), (2, 7)], True),
+        ([(1, 1), (9, 1), (5, 4)], False),
+        ([(0, 10), (3, 10), (3, 5), (4, 5), (4, 10), (10, 10), (10, 0), (0, 0)], False),
+    ],
+)
+def test_contained_polygons(spark, inner, stays):
+    rings = [(0, 1, [{"x": float(x), "y": float(y)} for x, y in NOTCHED]), (0, 2, [{"x": float(x), "y": float(y)} for x, y in inner])]
+    df = spark.createDataFrame(rings, "dwg_id int, id int, ring array<struct<x:double,y:double>>")
+    assert {r.id for r in P.drop_contained_rings(df, K).collect()} == ({1, 2} if stays else {1})
+
+
+def test_natural_keys_of_long_numbers(spark):
+    names = ["a2", "a10", "a0010b", "a123456789012345678901234", "a123456789012345678909999", "b1", "7"]
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    got = [r.n for r in df.orderBy(T.natural_key(F.col("n"))).collect()]
+    assert got == ["7", "a2", "a10", "a0010b", "a123456789012345678901234", "a123456789012345678909999", "b1"]
+
+
+def test_iou_of_rings_without_pixels(spark):
+    from planspark.operators import masks as M
+
+    pairs = spark.createDataFrame([(0, 1, 2), (0, 3, 2)], "dwg_id int, a int, b int")
+    runs = spark.createDataFrame([(0, 1, 0, 0, 3), (0, 2, 0, 2, 5)], "dwg_id int, id int, y int, x0 int, x1 int")
+    out = M.polygon_iou(pairs, runs.withColumnRenamed("id", "a"), runs.withColumnRenamed("id", "b"), K).collect()
+    assert {(r.a, r.b, round(r.iou, 4)) for r in out} == {(1, 2, round(2 / 6, 4)), (3, 2, 0.0)}
+
+
 def test_viewport_and_dates(spark):
     row = spark.range(1).select(
         *[F.lit(v).alias(n) for n, v in (("rx1", 0.0), ("ry1", 0.0), ("rx2", 100.0), ("ry2", 50.0), ("img_w", 200), ("img_h", 200), ("x1", 10.0), ("y1", 10.0), ("x2", 20.0), ("y2", 30.0))],

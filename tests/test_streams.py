@@ -12,25 +12,54 @@ def write(folder, name, payload):
         f.write(payload if isinstance(payload, str) else json.dumps(payload, ensure_ascii=False))
 
 
-def test_stream_drawings(spark, tmp_path):
+def test_stream_drawings_waits_for_all_kinds(spark, tmp_path):
     src, out, ck = (str(tmp_path / n) for n in ("in", "out", "ck"))
     os.makedirs(src)
-    write(src, "p_ArcDoor.json", {"dwg_name": "p", "arc_items": [{"rect": [0, 0, 1, 1], "point": [0, 0, 1, 1]}]})
-    q = J.stream_drawings(spark, src, out, ck, lambda items: items.select("kind", "item_no")).trigger(availableNow=True).start()
-    q.awaitTermination(60)
-    write(src, "p_Text.json", {"dwg_name": "p", "text_items": [{"text": "厨房", "x": 1, "y": 2}]})
-    q = J.stream_drawings(spark, src, out, ck, lambda items: items.select("kind", "item_no")).trigger(availableNow=True).start()
-    q.awaitTermination(60)
-    assert sorted(r.kind for r in spark.read.parquet(out).collect()) == ["ArcDoor", "Text"]
+    arcs = {"dwg_name": "p", "arc_items": [{"rect": [0, 0, 1, 1], "point": [0, 0, 1, 1]}]}
+    text = {"dwg_name": "p", "text_items": [{"text": "厨房", "x": 1, "y": 2}]}
+
+    def run():
+        job = J.stream_drawings(spark, src, out, ck, lambda items: items.select("file", "kind", "item_no"), kinds=2)
+        query = job.trigger(availableNow=True).start()
+        query.awaitTermination(120)
+        return sorted((os.path.basename(r.file), r.kind) for r in spark.read.schema("file string, kind string, item_no int").parquet(out).collect())
+
+    def put(name, payload, seconds):
+        write(src, name, payload)
+        os.utime(os.path.join(src, name), (1_700_000_000 + seconds,) * 2)
+
+    put("p_ArcDoor.json", arcs, 99)
+    put("q_ArcDoor.json", arcs, 0)
+    assert run() == []
+    # the second file comes in another window of the waiting time
+    put("p_Text.json", text, 101)
+    assert run() == [("p_ArcDoor.json", "ArcDoor"), ("p_Text.json", "Text")]
+    # a drawing left incomplete for too long is given up; a repeated run gives nothing new
+    put("r_ArcDoor.json", arcs, 1000)
+    run()
+    put("q_Text.json", text, 1001)
+    assert len(run()) == 2 and len(run()) == 2
 
 
 def test_stream_task_status(spark, tmp_path):
     src, out, ck = (str(tmp_path / n) for n in ("in", "out", "ck"))
-    for status, ts in (("processing", "2024-01-01 00:00:00"), ("sucess", "2024-01-01 00:05:00")):
-        spark.createDataFrame([("a", status)], "task_id string, status string").selectExpr("*", f"timestamp'{ts}' AS ts").write.mode("append").parquet(src)
-        stream = spark.readStream.schema("task_id string, status string, ts timestamp").parquet(src)
-        J.stream_task_status(stream, out, ck).trigger(availableNow=True).start().awaitTermination(60)
-    assert [r.status for r in spark.read.parquet(f"{out}/state=1").collect()] == ["sucess"]
+    schema = "task_id string, status string, ts timestamp"
+    rows = [[("a", "processing", 0), ("b", "processing", 0)], [("a", "sucess", 5)], [("a", "fail", 3)]]
+    for batch in rows:
+        spark.createDataFrame(batch, "task_id string, status string, m int").selectExpr(
+            "task_id", "status", "timestamp'2024-01-01 00:00:00' + make_dt_interval(0, 0, m) AS ts"
+        ).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(schema).parquet(src)
+        J.stream_task_status(stream, out, ck).trigger(availableNow=True).start().awaitTermination(120)
+    changes = spark.read.parquet(out)
+    assert {(r.task_id, r.status) for r in J.current_status(changes).collect()} == {("a", "sucess"), ("b", "processing")}
+    assert [r.task_id for r in changes.where("batch = 1").collect()] == ["a"]
+
+
+def test_nested_svg_groups(spark):
+    svg = '<svg><g id="A-WALL"><g id="WALL-in"><path d="M 0,0 L 1,0"/></g><g/><path d="M 1,0 L 2,0"/></g><path d="M 5,5 L 6,6"/><g id="x"><g id="WALL"><path d="M 2,0 L 3,0"/></g></g></svg>'
+    got = S.parse_svg(spark.createDataFrame([("f", svg)], "file string, content string")).collect()
+    assert sorted((r.group_no, r.path_no, r.x1, r.x2) for r in got) == [(0, 0, 0.0, 1.0), (0, 1, 1.0, 2.0), (1, 0, 2.0, 3.0)]
 
 
 def test_bad_rows_drop_the_whole_dump(spark, tmp_path):
