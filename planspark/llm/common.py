@@ -24,6 +24,18 @@ def sha256_hex(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
+def smallest_hashes(df: DataFrame, id: str, rows: int, slack: int = 4) -> DataFrame:
+    """The ``rows`` rows with the smallest hashes of ``id``, a sample that is the same on every run.
+
+    Rows are counted first, and only hashes in the range that holds ``slack``
+    times the rows wanted take part in the sort, so what meets in one task is
+    bounded by the sample and not by the number of partitions.
+    """
+    share = min(1.0, slack * rows / max(1, df.count()))
+    low = F.shiftrightunsigned(F.xxhash64(id), 32) < F.lit(int(share * 2**32))
+    return df.where(low).orderBy(F.shiftrightunsigned(F.xxhash64(id), 32), id).limit(rows)
+
+
 def in_rows_of(docs: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
     """Left join of ``found`` (one row per key) to every row of ``docs``; null keys meet each other.
 

@@ -29,6 +29,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from planspark.llm.common import smallest_hashes
+
 #: Most pages that the chain is trained on, the ones with the smallest hashes of their ids.
 TRAIN_PAGES = 200
 #: Longer pages are not taken for training, so the sample is bounded in bytes and blocks too.
@@ -354,13 +356,11 @@ def training_set(pages: list[str], layouts: int = LAYOUTS, seed: int = 7) -> lis
 
 def train(pages: DataFrame, id: str = "page_id", html: str = "html", most: int = TRAIN_PAGES) -> Chain:
     """Train on a bounded sample; at most ``most`` pages of ``TRAIN_CHARS`` come to the driver."""
-    sample = (
-        pages.select(F.col(id).alias("_id"), F.col(html).alias("html"))
-        .where((F.length("html") <= TRAIN_CHARS) & F.col("html").contains("<article"))
-        .orderBy(F.xxhash64("_id"), "_id", "html")
-        .limit(most)
+    fit_for_it = pages.select(F.col(id).alias("_id"), F.col(html).alias("html")).where(
+        (F.length("html") <= TRAIN_CHARS) & F.col("html").contains("<article")
     )
-    return Chain().fit(training_set([r["html"] for r in sample.select("html").collect()]))
+    sample = smallest_hashes(fit_for_it, "_id", most).select("html").collect()
+    return Chain().fit(training_set(sorted(r["html"] for r in sample)))
 
 
 def main_text(pages: DataFrame, chain: Chain, id: str = "page_id", html: str = "html") -> DataFrame:

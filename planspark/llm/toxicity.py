@@ -25,6 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from planspark.llm.common import smallest_hashes
 from planspark.session import cut
 
 #: Most labelled rows that a model is fitted on; the rows with the smallest hashes of their ids.
@@ -228,9 +229,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id: str, text: str, labe
         labels.where(F.col(label).isNotNull() & F.col(id).isNotNull())
         .groupBy(F.col(id).alias("_id"))
         .agg((F.max(F.col(label)) > 0).cast("int").alias("y"))
-        .orderBy(F.xxhash64("_id"), "_id")
-        .limit(rows)
     )
+    chosen = smallest_hashes(chosen, "_id", rows)
     return docs.select(F.col(id).alias("_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "_id").select(
         "text", "y", F.pmod(F.xxhash64("_id", F.lit(1)), F.lit(CALIBRATION_FOLDS)).cast("int").alias("fold")
     )
