@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Mapping
 from functools import reduce
 
@@ -50,10 +51,22 @@ def first_category(text: Column, words: Mapping[str, Iterable[str]], default: st
 def first_pattern(text: Column, patterns: Mapping[str, str]) -> Column:
     """The first category whose pattern occurs, ignoring case and across lines.
 
-    An empty pattern matches everything.
+    An empty pattern matches everything. Patterns that are plain words side by
+    side are looked up in the text, lower-cased once; only the others are run
+    as regular expressions.
     """
-    hits = [F.when(text.rlike(f"(?is){p}"), F.lit(name)) for name, p in patterns.items()]
-    return F.coalesce(*hits)
+
+    def test(t: Column, low: Column, pattern: str) -> Column:
+        words = pattern.split("|")
+        if any(re.search(r"[\\.^$*+?()\[\]{}]", w) for w in words):
+            return t.rlike(f"(?is){pattern}")
+        return contains_any(low, [w.lower() for w in words])
+
+    def first(both: Column) -> Column:
+        return F.coalesce(*[F.when(test(both["t"], both["low"], p), F.lit(name)) for name, p in patterns.items()])
+
+    # inside the array the lower-cased text is a value, not an expression repeated per word
+    return F.get(F.transform(F.array(F.struct(text.alias("t"), F.lower(text).alias("low"))), first), F.lit(0))
 
 
 def all_categories(text: Column, words: Mapping[str, Iterable[str]], default: str | None) -> Column:
