@@ -5,7 +5,7 @@ are dealt by hash over groups of about ``group_pieces`` pieces, and a group is
 packed where its pieces arrive, in descending order of size: each goes to the
 fullest row that has room, which a segment tree over free capacities finds in
 logarithmic time. Ids are shuffled once; the number of groups follows from a
-count of the pieces made before. A group that turns out twice as large as
+count of the pieces, or from a bound of it where ids are costly to make twice. A group that turns out twice as large as
 meant (one row repeated very often) is closed and begun anew, so a task never
 holds more than two groups' worth of ids.
 
@@ -112,18 +112,22 @@ class Packer:
 
 
 def pack(
-    docs: DataFrame, id: str = "doc_id", ids: str = "ids", length: int = LENGTH, pad: int = PAD, group_pieces: int = GROUP_PIECES
-) -> DataFrame:
+    docs: DataFrame, id: str = "doc_id", ids: str = "ids", length: int = LENGTH, pad: int = PAD, group_pieces: int = GROUP_PIECES,
+    pieces: int | None = None,
+) -> DataFrame:
     """One row per packed row, named by ``grp``, ``batch`` and ``row``:
 
     ``ids``, ``cu_seqlens``, ``positions``, ``doc_ids``, ``offsets``, ``n_tokens``.
+    ``pieces`` is a number that the pieces do not exceed; without it they are counted.
     """
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
-    total = docs.select(F.ceil(F.size(ids) / length).alias("n")).where("n > 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    groups = max(1, -(-total // group_pieces))
+    if pieces is None:
+        counts = docs.select(F.ceil(F.size(ids) / length).alias("n")).where("n > 0")
+        pieces = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    groups = max(1, -(-pieces // group_pieces))
     out = StructType(
         [
             StructField("grp", LongType()), StructField("batch", LongType()), StructField("row", LongType()),
@@ -170,6 +174,12 @@ def pack(
     )
 
 
+def most_pieces(docs: DataFrame, text: str = "text", length: int = LENGTH) -> int:
+    """A bound of the pieces of the texts: no token is shorter than a byte, but for one at the start of a text."""
+    size = F.floor(F.octet_length(F.coalesce(text, F.lit(""))) / length) + 1
+    return docs.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+
+
 def encode(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``id`` and ``ids`` of every text by a sentence-piece model file; null counts as empty."""
     import pyarrow as pa

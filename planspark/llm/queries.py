@@ -254,4 +254,5 @@ def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op3_token_packing")
 def op3_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(packing.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), pieces_path()))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(packing.encode(docs, pieces_path()), pieces=packing.most_pieces(docs))
