@@ -15,6 +15,7 @@ MODULES = (
     "detections",
     "lines",
     "plans",
+    "cycles",
     "symbols",
     "rasters",
     "formats",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from planspark.catalog.bindings import cte, view
-from planspark.catalog.lines import segments
+from planspark.catalog.lines import SPLIT_SQL, segments
 from planspark.catalog.registry import query
 from planspark.catalog.scalars import HEX_SQL, hex_rings, r6
 from planspark.operators import faces as P
@@ -35,9 +35,13 @@ def polygon_drop_contained(spark, d):
     return R.drop_contained_rings(hex_rings(spark, d).select("dwg_id", "id", "ring"), K)
 
 
-@query("node_boundaries")
+@query(
+    "node_boundaries",
+    f"""WITH {HEX_SQL}, segments AS (SELECT dwg_id, CAST(round_even(x1, 0) AS BIGINT) AS x1, CAST(round_even(y1, 0) AS BIGINT) AS y1,
+      CAST(round_even(x2, 0) AS BIGINT) AS x2, CAST(round_even(y2, 0) AS BIGINT) AS y2 FROM hex_edges), {SPLIT_SQL} SELECT dwg_id, x1, y1, x2, y2 FROM sp""",
+)
 def node_boundaries(spark, d):
-    return P.node_boundaries(hex_rings(spark, d).select("dwg_id", "ring"), K)
+    return P.node_boundaries(hex_rings(spark, d).select("dwg_id", "ring"), K).select("dwg_id", *BOX)
 
 
 @query("rooms")

@@ -56,10 +56,22 @@ def pixel_metrics(spark, d):
     return m.select("image_id", *[r6(F.col(c)).alias(c) for c in ("accuracy", "recall", "precision", "f1", "iou")])
 
 
-@query("pixel_metrics_by_class")
+@query(
+    "pixel_metrics_by_class",
+    f"""WITH {cte('raw_runs')}, q AS (SELECT DISTINCT image_id, side, cls, y, unnest(range(x0, x1 + 1)) AS x FROM raw_runs),
+    a AS (SELECT cls, count(*) AS t FROM q WHERE side = 0 GROUP BY 1), b AS (SELECT cls, count(*) AS p FROM q WHERE side = 1 GROUP BY 1),
+    c AS (SELECT l.cls, count(*) AS tp FROM q l JOIN q r USING (image_id, cls, y, x) WHERE l.side = 0 AND r.side = 1 GROUP BY 1),
+    o AS (SELECT image_id, y, x, max(side = 0) AS in_t, max(side = 1) AS in_p FROM q GROUP BY 1, 2, 3),
+    g AS (SELECT count(DISTINCT image_id) * {W * H} AS n, count(*) FILTER (WHERE in_t) AS t, count(*) FILTER (WHERE in_p) AS p, count(*) FILTER (WHERE in_t AND in_p) AS c FROM o),
+    k AS (SELECT cls, coalesce(t, 0) AS t, coalesce(p, 0) AS p, coalesce(tp, 0) AS tp FROM a FULL JOIN b USING (cls) LEFT JOIN c USING (cls)
+      UNION ALL SELECT 0, n - t, n - p, n - t - p + c FROM g)
+    SELECT cls, round(coalesce(tp / nullif(t + p - tp, 0), 0), 6) AS iou, round(coalesce(tp / nullif(p, 0), 0), 6) AS precision,
+      round(coalesce(tp / nullif(t, 0), 0), 6) AS recall FROM k""",
+)
 def pixel_metrics_by_class(spark, d):
     t, p = sides(spark, d, ("image_id", "cls"))
-    return M.pixel_metrics_by_class(t, p, "image_id", "cls", W * H)
+    out = M.pixel_metrics_by_class(t, p, "image_id", "cls", W * H)
+    return out.select("cls", *[r6(F.col(c)).alias(c) for c in ("iou", "precision", "recall")])
 
 
 @query(

@@ -136,6 +136,41 @@ def test_iou_of_rings_without_pixels(spark):
     assert {(r.a, r.b, round(r.iou, 4)) for r in out} == {(1, 2, round(2 / 6, 4)), (3, 2, 0.0)}
 
 
+def test_cycles_of_door_lines(spark):
+    from planspark.operators import cycles as C
+    from planspark.operators import faces
+
+    def box(x1, y1, x2, y2):
+        return [(x1, y1, x2, y1), (x1, y2, x2, y2), (x1, y1, x1, y2), (x2, y1, x2, y2)]
+
+    # two leaves that slide past each other, a square, and a leaf whose long side has a line on it
+    lines = box(0, 0, 80, 10) + box(75, 12, 160, 20) + box(300, 300, 340, 340) + box(0, 500, 100, 510) + box(40, 510, 60, 600)
+    df = spark.createDataFrame([(0, i, *l) for i, l in enumerate(lines)], "dwg_id int, id int, x1 int, y1 int, x2 int, y2 int")
+    from planspark.operators.segments import merge_collinear, split_all
+
+    directed = faces.planar_faces(split_all(merge_collinear(df, K), K), K)
+    four = {(r.x1, r.y1, r.x2, r.y2) for r in C.four_point_cycles(directed, K).collect()}
+    assert four == {(0, 0, 80, 10), (75, 12, 160, 20), (300, 300, 340, 340), (40, 510, 60, 600)}
+    rects = C.rect_cycles(directed, K)
+    assert {(r.x1, r.y1, r.x2, r.y2) for r in rects.collect()} == four | {(0, 500, 100, 510)}
+    leaves = {(r.otype, r.x1, r.y1, r.x2, r.y2) for r in C.cycles_to_rects(rects, K).collect()}
+    assert leaves == {(0, 0, 0, 80, 10), (0, 75, 12, 160, 20), (0, 0, 500, 100, 510)}
+    doors = C.slide_doors_by_cycles(df, K).collect()
+    assert [(r.otype, r.x1, r.y1, r.x2, r.y2) for r in doors] == [(0, 0, 0, 160, 20)]
+
+
+def test_subset_cycles(spark):
+    from planspark.operators import cycles as C
+
+    def ring_of(*points):
+        return [{"x": float(x), "y": float(y)} for x, y in points]
+
+    a = ring_of((0, 0), (10, 0), (10, 5), (10, 10), (0, 10))
+    rows = [(0, 1, a), (0, 2, a[:2] + a[3:]), (0, 3, [a[0], a[3], a[1], a[2], a[4]]), (0, 4, ring_of((0, 0), (10, 0), (5, 5))), (0, 5, a), (1, 2, a[:3])]
+    df = spark.createDataFrame(rows, "dwg_id int, id int, ring array<struct<x:double,y:double>>")
+    assert {(r.dwg_id, r.id) for r in C.drop_subset_cycles(df, K).collect()} == {(0, 1), (0, 4), (1, 2)}
+
+
 def test_viewport_and_dates(spark):
     row = spark.range(1).select(
         *[F.lit(v).alias(n) for n, v in (("rx1", 0.0), ("ry1", 0.0), ("rx2", 100.0), ("ry2", 50.0), ("img_w", 200), ("img_h", 200), ("x1", 10.0), ("y1", 10.0), ("x2", 20.0), ("y2", 30.0))],
