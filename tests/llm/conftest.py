@@ -5,29 +5,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-PASSAGE = "the quick brown fox jumps over the lazy dog and then it sleeps until the morning comes again"
-
-#: Rows that have given trouble: nulls, empty texts, ties, copies, repeated rows, a long text, odd characters.
-ROWS = [
-    (1, "Hello World, this is one line.\nAnd a second line here.\nshort"),
-    (2, "hello world, this is one line.  \nOwn words of the second text"),
-    (3, "Hello World, this is one line.\nAnd a second line here.\nshort"),
-    (4, None),
-    (5, ""),
-    (6, " \t\n"),
-    (7, f"Start {PASSAGE.upper()}, end. 1 2 3"),
-    (8, "x" * 5000 + "\n" + "word " * 4000),
-    (9, "Ünïcödé ßtraße ΑΣ Σ ǅ İ\x00\x1c\u2028 😀 'S we'RE 1234"),
-    (9, "Ünïcödé ßtraße ΑΣ Σ ǅ İ\x00\x1c\u2028 😀 'S we'RE 1234"),
-    (None, "Hello World, this is one line.\nAnd a second line here.\nshort"),
-    (None, "a text without an id"),
-    (10, "Hello  World, this is one line.\nAnd a second line here.\nshort"),
-    (11, "a b"),
-    (12, "<|startoftext|>tokens<|endoftext|> as text"),
-    (13, "And a second line here.\nAnd a second line here.\n\nAnd a second line here."),
-    (14, " ".join(f"tok{i}" for i in range(300))),
-    (15, " ".join(f"tok{i}" for i in range(299)) + " other"),
-]
+from brute import ROWS  # noqa: E402
 
 
 @pytest.fixture(scope="session")

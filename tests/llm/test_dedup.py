@@ -2,7 +2,7 @@
 
 import brute
 import numpy as np
-from conftest import PASSAGE
+from brute import PASSAGE
 from pyspark.sql import functions as F
 
 from planspark.llm import decontaminate, exact_dedup, lines, simhash
