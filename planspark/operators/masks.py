@@ -147,19 +147,51 @@ def area_bbox(runs: DataFrame, keys: Sequence[str]) -> DataFrame:
 def column_rle(runs: DataFrame, keys: Sequence[str], width: int, height: int) -> DataFrame:
     """Column-major run lengths as rows (keys, start, zeros, ones): ``ones`` set pixels after ``zeros`` clear ones.
 
-    Clear pixels after the last run are width * height minus its end. Runs
-    are turned into columns one pixel column at a time, then joined again.
+    Clear pixels after the last run are width * height minus its end. Only
+    pixels with no set pixel before them in this order, and those with none
+    after them, are listed; the k-th of the first kind opens the run that the
+    k-th of the second kind closes.
     """
     keys = list(keys)
-    columns = runs.select(*keys, "y", F.explode(F.sequence("x0", "x1")).alias("x")).select(*keys, (F.col("x") * height + F.col("y")).alias("lo"))
-    spans = columns.distinct().withColumn("hi", F.col("lo") + 1)
-    merged = islands(spans, keys, "lo", "hi").groupBy(*keys, "island").agg(F.min("lo").alias("start"), F.max("hi").alias("end"))
-    earlier = merged.select(*keys, (F.col("island") + 1).alias("island"), F.col("end").alias("last"))
-    return merged.join(earlier, [*keys, "island"], "left").select(
+    # the pixel before the top of a column is the bottom of the column to its left, and the other way round
+    above = runs.select(*keys, (F.col("y") + 1).alias("y"), "x0", "x1").where(F.col("y") < height).unionByName(
+        runs.where(F.col("y") == height - 1).select(*keys, F.lit(0).cast("long").alias("y"), (F.col("x0") + 1).alias("x0"), (F.col("x1") + 1).alias("x1"))
+    )
+    below = runs.select(*keys, (F.col("y") - 1).alias("y"), "x0", "x1").where("y >= 0").unionByName(
+        runs.where("y = 0").select(*keys, F.lit(height - 1).cast("long").alias("y"), (F.col("x0") - 1).alias("x0"), (F.col("x1") - 1).alias("x1"))
+    )
+    at = F.col("x") * height + F.col("y")
+    first = _uncovered(runs, above, keys).select(*keys, at.alias("start"))
+    last = _uncovered(runs, below, keys).select(*keys, (at + 1).alias("end"))
+    starts = ranked(first, keys, [F.col("start")], "n", bounded=False)
+    ends = ranked(last, keys, [F.col("end")], "n", bounded=False)
+    earlier = ends.select(*keys, (F.col("n") + 1).alias("n"), F.col("end").alias("last"))
+    return starts.join(ends, [*keys, "n"]).join(earlier, [*keys, "n"], "left").select(
         *keys, "start", (F.col("start") - F.coalesce("last", F.lit(0))).alias("zeros"), (F.col("end") - F.col("start")).alias("ones")
     )
 
 
+def _uncovered(runs: DataFrame, others: DataFrame, keys: Sequence[str], strip: int = 64) -> DataFrame:
+    """(keys, y, x): pixels of ``runs`` outside ``others``; both have disjoint runs, met by strips of columns."""
+
+    def listed(df: DataFrame, p: str) -> DataFrame:
+        s = F.explode(F.sequence(F.floor(F.col("x0") / strip), F.floor(F.col("x1") / strip))).alias("s")
+        cut_runs = df.select(*keys, "y", "x0", "x1", s)
+        return cut_runs.select(
+            *keys, "y", "s", F.greatest("x0", F.col("s") * strip).alias(f"{p}0"), F.least("x1", F.col("s") * strip + strip - 1).alias(f"{p}1")
+        )
+
+    row = [*keys, "y", "s"]
+    hidden = listed(others, "o").groupBy(*row).agg(F.array_sort(F.collect_list(F.struct("o0", "o1"))).alias("os"))
+    both = listed(runs, "r").join(hidden, row, "left").withColumn("os", F.coalesce("os", F.array().cast("array<struct<o0:bigint,o1:bigint>>")))
+    # a strip holds few runs: the gaps between the others, cut to the run
+    starts = F.concat(F.array(F.col("r0")), F.transform("os", lambda o: o["o1"] + 1))
+    stops = F.concat(F.transform("os", lambda o: o["o0"] - 1), F.array(F.col("r1")))
+    gaps = F.zip_with(starts, stops, lambda a, b: F.struct(F.greatest(a, F.col("r0")).alias("a"), F.least(b, F.col("r1")).alias("b")))
+    gap = both.select(*keys, "y", F.explode(F.filter(gaps, lambda g: g["a"] <= g["b"])).alias("g"))
+    return gap.select(*keys, "y", F.explode(F.sequence("g.a", "g.b")).alias("x"))
+
+
 def run_components(runs: DataFrame, keys: Sequence[str], min_area: int = 10) -> DataFrame:
     """(keys, comp, area) of 4-connected regions larger than ``min_area``.
 
