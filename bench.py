@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
 import time
 
 from planspark.catalog import load
@@ -24,6 +25,7 @@ def main() -> None:
         "spark__driver__memory": os.environ.get("BENCH_MEMORY", "16g"),
         "spark__ui__enabled": "false",
         "spark__ui__showConsoleProgress": "false",
+        "spark__checkpoint__dir": tempfile.mkdtemp(prefix="planspark-bench-"),
     })
     spark.sparkContext.setLogLevel("ERROR")
     queries, _ = load()

@@ -9,10 +9,10 @@ from planspark.session import session
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     s = session("tests", master="local[4]", **{
         "spark__sql__shuffle__partitions": "4", "spark__ui__enabled": "false", "spark__driver__memory": "4g",
-        "spark__ui__showConsoleProgress": "false",
+        "spark__ui__showConsoleProgress": "false", "spark__checkpoint__dir": str(tmp_path_factory.mktemp("checkpoints")),
     })
     s.sparkContext.setLogLevel("ERROR")
     return s
