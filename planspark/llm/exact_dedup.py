@@ -95,8 +95,9 @@ def exact_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
     rank = F.struct(
         (-F.col("points")).alias("less"), F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("keep_id")
     )
-    best = full.groupBy("size", "prefix", "digest").agg(
-        F.min(rank).alias("best"), F.sum("copies").alias("group_size")
+    # written out, so that the join below is one of two plain shuffles, whose large partitions Spark splits
+    best = cut(
+        full.groupBy("size", "prefix", "digest").agg(F.min(rank).alias("best"), F.sum("copies").alias("group_size"))
     )
     stays = F.col("doc_id").eqNullSafe(F.col("best.keep_id")) & (F.col("points") == -F.col("best.less"))
     judged = full.join(best, ["size", "prefix", "digest"]).select(
