@@ -49,8 +49,8 @@ SECOND_PERSON = frozenset(
 )
 LEET = str.maketrans("013457@$!", "oieastasi")
 WORD = re.compile(r"[^\W_]+")
-MASKED = re.compile(r"[^\W\d_]+[0-9@$!*.\-_]+[^\W\d_][\w@$!*.\-]*|[0-9@$]+[^\W\d_][\w@$!]*")
-LONG_RUN = re.compile(r"([^\W\d_])\1{2,}")
+# starts at the first letter of a run only, and takes runs whole, so that plain words are passed over once
+MASKED = re.compile(r"(?<![^\W\d_])[^\W\d_]++[0-9@$!*.\-_]++[^\W\d_][\w@$!*.\-]*|[0-9@$]++[^\W\d_][\w@$!]*")
 MARK_RUN = re.compile(r"[!?]{2,}")
 
 FEATURES = (
@@ -89,6 +89,15 @@ class Lexicon:
         return next((s for n in STEM_SIZES if (s := word[:n] + "~") in self.entries and len(word) > n), None)
 
 
+def long_runs(text: str) -> int:
+    """Runs of one letter, three or more times."""
+    code = np.frombuffer(text.encode("utf-32-le", "replace"), dtype="<u4")
+    same = code[1:] == code[:-1]
+    three = same[1:] & same[:-1]
+    starts = np.flatnonzero(three & ~np.r_[False, three[:-1]]) if three.any() else []
+    return sum(text[i].isalpha() for i in starts)
+
+
 def features(text: str | None, lexicon: Lexicon) -> list[float]:
     raw = text or ""
     low = raw.lower()
@@ -119,7 +128,7 @@ def features(text: str | None, lexicon: Lexicon) -> list[float]:
     return [
         np.log1p(len(words)), np.log1p(hits), hits / n, np.log1p(kinds), kinds / n, close / n, near / n,
         len(second) / n, upper / size, shouted / n, raw.count("!") / size, raw.count("?") / size, marks / size,
-        len(MARK_RUN.findall(raw)) / n, len(masked) / n, masked_hits / n, len(LONG_RUN.findall(low)) / n,
+        len(MARK_RUN.findall(raw)) / n, len(masked) / n, masked_hits / n, long_runs(low) / n,
         sum(map(raw.count, "0123456789")) / size,
     ]
 
