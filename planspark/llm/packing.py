@@ -70,10 +70,13 @@ class FreeRooms:
 def pieces_of(docs: DataFrame, id: str, ids: str, length: int) -> DataFrame:
     """``doc_id``, ``offset``, ``size``, ``ids`` of the pieces of every id list."""
     starts = F.sequence(F.lit(0), F.floor((F.size("all_ids") - 1) / length).cast("int"))
+    cuts = F.transform(starts, lambda k: F.slice("all_ids", k * length + 1, length))
+    # a list that fits in a row is handed on as it is
+    parts = F.when(F.size("all_ids") <= length, F.array("all_ids")).otherwise(cuts)
     return (
         docs.select(F.col(id).alias("doc_id"), F.col(ids).alias("all_ids"))
         .where(F.size("all_ids") > 0)
-        .select("doc_id", F.posexplode(F.transform(starts, lambda k: F.slice("all_ids", k * length + 1, length))).alias("k", "ids"))
+        .select("doc_id", F.posexplode(parts).alias("k", "ids"))
         .select("doc_id", (F.col("k") * length).alias("offset"), F.size("ids").alias("size"), "ids")
     )
 
