@@ -233,14 +233,19 @@ class Model:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, id: str, text: str, label: str, rows: int) -> DataFrame:
-    """``text``, ``y``, ``fold`` of at most ``rows`` labelled ids with the smallest hashes."""
+    """``text``, ``y``, ``fold`` of at most ``rows`` labelled ids with the smallest hashes, one row each.
+
+    Of several texts under one id, the one with the smallest hash counts.
+    """
     chosen = (
         labels.where(F.col(label).isNotNull() & F.col(id).isNotNull())
         .groupBy(F.col(id).alias("_id"))
         .agg((F.max(F.col(label)) > 0).cast("int").alias("y"))
     )
     chosen = smallest_hashes(chosen, "_id", rows)
-    return docs.select(F.col(id).alias("_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "_id").select(
+    found = docs.select(F.col(id).alias("_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "_id")
+    one = found.groupBy("_id", "y").agg(F.min(F.struct(F.xxhash64("text"), "text")).getField("text").alias("text"))
+    return one.select(
         "text", "y", F.pmod(F.xxhash64("_id", F.lit(1)), F.lit(CALIBRATION_FOLDS)).cast("int").alias("fold")
     )
 
