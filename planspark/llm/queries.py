@@ -7,7 +7,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planspark.llm import bpe, chat, decontaminate, exact_dedup, html_crf, lines, packing, simhash, toxicity, urls
+from planspark.llm import bpe, chat, decontaminate, exact_dedup, html_crf, lines, lloyd, packing, repair, simhash, toxicity, urls
 from planspark.llm.common import in_rows_of, sha256_hex, table
 
 QUERIES: dict = {}
@@ -256,3 +256,120 @@ def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return packing.pack(packing.encode(docs, pieces_path()), pieces=packing.most_pieces(docs))
+
+
+def _crc32_sql(text: str) -> str:
+    """crc32 of an ASCII text in SQL; ``tbl`` is the table of the byte values."""
+    codes = f"list_transform(string_split({text}, ''), lambda ch: CAST(ascii(ch) AS BIGINT))"
+    step = "xor(c >> 8, tbl[(xor(c, b) & 255) + 1])"
+    return f"xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {codes}), lambda c, b: {step}))"
+
+
+_KIND = _crc32_sql("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")
+_WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+def _arc(cost: str, letter: str, state: int, line: str = "''") -> str:
+    return f"{{'c': {cost} + w[{state}].c, 'a': '{letter}' || w[{state}].a, 'o': {line} || w[{state}].o}}"
+
+
+def _ways(s: int) -> str:
+    """The ways on from state ``s`` (from 1) at a row, as a list; a way that is shut has the cost 10^9."""
+    kept = {1: (("s", 2), ("u", 3)), 2: (("u", 3),), 3: (("a", 4),), 4: (("u", 3),)}[s]
+    to = (3, 3, 4, 3)[s - 1]
+    said = {3: "user", 4: "assistant"}[to]
+    ways = [_arc("4", "D", s)]
+    for initial, t in kept:
+        shut = f"CASE WHEN gone OR left(role, 1) <> '{initial}' THEN 1000000000 ELSE extra END"
+        ways.append(_arc(shut, "K", t, "role || ':' || text || chr(10)"))
+    ways.append(_arc("CASE WHEN gone THEN 1000000000 ELSE 3 + extra END", "R", to, f"'{said}:' || text || chr(10)"))
+    return f"list_sort([{', '.join(ways)}])[1]"
+
+
+def _after_inserts(s: int) -> str:
+    """The least of ``b[s]`` and of one or two turns inserted before it."""
+    to = (3, 3, 4, 3)[s - 1]
+    two = {3: 4, 4: 3}[to]
+    said = {3: "user:", 4: "assistant:"}
+    first = f"{{'c': 3 + b[{to}].c, 'a': 'I' || b[{to}].a, 'o': '{said[to]}' || chr(10) || b[{to}].o}}"
+    second = (
+        f"{{'c': 6 + b[{two}].c, 'a': 'II' || b[{two}].a,"
+        f" 'o': '{said[to]}' || chr(10) || '{said[two]}' || chr(10) || b[{two}].o}}"
+    )
+    return f"list_sort([b[{s}], {first}, {second}])[1]"
+
+
+@query(
+    "op12_conversation_repair",
+    f"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+    lambda c, j: CASE WHEN c & 1 = 1 THEN xor(c >> 1, CAST(3988292384 AS BIGINT)) ELSE c >> 1 END)) AS tbl),
+f AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_KIND} % 20 AS kind FROM conversations, crc),
+d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+        CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+        unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy FROM f WHERE kind <> 0),
+p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS pos FROM d),
+q AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 AS again,
+        lead(role) OVER (PARTITION BY conv_id ORDER BY pos) AS next, rtrim(text, {_WHITE}) AS t FROM p),
+g AS (SELECT *, CASE WHEN t = '' THEN 'blank' WHEN again THEN 'duplicate' WHEN right(t, 1) NOT IN ('.', '!', '?') THEN 'truncated'
+        ELSE '' END AS fault FROM q),
+r AS MATERIALIZED (SELECT *, fault IN ('blank', 'duplicate') AS gone, CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END AS extra FROM g),
+s AS (SELECT conv_id, max(pos) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+        count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+        count(*) FILTER (fault = 'truncated') AS truncated,
+        count(*) FILTER (left(role, 1) || left(next, 1) NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY conv_id),
+v AS (
+  SELECT conv_id, n + 1 AS pos, [{{'c': 0, 'a': '', 'o': ''}}, {{'c': 6, 'a': 'II', 'o': 'user:' || chr(10) || 'assistant:' || chr(10)}},
+    {{'c': 3, 'a': 'I', 'o': 'assistant:' || chr(10)}}, {{'c': 0, 'a': '', 'o': ''}}] AS w FROM s
+  UNION ALL
+  SELECT conv_id, pos, [{', '.join(_after_inserts(s) for s in (1, 2, 3, 4))}] AS w
+  FROM (SELECT v.conv_id, r.pos, [{', '.join(_ways(s) for s in (1, 2, 3, 4))}] AS b
+        FROM v JOIN r ON v.conv_id IS NOT DISTINCT FROM r.conv_id AND r.pos = v.pos - 1))
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(w[1].c, 0) AS BIGINT) AS cost,
+  coalesce(w[1].a, '') AS audit, sha256(coalesce(left(w[1].o, length(w[1].o) - 1), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN s ON c.conv_id IS NOT DISTINCT FROM s.conv_id
+LEFT JOIN v ON c.conv_id IS NOT DISTINCT FROM v.conv_id AND v.pos = 1
+""",
+)
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return repair.report(rows, *repair.repair(repair.damage(rows)))
+
+
+def _lloyd_sql(k: int = 8, rounds: int = 10, size: int = 64, scale: int = 1024, seed: int = 3) -> str:
+    whole = f"list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT))"
+    odd = "len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x)))"
+    parts = [
+        f"kept AS MATERIALIZED (SELECT vec_id, {whole} AS v FROM embeddings WHERE len(embedding) = {size} AND {odd} = 0)",
+        f"e AS MATERIALIZED (SELECT vec_id, unnest(range({size})) AS d, unnest(v) AS x FROM kept)",
+        f"first AS (SELECT vec_id, row_number() OVER (ORDER BY sha256('{seed}:' || vec_id)) - 1 AS k FROM kept QUALIFY k < {k})",
+        "c0 AS MATERIALIZED (SELECT k, d, x AS c FROM first JOIN e USING (vec_id))",
+    ]
+    for r in range(rounds + 1):
+        parts.append(
+            f"s{r} AS (SELECT vec_id, k, CAST(sum((x - c) * (x - c)) AS BIGINT) AS q FROM e JOIN c{r} USING (d) GROUP BY vec_id, k)"
+        )
+        parts.append(
+            f"a{r} AS MATERIALIZED (SELECT vec_id, k, q FROM s{r} QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY q, k) = 1)"
+        )
+        if r < rounds:
+            parts.append(
+                f"m{r} AS (SELECT k, d, CAST(sum(x) AS BIGINT) AS t, count(*) AS n FROM a{r} JOIN e USING (vec_id) GROUP BY k, d)"
+            )
+            parts.append(
+                f"c{r + 1} AS MATERIALIZED (SELECT k, d, coalesce((t - ((t % n) + n) % n) // n, c) AS c FROM c{r} LEFT JOIN m{r} USING (k, d))"
+            )
+    return f"""
+WITH {", ".join(parts)},
+h AS (SELECT k, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY d)) AS centroid_sha256 FROM c{rounds} GROUP BY k)
+SELECT vec_id, CAST(k AS INTEGER) AS cluster, q AS distance, CAST(sum(q) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia,
+  CAST(sum(q) OVER () AS BIGINT) AS inertia, centroid_sha256 FROM a{rounds} JOIN h USING (k)
+"""
+
+
+@query("op13_centroid_clusters", _lloyd_sql())
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return lloyd.with_inertia(*lloyd.cluster(vectors))
