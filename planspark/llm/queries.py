@@ -7,7 +7,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planspark.llm import bpe, chat, decontaminate, exact_dedup, html_crf, lines, lloyd, packing, repair, simhash, toxicity, urls
+from planspark.llm import bpe, chat, decontaminate, exact_dedup, html_crf, langid, lines, lloyd, packing, repair, simhash, toxicity, urls
 from planspark.llm.common import in_rows_of, sha256_hex, table
 
 QUERIES: dict = {}
@@ -252,6 +252,14 @@ def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op11_language_id")
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    third = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
+    net = langid.fit(docs.where(third != 1))
+    return langid.identify(docs, net).select("doc_id", F.coalesce(third == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 @query("op3_token_packing")
 def op3_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

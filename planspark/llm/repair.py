@@ -218,7 +218,7 @@ def with_faults(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role
         F.coalesce(text, F.lit(" ")).alias("text"),
     )
     order = [F.col("turn").asc_nulls_first(), F.col("role"), F.col("text")]
-    placed = cut(ranked(named, ["conv"], order, name="pos", bounded=False).withColumn("_digest", F.unhex(F.sha2("text", 256))))
+    placed = ranked(named, ["conv"], order, name="pos", bounded=False).withColumn("_digest", F.unhex(F.sha2("text", 256)))
     said = ["conv", "role", "_digest"]
     repeated = (
         placed.groupBy(*said).agg(F.min("pos").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
