@@ -245,7 +245,7 @@ def labelled_windows(
     known = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang")).where(
         "doc_id is not null AND text is not null AND lang is not null"
     )
-    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "lang").limit(languages)
+    counts = known.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n")).orderBy(F.col("n").desc(), "lang").limit(languages)
     place = F.shiftrightunsigned(F.xxhash64("doc_id"), 32)
     # only hashes that leave about four times the rows wanted reach the sort
     near = place < F.ceil(F.least(F.lit(1.0), F.lit(4.0 * rows) / F.col("n")) * F.lit(2.0**32))
