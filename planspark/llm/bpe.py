@@ -34,6 +34,25 @@ SLICE_ROWS = 256
 #: The Unicode property White_Space; Python's own class also holds U+001C to U+001F.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
+#: Letters, numbers and lower-case mappings of Unicode 16 and 17 that the library knows and Python's tables
+#: may not yet; (first, last), and for the mappings (first, last, distance to the lower-case letter).
+NEWER_LETTERS = (
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85),
+    (0x10EC2, 0x10EC4), (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7),
+    (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C),
+    (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+)
+NEWER_NUMBERS = (
+    (0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9),
+    (0x1E5F1, 0x1E5FA),
+)
+NEWER_LOWER = (
+    (0x1C89, 0x1C89, 1), (0xA7CB, 0xA7CB, 0x264 - 0xA7CB), (0xA7CC, 0xA7CC, 1), (0xA7CE, 0xA7CE, 1), (0xA7D2, 0xA7D2, 1),
+    (0xA7D4, 0xA7D4, 1), (0xA7DA, 0xA7DA, 1), (0xA7DC, 0xA7DC, 0x19B - 0xA7DC), (0x10D50, 0x10D65, 0x20), (0x16EA0, 0x16EB8, 0x1B),
+)
+LOWER = {c: c + step for a, b, step in NEWER_LOWER for c in range(a, b + 1)}
+FIRST_NEWER = chr(min(LOWER))
+
 
 def byte_symbols() -> list[str]:
     """The printable character that stands for each byte in byte-level vocabularies."""
@@ -178,8 +197,9 @@ def merge_long(parts: list[int], merges: dict[int, tuple[int, int]]) -> list[int
 def letters_and_digits(top: int) -> tuple[str, str]:
     """Regex ranges of the letters and of the numbers below code point ``top``."""
     found: dict[str, list[list[int]]] = {"L": [], "N": []}
+    newer = {c: k for k, rows in (("L", NEWER_LETTERS), ("N", NEWER_NUMBERS)) for a, b in rows for c in range(a, b + 1)}
     for c in range(top):
-        runs = found.get(unicodedata.category(chr(c))[0])
+        runs = found.get(newer.get(c) or unicodedata.category(chr(c))[0])
         if runs is not None:
             if runs and runs[-1][1] == c - 1:
                 runs[-1][1] = c
@@ -259,6 +279,8 @@ class Encoder:
     def _plain(self, text: str) -> list[str]:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+            if max(text, default="") >= FIRST_NEWER:
+                text = text.translate(LOWER)
         return self.split(text.lower())
 
     def entries(self, texts: list[str | None]) -> Iterator[list[tuple[int, str, str]]]:

@@ -14,7 +14,8 @@ borrow text of other sampled pages.
 
 Cases: null or empty html gives an empty text, and so does a page without
 visible text; unclosed tags, cut-off pages and cut-off references are read as
-far as they go; without any labelled page every visible block is kept;
+far as they go, and only scripts, styles, titles and text areas may swallow the
+rest of a page; deep nesting costs no more than its tags; without any labelled page every visible block is kept;
 repeated rows give equal results; extra columns are left out.
 """
 
@@ -39,19 +40,25 @@ TRAIN_BLOCKS = 40
 STEPS = 100
 LAYOUTS = 4
 MARK = "\ue000"
+UNIT = 2.0**-32
 
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub"
-    " sup time tt u var wbr".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark object q s samp small span strike strong sub"
+    " sup time tt u var wbr math mi mn mo ms mrow msup msub msubsup mfrac msqrt mroot mtext mstyle semantics".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math object select option".split())
+#: Read as they stand up to their end tag, or to the end of the page.
+RAW = frozenset("script style textarea title".split())
+#: What is in them stands in for something else; read over up to their end tag if there is one.
+INSTEAD = frozenset("noscript template iframe".split())
 #: Those that do not even part the text around them.
 UNSEEN = frozenset("script style template noscript".split())
+#: Their own text is no text of the page; they end with an element around them or before a block.
+CONTROLS = frozenset("svg select datalist optgroup option".split())
 #: Start tags that close an open element of the same kind.
 CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
-    "th": {"td", "th"}, "option": {"option"},
+    "th": {"td", "th"}, "option": {"option"}, "optgroup": {"option", "optgroup"},
 }
 ENDS_P = frozenset(
     "address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu"
@@ -69,19 +76,104 @@ HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none", re.I)
 @dataclass
 class Block:
     text: str
-    tags: tuple[str, ...]
+    own: str  # the innermost element that is not inline
+    tags: frozenset[str]  # of all open elements; empty where ``base`` is counted instead
     words: frozenset[str]
     linked: int
+    base: int = 0  # the weights of tags and words
+
+
+class Open:
+    """The open elements, with counts of their tags and words, and the sum of the weights of those that occur."""
+
+    def __init__(self, weights: dict[str, int] | None) -> None:
+        self.stack: list[tuple[str, frozenset[str]] | None] = []  # None: an inline element closed out of turn
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []  # places of the elements that are not inline
+        self.words: dict[str, int] = {}
+        self.controls = 0
+        self.weights, self.base = weights, 0
+
+    def push(self, name: str, words: frozenset[str]) -> None:
+        places = self.places.setdefault(name, [])
+        if self.weights is not None:
+            if not places:
+                self.base += self.weights.get(f"tag:{name}", 0)
+            self.base += sum(self.weights.get(f"word:{w}", 0) for w in words if not self.words.get(w))
+        places.append(len(self.stack))
+        for w in words:
+            self.words[w] = self.words.get(w, 0) + 1
+        self.controls += name in CONTROLS
+        if name not in INLINE:
+            self.blocks.append(len(self.stack))
+        self.stack.append((name, words))
+
+    def _forget(self, entry: tuple[str, frozenset[str]]) -> None:
+        name, words = entry
+        self.places[name].pop()
+        self.controls -= name in CONTROLS
+        if self.weights is not None and not self.places[name]:
+            self.base -= self.weights.get(f"tag:{name}", 0)
+        for w in words:
+            self.words[w] -= 1
+            if not self.words[w]:
+                del self.words[w]
+                if self.weights is not None:
+                    self.base -= self.weights.get(f"word:{w}", 0)
+
+    def cut(self, place: int) -> None:
+        """Close the element at ``place`` and all inside it."""
+        while len(self.stack) > place:
+            entry = self.stack.pop()
+            if entry is not None:
+                self._forget(entry)
+        while self.blocks and self.blocks[-1] >= place:
+            self.blocks.pop()
+
+    def end(self, name: str) -> None:
+        """An end tag; one of an inline element reaches no further than the block around it."""
+        places = self.places.get(name)
+        if not places:
+            return
+        if name not in INLINE:
+            self.cut(places[-1])
+        elif not self.blocks or places[-1] > self.blocks[-1]:
+            entry, self.stack[places[-1]] = self.stack[places[-1]], None
+            self._forget(entry)
+            while self.stack and self.stack[-1] is None:
+                self.stack.pop()
+
+    def own(self, nth: int = 1) -> str:
+        return self.stack[self.blocks[-nth]][0] if len(self.blocks) >= nth else ""
+
+    def close_before(self, name: str) -> None:
+        """What the start tag ``name`` closes."""
+        if name in ENDS_P:
+            if self.controls:
+                self.cut(min(self.places[c][0] for c in CONTROLS if self.places.get(c)))
+            if self.own() == "p":
+                self.cut(self.blocks[-1])
+        elif name in CLOSES:
+            nth = 2 if self.own() == "p" else 1
+            if self.own(nth) in CLOSES[name]:
+                self.cut(self.blocks[-nth])
+                if self.own() in CLOSES[name]:
+                    self.cut(self.blocks[-1])
 
 
-def blocks_of(page: str | None) -> list[Block]:
-    """The leaf blocks of a page, in order; texts of scripts, styles, titles and the like are left out."""
+def blocks_of(page: str | None, weights: dict[str, int] | None = None) -> list[Block]:
+    """The leaf blocks of a page, in order; texts of scripts, styles, titles and the like are left out.
+
+    With the ``weights`` of tags and words, blocks carry their sum in place of the tags and words themselves,
+    so the work grows with the page and not with its depth.
+    """
     page = page or ""
-    stack: list[tuple[str, frozenset[str]]] = []
+    opened = Open(weights)
     out: list[Block] = []
     held: list[str] = []
     linked = 0
     none: frozenset[str] = frozenset()
+    endless: set[str] = set()
     at, end = 0, len(page)
 
     def flush() -> None:
@@ -89,15 +181,20 @@ def blocks_of(page: str | None) -> list[Block]:
         if held:
             text = " ".join(entities.unescape("".join(held)).split())
             if text:
-                words = frozenset().union(*(w for _, w in stack)) if stack else none
-                out.append(Block(text, tuple(t for t, _ in stack), words, linked))
+                if weights is None:
+                    tags = frozenset(t for t, places in opened.places.items() if places)
+                    out.append(Block(text, opened.own(), tags, frozenset(opened.words), linked))
+                else:
+                    out.append(Block(text, opened.own(), none, none, linked, opened.base))
             held.clear()
         linked = 0
 
     def add(text: str) -> None:
         nonlocal linked
+        if opened.controls:
+            return
         held.append(text)
-        if any(t == "a" for t, _ in stack):
+        if opened.places.get("a"):
             linked += len(text.strip())
 
     while at < end:
@@ -112,43 +209,28 @@ def blocks_of(page: str | None) -> list[Block]:
         if not name:
             continue
         name, closing, attributes = name.lower(), m[1] or m[4], m[3] or m[6] or ""
-        if name in RAW:
-            if not closing and not attributes.endswith("/"):
-                stop = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)", re.I).search(page, at)
-                at = end if stop is None else page.find(">", stop.end()) + 1 or end
+        whole = attributes.endswith("/")
+        if name in RAW or (name in INSTEAD and name not in endless):
+            stop = None
+            if not closing and not whole:
+                stop = re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I).search(page, at)
+                if stop is not None:
+                    at = page.find(">", stop.end()) + 1 or end
+                elif name in RAW:
+                    at = end
+                else:
+                    endless.add(name)
             if name not in UNSEEN:
                 flush()
             continue
-        inline = name in INLINE
-        if not inline:
+        if name not in INLINE:
             flush()
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    if inline:
-                        del stack[k]
-                    else:
-                        del stack[k:]
-                    break
-                if inline and stack[k][0] not in INLINE:
-                    break
+            opened.end(name)
             continue
         if name in VOID:
             continue
-        if name in ENDS_P:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p":
-                    del stack[k:]
-                    break
-                if stack[k][0] not in INLINE:
-                    break
-        elif name in CLOSES:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in CLOSES[name]:
-                    del stack[k:]
-                    break
-                if stack[k][0] not in INLINE and stack[k][0] != "p":
-                    break
+        opened.close_before(name)
         if not attributes.rstrip().endswith("/"):
             words = none
             if attributes:
@@ -156,7 +238,7 @@ def blocks_of(page: str | None) -> list[Block]:
                 if HIDDEN.search(attributes):
                     found.add("~hidden")
                 words = frozenset(found)
-            stack.append((name, words))
+            opened.push(name, words)
     flush()
     return out
 
@@ -169,8 +251,8 @@ def features(blocks: list[Block]) -> list[list[str]]:
         size = len(b.text)
         words = b.text.count(" ") + 1
         ends = b.text[-1]
-        f = ["bias", f"own:{next((t for t in reversed(b.tags) if t not in INLINE), '')}"]
-        f += {f"tag:{t}" for t in b.tags}
+        f = ["bias", f"own:{b.own}"]
+        f += [f"tag:{t}" for t in b.tags]
         f += [f"word:{w}" for w in b.words]
         f.append(f"size:{min(8, size.bit_length())}")
         f.append(f"words:{min(6, words.bit_length())}")
@@ -200,14 +282,20 @@ class Chain:
         w = self.weights
         return np.array([sum([w.get(f, 0.0) for f in fs]) for fs in names])
 
-    def decode(self, names: list[list[str]]) -> list[int]:
-        """Viterbi."""
+    def whole_weights(self) -> dict[str, int]:
+        """The weights of tags and words in units of ``UNIT``, so that sums of them are exact in any order."""
+        return {f: round(w / UNIT) for f, w in self.weights.items() if f.startswith(("tag:", "word:"))}
+
+    def decode(self, names: list[list[str]], base: list[float] | None = None) -> list[int]:
+        """Viterbi; ``base`` is added to the score of each block."""
         if not names:
             return []
         if not self.trained:
             return [1] * len(names)
         (m00, m01), (m10, m11) = self.moves.tolist()
         e = self.emissions(names).tolist()
+        if base is not None:
+            e = [x + y for x, y in zip(e, base)]
         zero, one = self.start[0], self.start[1] + e[0]
         back: list[tuple[int, int]] = []
         for x in e[1:]:
@@ -270,9 +358,10 @@ class Chain:
         return self
 
 
-def extract(page: str | None, chain: Chain) -> str:
-    blocks = blocks_of(page)
-    labels = chain.decode(features(blocks))
+def extract(page: str | None, chain: Chain, weights: dict[str, int] | None = None) -> str:
+    """The main text; ``weights`` are the chain's whole weights, made once for many pages."""
+    blocks = blocks_of(page, chain.whole_weights() if weights is None else weights)
+    labels = chain.decode(features(blocks), [b.base * UNIT for b in blocks])
     return " ".join(b.text for b, y in zip(blocks, labels) if y)
 
 
@@ -317,7 +406,7 @@ def render(text: list[Block], others: list[str], dice: random.Random) -> str:
 
     parts = []
     for k, b in enumerate(text):
-        own = next((t for t in reversed(b.tags) if t in ("h1", "h2", "h3", "blockquote", "pre")), "p")
+        own = b.own if b.own in ("h1", "h2", "h3", "blockquote", "pre") else "p"
         parts.append(f"<{own}>{MARK}{entities.escape(b.text)}</{own}>")
         if k and dice.random() < 0.12:
             parts.append(dice.choice(WITHIN).format(filler()))
@@ -371,10 +460,11 @@ def main_text(pages: DataFrame, chain: Chain, id: str = "page_id", html: str = "
     out = StructType([StructField(id, pages.schema[id].dataType), StructField("main_text", StringType())])
 
     def run(batches):
+        weights = chain.whole_weights()
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                texts = [extract(h, chain) for h in part.column(1).to_pylist()]
+                texts = [extract(h, chain, weights) for h in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], names=[id, "main_text"])
 
     return pages.select(id, html).mapInArrow(run, out)

@@ -3,6 +3,7 @@
 import glob
 import random
 import re
+import time
 from hashlib import sha256
 
 import brute
@@ -45,7 +46,8 @@ def test_bpe_equals_the_library(spark, docs, rows, library, no_docs):
 
 def test_bpe_on_documents_and_single_characters(spark, library, encoder):
     texts = [r[0] for r in spark.read.parquet(f"{DATA}/documents.parquet").select("text").collect()]
-    texts += [f"a{chr(c)}b {chr(c)}" for c in range(1, 0x590) if c not in (0x558, 0x58B, 0x58C)]
+    codes = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts += ["".join(f"a{chr(c)}b {chr(c)} 1{chr(c)}!\n" for c in codes[k : k + 64]) for k in range(0, len(codes), 64)]
     for start in range(0, len(texts), 100):
         part = texts[start : start + 100]
         assert encoder.encode(part) == [e.ids for e in library.encode_batch(part, add_special_tokens=False)]
@@ -158,6 +160,49 @@ def test_blocks_of_broken_pages():
     assert read("<p>a &amp; b<br>c<p>d</b>e<!-- x --> f <script>'</p>'</script>g") == ["a & b", "c", "de f g"]
     assert read("<div>x<b>y</div>z</b> 1 < 2 &am") == ["xy", "z 1 < 2 &am"]
     assert read("<title>t</title><style>p{}</style>cut <scr") == ["cut"]
+    article = "<article><p>Hello world.</p></article>"
+    for before in ("<form><datalist><option value=a><option value=b></datalist></form>", "<svg><text>x", "<select><option>one<option>two",
+                   "<noscript>", "<iframe>", "<template>", "<optgroup><option>a<optgroup><option>b", "<noscript>on</noscript>"):
+        assert read(before + article) == ["Hello world."], before
+    assert read("<p>e = <math><mi>m</mi><mo>c</mo></math> and <object>this</object></p>") == ["e = mc and this"]
+    assert read("<i><b>x</i>y</b><ul><li>1<p>2<li>3</ul><table><tr><td>4<tr><td>5</table></nope>6") == ["xy", "1", "2", "3", "4", "5", "6"]
+
+
+def test_deep_pages_cost_what_their_tags_cost(spark):
+    chain = html_crf.train(spark.read.parquet(f"{DATA}/pages.parquet"))
+    weights = chain.whole_weights()
+    start = time.process_time()
+    for tag in ('<div class="c{0}">x', "<i>x<b>", "<div>x</nope>", '<span class="w{0} v">x', "<noscript>x", "<svg>"):
+        page = "".join(tag.format(k) for k in range(30_000)) + "</i>" * 20_000 + "<p>end.</p>"
+        blocks = html_crf.blocks_of(page, weights)
+        assert blocks[-1].text == "end."
+        assert sum(len(b.text) for b in blocks) < 200_000
+    assert time.process_time() - start < 30
+
+
+def test_sums_of_weights_equal_the_features(spark):
+    pages = [r["html"] for r in spark.read.parquet(f"{DATA}/pages.parquet").select("html").collect()]
+    chain = html_crf.train(spark.read.parquet(f"{DATA}/pages.parquet"))
+    pages += ["<div class=a><i class='b a'>x<p class=c>y</i>z</p>u</div>v" * 3]
+    for page in pages:
+        plain, summed = html_crf.blocks_of(page), html_crf.blocks_of(page, chain.whole_weights())
+        one = chain.emissions(html_crf.features(plain))
+        two = chain.emissions(html_crf.features(summed)) + np.array([b.base for b in summed]) * html_crf.UNIT
+        assert np.allclose(one, two, atol=1e-6)
+
+
+def test_op2_query_and_odd_tables(spark):
+    from planspark.llm.queries import QUERIES
+
+    got = {r["page_id"]: r for r in QUERIES["op2_html_text"](spark, DATA).collect()}
+    pages = spark.read.parquet(f"{DATA}/pages.parquet")
+    chain = html_crf.train(pages)
+    for r in pages.collect():
+        text = html_crf.extract(r["html"], chain)
+        assert (got[r["page_id"]]["url"], got[r["page_id"]]["text"], got[r["page_id"]]["n_chars"]) == (r["url"], text, len(text))
+    clash = pages.withColumns({"main_text": F.lit("x"), "text": F.lit("y"), "_id": F.lit(1)})
+    assert html_crf.main_text(clash, chain).count() == pages.count()
+    assert html_crf.main_text(clash.limit(0), html_crf.train(clash.limit(0))).count() == 0
 
 
 def test_page_text_of_unseen_pages(spark):
