@@ -21,11 +21,14 @@ empty table gives no rows; extra columns are left out.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 LENGTH = 2048
 PAD = -1
@@ -68,19 +71,44 @@ class FreeRooms:
 
 
 def pieces_of(docs: DataFrame, id: str, ids: str, length: int) -> DataFrame:
-    """``doc_id``, ``offset``, ``size``, ``ids`` of the pieces of every id list."""
-    starts = F.sequence(F.lit(0), F.floor((F.size("all_ids") - 1) / length).cast("int"))
-    cuts = F.transform(starts, lambda k: F.slice("all_ids", k * length + 1, length))
+    """``doc_id``, ``offset``, ``size``, ``ids`` of the pieces of every id list.
+
+    ``ids`` is an array of integers or binary with little-endian int32 numbers, and the pieces are alike.
+    """
+    wide = isinstance(docs.schema[ids].dataType, BinaryType)
+    size = ids_in(F.col("all_ids"), wide)
+    starts = F.sequence(F.lit(0), F.floor((size - 1) / length).cast("int"))
+    if wide:
+        cuts = F.transform(starts, lambda k: F.substring("all_ids", k * (4 * length) + 1, F.lit(4 * length)))
+    else:
+        cuts = F.transform(starts, lambda k: F.slice("all_ids", k * length + 1, length))
     # a list that fits in a row is handed on as it is
-    parts = F.when(F.size("all_ids") <= length, F.array("all_ids")).otherwise(cuts)
+    parts = F.when(size <= length, F.array("all_ids")).otherwise(cuts)
     return (
         docs.select(F.col(id).alias("doc_id"), F.col(ids).alias("all_ids"))
-        .where(F.size("all_ids") > 0)
+        .where(size > 0)
         .select("doc_id", F.posexplode(parts).alias("k", "ids"))
-        .select("doc_id", (F.col("k") * length).alias("offset"), F.size("ids").alias("size"), "ids")
+        .select("doc_id", (F.col("k") * length).alias("offset"), ids_in(F.col("ids"), wide).alias("size"), "ids")
     )
 
 
+def ids_in(ids: Column, wide: bool) -> Column:
+    return (F.octet_length(ids) / 4).cast("int") if wide else F.size(ids)
+
+
+def numbers(column) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of an Arrow column of lists or of binary, and the limits of its rows among them."""
+    import pyarrow as pa
+
+    if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type):
+        _, ends, data = column.buffers()
+        kind = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+        limits = np.frombuffer(ends, kind)[column.offset : column.offset + len(column) + 1]
+        return np.frombuffer(data or b"", np.uint8)[limits[0] : limits[-1]].view("<i4"), (limits - limits[0]) // 4
+    limits = np.asarray(column.offsets)
+    return np.asarray(column.flatten()), limits - limits[0]
+
+
 class Packer:
     """Rows of one group under way."""
 
@@ -125,10 +153,11 @@ def pack(
     """
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
+    from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
     if pieces is None:
-        counts = docs.select(F.ceil(F.size(ids) / length).alias("n")).where("n > 0")
+        wide = isinstance(docs.schema[ids].dataType, BinaryType)
+        counts = docs.select(F.ceil(ids_in(F.col(ids), wide) / length).alias("n")).where("n > 0")
         pieces = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     groups = max(1, -(-pieces // group_pieces))
     out = StructType(
@@ -157,14 +186,15 @@ def pack(
 
         key, number, packer = None, 0, Packer(length)
         for batch in batches:
-            values = batch.column(3)
+            values, limits = numbers(batch.column(3))
+            limits = limits.tolist()
             for i, (grp, doc, offset) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)))):
                 if grp != key or packer.count >= 2 * group_pieces:
                     yield from closed()
                     number = number + 1 if grp == key else 0
                     key, packer = grp, Packer(length)
                 # a copy, so that the batch need not be kept
-                packer.put(doc, offset, values[i].values.to_numpy().copy())
+                packer.put(doc, offset, values[limits[i] : limits[i + 1]].copy())
         yield from closed()
 
     return (
@@ -183,25 +213,94 @@ def most_pieces(docs: DataFrame, text: str = "text", length: int = LENGTH) -> in
     return docs.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
 
 
-def encode(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``id`` and ``ids`` of every text by a sentence-piece model file; null counts as empty."""
+class Pieces:
+    """Encodes texts word by word with a sentence-piece model that never joins words.
+
+    A segment is a word with the spaces before it. No piece of such a model
+    goes on after a space, so the ids of a text are those of its segments,
+    which are made once and kept, up to ``CACHE_WORDS`` of them. New plain
+    words are encoded many at a time, as texts that are cut where a word begins.
+    """
+
+    SEGMENT = re.compile(" *[^ ]+| +")
+    CACHE_WORDS = 600_000
+    TOGETHER = 64
+
+    def __init__(self, model: bytes) -> None:
+        from sentencepiece import SentencePieceProcessor
+
+        self.processor = SentencePieceProcessor(model_proto=model)
+        pieces = [self.processor.id_to_piece(k) for k in range(self.processor.vocab_size())]
+        self.apart = not any("\u2581" in p.lstrip("\u2581") for p in pieces)
+        self.begins = np.array([p.startswith("\u2581") for p in pieces])
+        one_word = [chr(c) for c in range(0x250) if self.words_in(f"a{chr(c)}b") == 1 and self.words_in(chr(c)) == 1]
+        self.plain = re.compile(f" ?[{re.escape(''.join(one_word))}]+")
+        self.space = np.array([pieces.index("\u2581")], "<i4").tobytes() if "\u2581" in pieces else b""
+        self.known: dict[str, bytes] = {}
+
+    def words_in(self, text: str) -> int:
+        return int(self.begins[self.processor.encode(text)].sum())
+
+    def learn(self, segments: list[str]) -> None:
+        known, plain = self.known, [s for s in segments if self.plain.fullmatch(s)]
+        odd = set(segments).difference(plain)
+        for start in range(0, len(plain), self.TOGETHER * 64):
+            texts = [plain[k : k + self.TOGETHER] for k in range(start, min(len(plain), start + self.TOGETHER * 64), self.TOGETHER)]
+            found = self.processor.encode(["".join(own)[1:] for own in texts], num_threads=1)
+            for own, ids in zip(texts, found):
+                ids = np.array(ids, dtype="<i4")
+                limits = [*np.flatnonzero(self.begins[ids]).tolist(), len(ids)]
+                if len(limits) != len(own) + 1:
+                    odd.update(own)
+                    continue
+                data = ids.tobytes()
+                known.update(zip(own, [data[4 * a : 4 * b] for a, b in zip(limits, limits[1:])]))
+        odd = list(odd)
+        for segment, ids in zip(odd, self.processor.encode([s[1:] for s in odd], num_threads=1)):
+            known[segment] = np.array(ids, dtype="<i4").tobytes()
+        known[" "] = self.space
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian int32 numbers."""
+        if not self.apart:
+            return [np.array(ids, dtype="<i4").tobytes() for ids in self.processor.encode(texts, num_threads=1)]
+        # a text with the sign for a space itself is one segment: it would join the spaces around it
+        split = [([] if not t else [" " + t] if "\u2581" in t else self.SEGMENT.findall(" " + t)) for t in texts]
+        new = set(chain.from_iterable(split)).difference(self.known)
+        if len(self.known) + len(new) > self.CACHE_WORDS:
+            self.known = {}
+            new = set(chain.from_iterable(split))
+        if new:
+            self.learn(list(new))
+        found = self.known.__getitem__
+        return [b"".join(map(found, own)) for own in split]
+
+
+def encode(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text", wide: bool = False) -> DataFrame:
+    """``id`` and ``ids`` of every text by a sentence-piece model file; null counts as empty.
+
+    ``ids`` is an array of integers, or with ``wide`` binary with little-endian int32 numbers.
+    """
     import pyarrow as pa
     from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
     with open(path, "rb") as f:
         model = docs.sparkSession.sparkContext.broadcast(f.read())
-    out = StructType([StructField(id, docs.schema[id].dataType), StructField("ids", ArrayType(IntegerType()))])
+    kind = BinaryType() if wide else ArrayType(IntegerType())
+    out = StructType([StructField(id, docs.schema[id].dataType), StructField("ids", kind)])
 
     def run(batches: Iterator):
-        from sentencepiece import SentencePieceProcessor
-
-        processor = SentencePieceProcessor(model_proto=model.value)
+        pieces = Pieces(model.value)
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                found = processor.encode(texts, num_threads=1)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int32()))], names=[id, "ids"])
+                found = pieces.encode([t or "" for t in part.column(1).to_pylist()])
+                if wide:
+                    ids = pa.array(found, pa.binary())
+                else:
+                    ends = np.cumsum([0, *[len(x) // 4 for x in found]], dtype=np.int32)
+                    ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), "<i4")))
+                yield pa.RecordBatch.from_arrays([part.column(0), ids], names=[id, "ids"])
 
     return docs.select(id, text).mapInArrow(run, out)
 

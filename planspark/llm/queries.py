@@ -263,7 +263,7 @@ def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_token_packing")
 def op3_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return packing.pack(packing.encode(docs, pieces_path()), pieces=packing.most_pieces(docs))
+    return packing.pack(packing.encode(docs, pieces_path(), wide=True), pieces=packing.most_pieces(docs))
 
 
 def _crc32_sql(text: str) -> str:
