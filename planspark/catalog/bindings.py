@@ -190,6 +190,25 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
             f"CAST((l_suppkey * 37 + l_linenumber * 13) % 400 * 10 + {_QTY} * 4 AS BIGINT) AS y2",
         ],
     ),
+    # items of a drawing's legend and of its model alike, in two viewports
+    "legend_items": (
+        "lineitem",
+        [
+            f"{_DWG_L} AS dwg_id",
+            "CAST(l_suppkey % 2 AS BIGINT) AS vp",
+            f"{_ITEM} AS id",
+            "CASE l_linenumber % 4 WHEN 0 THEN 'Line' WHEN 1 THEN 'Block' WHEN 2 THEN 'Text'"
+            " ELSE 'Hatch' END AS type",
+            "CASE WHEN l_linenumber % 4 = 2 THEN CASE l_partkey % 4 WHEN 0 THEN 'AP' WHEN 1 THEN 'LIGHT'"
+            f" ELSE {_pick(_LEGENDS[:6], 'l_suppkey')} END ELSE '' END AS text",
+            "l_returnflag AS block",
+            "CAST(l_partkey % 3 AS BIGINT) AS line_id",
+            "CAST(l_partkey % 40 * 40 AS BIGINT) AS x1",
+            "CAST((l_suppkey * 37 + l_linenumber * 13) % 40 * 40 AS BIGINT) AS y1",
+            f"CAST(l_partkey % 40 * 40 + 20 + {_QTY} % 5 * 30 AS BIGINT) AS x2",
+            f"CAST((l_suppkey * 37 + l_linenumber * 13) % 40 * 40 + 20 + {_QTY} % 3 * 30 AS BIGINT) AS y2",
+        ],
+    ),
     # YOLO rows in thousandths
     "boxes": (
         "lineitem",

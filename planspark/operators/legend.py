@@ -18,6 +18,7 @@ from planspark.session import cut
 # Fixed value: model-side reach of a symbol in drawing units.
 MODEL_REACH = 800
 TOLERANCE = 0.001
+NO_EDGE = -1
 
 EdgeFn = Callable[[Sequence[Column], Sequence[Column]], tuple[Column, Column]]
 
@@ -54,14 +55,73 @@ def grouped_nodes(nodes: DataFrame, edges: DataFrame, keys: Sequence[str]) -> Da
 
 
 def strong_components(nodes: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Components of nodes that reach each other, for edges that come in both directions.
+    """Components of nodes that reach each other along directed edges.
 
-    Only edges with a way back join two nodes; with every edge paired, as the
-    node graphs here are, this is the strong component.
+    In each round, edges between nodes that can lie on no common cycle any
+    more are gone: nodes without an edge in or without one out are trimmed,
+    and what is left is coloured by the smallest node that reaches each node.
+    The nodes of a colour that reach its root in turn are a component; they
+    leave, and so do the edges between colours.
     """
     keys = list(keys)
-    back = edges.select(*keys, F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return grouped_nodes(nodes, edges.select(*keys, "src", "dst").intersect(back), keys)
+    open_ = cut(edges.select(*keys, "src", "dst").where("src <> dst").distinct())
+    found: list[DataFrame] = []
+    while True:
+        # trimming ends chains in as many rounds as they are long, so it goes on only while it takes a good share
+        while True:
+            before = open_.count()
+            starts = open_.select(*keys, F.col("src").alias("dst")).distinct()
+            ends = open_.select(*keys, F.col("dst").alias("src")).distinct()
+            open_ = cut(open_.join(starts, [*keys, "dst"], "left_semi").join(ends, [*keys, "src"], "left_semi"))
+            after = open_.count()
+            if after > 0.9 * before or not after:
+                break
+        if not after:
+            break
+        ids = open_.select(*keys, F.col("src").alias("id")).union(open_.select(*keys, F.col("dst").alias("id"))).distinct()
+        colour = _spread(cut(ids.withColumn("colour", F.col("id"))), open_, keys)
+        ends = [colour.select(*keys, F.col("id").alias(c), F.col("colour").alias(f"{c}_colour")) for c in ("src", "dst")]
+        inside = open_.join(ends[0], [*keys, "src"]).join(ends[1], [*keys, "dst"]).where("src_colour = dst_colour")
+        inside = cut(inside.select(*keys, F.col("src_colour").alias("colour"), "src", "dst"))
+        back = _reached(colour.where("id = colour").select(*keys, "colour", "id"), inside, [*keys, "colour"])
+        found.append(back.select(*keys, "id", F.col("colour").alias("comp")))
+        gone = back.select(*keys, "id")
+        left = inside.join(gone.withColumnRenamed("id", "src"), [*keys, "src"], "left_anti")
+        open_ = cut(left.join(gone.withColumnRenamed("id", "dst"), [*keys, "dst"], "left_anti").select(*keys, "src", "dst"))
+    if not found:
+        return nodes.withColumn("comp", F.col("id"))
+    labels = found[0]
+    for part in found[1:]:
+        labels = labels.unionByName(part)
+    return nodes.join(labels, [*keys, "id"], "left").withColumn("comp", F.coalesce("comp", "id"))
+
+
+def _spread(state: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
+    """The smallest colour that reaches each node along the edges; ``state`` has keys, id, colour."""
+    changed = state
+    while True:
+        sent = edges.join(changed.select(*keys, F.col("id").alias("src"), "colour"), [*keys, "src"])
+        low = sent.groupBy(*keys, F.col("dst").alias("id")).agg(F.min("colour").alias("sent"))
+        state = cut(
+            state.join(low, [*keys, "id"], "left").select(
+                *keys, "id", F.least("colour", "sent").alias("colour"), F.coalesce(F.col("sent") < F.col("colour"), F.lit(False)).alias("moved")
+            )
+        )
+        changed = state.where("moved").drop("moved")
+        state = state.drop("moved")
+        if changed.isEmpty():
+            return state
+
+
+def _reached(roots: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
+    """The nodes from which a root is reached, roots included, along edges against their direction."""
+    seen = new = cut(roots)
+    while True:
+        step = edges.join(new.select(*keys, F.col("id").alias("dst")), [*keys, "dst"]).select(*keys, F.col("src").alias("id")).distinct()
+        new = cut(step.join(seen, [*keys, "id"], "left_anti"))
+        if new.isEmpty():
+            return seen
+        seen = cut(seen.unionByName(new))
 
 
 def drop_hatch_borders(grouped: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -196,45 +256,203 @@ def template_keys(members: DataFrame, edges: DataFrame, keys: Sequence[str], tur
     )
 
 
+def linked(edges: DataFrame, nodes: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Both weights of each ordered pair with an edge, and the type of its far node.
+
+    (keys, src, dst, w_out, w_in, ntype); a direction without an edge has ``NO_EDGE``.
+    """
+    keys = list(keys)
+    ways = F.array(
+        F.struct(F.col("src").alias("src"), F.col("dst").alias("dst"), F.col("weight").alias("out"), F.lit(None).cast("long").alias("back")),
+        F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(None).cast("long").alias("out"), F.col("weight").alias("back")),
+    )
+    pairs = edges.withColumn("weight", F.col("weight").cast("long")).select(*keys, F.inline(ways)).groupBy(*keys, "src", "dst").agg(
+        F.coalesce(F.max("out"), F.lit(NO_EDGE)).alias("w_out"), F.coalesce(F.max("back"), F.lit(NO_EDGE)).alias("w_in")
+    )
+    return pairs.join(nodes.select(*keys, F.col("id").alias("dst"), "ntype"), [*keys, "dst"])
+
+
+def growth_order(members: DataFrame, edges: DataFrame, weights: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The order in which the nodes of each template are found: keys, tpl, id, ntype, pos, depth.
+
+    A template is walked in breadth from its node of the rarest type; ``weights``
+    (keys, ntype, n) counts the types where it is to be found. ``edges`` has
+    keys, tpl, src, dst.
+    """
+    tpl = [*keys, "tpl"]
+    counted = members.join(weights, [*keys, "ntype"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    first = counted.groupBy(*tpl).agg(F.min_by("id", F.struct("n", "id")).alias("id"))
+    placed = cut(first.withColumn("depth", F.lit(0)))
+    near = cut(edges.select(*tpl, "src", "dst").union(edges.select(*tpl, F.col("dst"), F.col("src"))).distinct())
+    depth = 0
+    while True:
+        here = placed.where(F.col("depth") == depth).select(*tpl, F.col("id").alias("src"))
+        new = near.join(here, [*tpl, "src"]).select(*tpl, F.col("dst").alias("id")).distinct().join(placed, [*tpl, "id"], "left_anti")
+        depth += 1
+        grown = cut(placed.unionByName(new.withColumn("depth", F.lit(depth))))
+        if grown.where(F.col("depth") == depth).isEmpty():
+            break
+        placed = grown
+    # a template's nodes are few, so they are numbered in a window of their own
+    return ranked(members.select(*tpl, "id", "ntype").join(placed, [*tpl, "id"]), tpl, [F.col("depth"), F.col("id")], "pos", bounded=True)
+
+
+def growth_steps(order: DataFrame, edges: DataFrame, turns: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per template, rotation and position: by which earlier position and edge the node is found, and its ties to the others.
+
+    (keys, tpl, turn, pos, ntype, via, w_out, w_in, ties); ``ties`` lists both
+    weights, or none, between the node and every earlier position but ``via``.
+    """
+    tpl = [*keys, "tpl"]
+    later = order.select(*tpl, F.col("pos"), F.col("id").alias("dst"), "ntype")
+    earlier = order.select(*tpl, F.col("pos").alias("j"), F.col("id").alias("src"))
+    pairs = later.join(earlier, tpl).where("j < pos")
+    out = edges.select(*tpl, "src", "dst", F.col("weight").alias("out"))
+    back = edges.select(*tpl, F.col("src").alias("dst"), F.col("dst").alias("src"), F.col("weight").alias("back"))
+    spun = pairs.join(out, [*tpl, "src", "dst"], "left").join(back, [*tpl, "src", "dst"], "left").join(turns, tpl)
+    whole = spun.select(
+        *tpl, "turn", "pos", "ntype", "j",
+        *[F.coalesce(G.rotated_code(F.col(c), F.col("turn")).cast("long"), F.lit(NO_EDGE)).alias(n) for c, n in (("out", "w_out"), ("back", "w_in"))],
+    )
+    tie = F.struct("j", "w_out", "w_in")
+    joined = (F.col("w_out") != NO_EDGE) | (F.col("w_in") != NO_EDGE)
+    steps = whole.groupBy(*tpl, "turn", "pos", "ntype").agg(
+        F.min(F.when(joined, tie)).alias("by"), F.array_sort(F.collect_list(tie)).alias("ties")
+    )
+    return steps.select(
+        *tpl, "turn", "pos", "ntype", F.col("by.j").alias("via"), F.col("by.w_out").alias("w_out"), F.col("by.w_in").alias("w_in"),
+        F.filter("ties", lambda t: t["j"] != F.col("by.j")).alias("ties"),
+    )
+
+
+def match_templates(
+    nodes: DataFrame, edges: DataFrame, members: DataFrame, template_edges: DataFrame, keys: Sequence[str], turns: DataFrame
+) -> DataFrame:
+    """Node sets whose induced graph equals a template: keys, tpl, members (sorted), node_num.
+
+    All templates and rotations grow at once, a node a round: partial hits
+    meet the table of steps by template, the edge table by the step's edge and
+    the far node's type, and then the pairs with all earlier nodes, which must
+    have the template's edges or none where it has none. ``members`` has keys,
+    tpl, id, ntype; ``template_edges`` keys, tpl, src, dst, weight; ``turns``
+    keys, tpl, turn. Each node set of a template is returned once, whatever
+    the rotation; a lone symbol is a template of one node.
+    """
+    keys, tpl = list(keys), [*keys, "tpl"]
+    kinds = nodes.groupBy(*keys, "ntype").agg(F.count(F.lit(1)).alias("n"))
+    order = cut(growth_order(members, template_edges, kinds, keys))
+    steps = cut(growth_steps(order, template_edges, turns, keys))
+    links = cut(linked(edges, nodes, keys))
+    # a symbol that falls apart without its hatch borders is no template
+    whole = members.groupBy(*tpl).agg(F.count(F.lit(1)).alias("size"))
+    sizes = order.groupBy(*tpl).agg(F.max("pos").alias("node_num")).join(whole, tpl).where("size = node_num").drop("size")
+    start = order.where("pos = 1").select(*tpl, "ntype").join(turns, tpl).join(sizes, tpl)
+    hits = cut(
+        nodes.select(*keys, "id", "ntype").join(start, [*keys, "ntype"]).select(*tpl, "turn", "node_num", F.array("id").alias("found"))
+    )
+    done, pos = hits.where("node_num = 1"), 1
+    while True:
+        pos += 1
+        open_ = hits.where(F.col("node_num") >= pos)
+        if open_.isEmpty():
+            break
+        step = steps.where(F.col("pos") == pos).drop("pos")
+        ahead = open_.join(step, [*tpl, "turn"]).withColumn("src", F.get("found", F.col("via").cast("int") - 1))
+        grown = ahead.join(links, [*keys, "src", "w_out", "w_in", "ntype"]).where(~F.array_contains("found", F.col("dst")))
+        grown = grown.select(*tpl, "turn", "node_num", "found", "dst", "ties")
+        if pos > 2:
+            grown = cut(grown)
+            asked = grown.select(*tpl, "turn", "found", "dst", F.explode("ties").alias("tie")).select(
+                *tpl, "turn", "found", F.col("dst"), F.get("found", F.col("tie.j").cast("int") - 1).alias("src"),
+                F.col("tie.w_out").alias("want_out"), F.col("tie.w_in").alias("want_in"),
+            )
+            known = links.select(*keys, "src", "dst", "w_out", "w_in")
+            same = [F.coalesce(a, F.lit(NO_EDGE)) == F.col(b) for a, b in (("w_out", "want_out"), ("w_in", "want_in"))]
+            wrong = asked.join(known, [*keys, "src", "dst"], "left").where(~(same[0] & same[1]))
+            grown = grown.join(wrong, [*tpl, "turn", "found", "dst"], "left_anti")
+        hits = cut(grown.select(*tpl, "turn", "node_num", F.array_append("found", F.col("dst")).alias("found")))
+        done = done.unionByName(hits.where(F.col("node_num") == pos))
+    return done.select(*tpl, F.array_sort("found").alias("members"), "node_num").distinct()
+
+
 def match_template(nodes: DataFrame, edges: DataFrame, keys: Sequence[str], types: Sequence[str], weights: dict[tuple[int, int], int]) -> DataFrame:
-    """Node sets whose induced graph equals the template: keys, n0, n1, ...
+    """Node sets whose induced graph equals one given template, in all drawings: keys, members, node_num."""
+    keys = list(keys)
+    spark = nodes.sparkSession
+    near = {i: {j for a, b in weights for i_, j in ((a, b), (b, a)) if i_ == i} for i in range(len(types))}
+    reached = {0}
+    while new := {j for i in reached for j in near[i]} - reached:
+        reached |= new
+    if len(reached) < len(types):
+        raise ValueError("a template must be connected")
+    drawings = nodes.select(*keys).distinct().withColumn("tpl", F.lit(0))
+    members = drawings.join(F.broadcast(spark.createDataFrame(list(enumerate(types)), "id long, ntype string")))
+    rows = [(a, b, w) for (a, b), w in weights.items()]
+    template_edges = drawings.join(F.broadcast(spark.createDataFrame(rows, "src long, dst long, weight long")))
+    found = match_templates(nodes, edges, members, template_edges, keys, drawings.withColumn("turn", F.lit(0)))
+    return found.drop("tpl")
+
+
+def legend_templates(symbols: DataFrame, pairs: DataFrame, grouped: DataFrame, edges: DataFrame, keys: Sequence[str]):
+    """The templates that a legend's table rows give: members, edges, turns, and the labels they stand for.
+
+    ``symbols`` are the symbol items of the rows (keys, id = comp), ``pairs``
+    the (keys, label_id, label, symbol_id) read from them, ``grouped`` the
+    nodes with their component, ``edges`` the legend's edges. Symbols of
+    several nodes come in four rotations; equal templates of a label are kept once.
+    """
+    keys = list(keys)
+    named = pairs.select(*keys, "label", F.col("symbol_id").alias("tpl")).distinct()
+    of_symbol = grouped.select(*keys, F.col("comp").alias("tpl"), "id", F.concat("type", "text").alias("ntype"))
+    members = cut(of_symbol.join(named.select(*keys, "tpl").distinct(), [*keys, "tpl"], "left_semi"))
+    place = members.select(*keys, "tpl", F.col("id").alias("src"))
+    own = edges.join(place, [*keys, "src"]).join(place.withColumnRenamed("src", "dst"), [*keys, "tpl", "dst"])
+    own = cut(own.select(*keys, "tpl", "src", "dst", F.col("weight").cast("long").alias("weight")))
+    kept = cut(template_keys(members.join(named, [*keys, "tpl"]).select(*keys, "label", "tpl", "id", "ntype"), own.drop("tpl"), keys))
+    labels = kept.select(*keys, "label", "tpl", "turn")
+    return members, own, labels
+
+
+def legend_hits(
+    nodes: DataFrame, model: DataFrame, keys: Sequence[str], reach: float, model_reach: float = MODEL_REACH
+) -> DataFrame:
+    """The whole legend job: boxes of each label's symbols in the model, without those inside larger ones.
 
-    ``types`` are the node types of the template, ``weights`` its directed
-    edges. The template is grown one node at a time along its edges, as joins
-    on the edge table; missing edges must be missing in the model too. Each
-    node set is returned once.
+    ``nodes`` are a legend's items (keys, id, type, text, block, line_id and
+    box), ``model`` the drawing's. Texts with Chinese characters are labels,
+    other texts of more than two characters are left out. Returns keys, label,
+    node_num and the box, each once; equal boxes go to the larger symbol, then
+    to the label that is read first.
     """
     keys = list(keys)
-    n = len(types)
-    order, todo = [0], set(range(1, n))
-    while todo:
-        nxt = next((t for t in sorted(todo) if any((o, t) in weights for o in order)), None)
-        if nxt is None:
-            raise ValueError("a template must be connected")
-        order.append(nxt)
-        todo.remove(nxt)
-    typed = nodes.select(*keys, F.col("id"), F.col("ntype"))
-    hits = typed.where(F.col("ntype") == types[0]).select(*keys, F.col("id").alias("n0"))
-    for k, node in enumerate(order[1:], 1):
-        earlier = order[:k]
-        via = next(o for o in earlier if (o, node) in weights)
-        step = edges.where(F.col("weight") == weights[via, node]).select(*keys, F.col("src").alias(f"n{via}"), F.col("dst").alias(f"n{node}"))
-        kind = typed.where(F.col("ntype") == types[node]).select(*keys, F.col("id").alias(f"n{node}"))
-        hits = hits.join(step, [*keys, f"n{via}"]).join(kind, [*keys, f"n{node}"], "left_semi")
-        for o in earlier:
-            hits = hits.where(F.col(f"n{o}") != F.col(f"n{node}"))
-            for a, b in ((o, node), (node, o)):
-                if (a, b) == (via, node):
-                    continue
-                there = edges.select(*keys, F.col("src").alias(f"n{a}"), F.col("dst").alias(f"n{b}"), "weight")
-                if (a, b) in weights:
-                    wanted = there.where(F.col("weight") == weights[a, b]).drop("weight")
-                    hits = hits.join(wanted, [*keys, f"n{a}", f"n{b}"], "left_semi")
-                else:
-                    hits = hits.join(there.drop("weight"), [*keys, f"n{a}", f"n{b}"], "left_anti")
-    names = [f"n{i}" for i in range(n)]
-    members = F.array_sort(F.array(*names)).alias("members")
-    return hits.groupBy(*keys, members).agg(F.lit(n).alias("node_num"))
+    label = (F.col("type") == "Text") & T.has_cjk(F.col("text"))
+    dropped = (F.col("type") == "Text") & ~T.has_cjk(F.col("text")) & (F.length("text") > 2)
+    items = cut(nodes.where(~dropped))
+    symbols = items.where(~label)
+    edges = cut(proximity_edges(symbols, keys, reach, ("block", "line_id")))
+    grouped = cut(drop_hatch_borders(cut(grouped_nodes(symbols, edges, keys)), keys))
+    merged = component_bbox(grouped, keys).select(*keys, F.col("comp").alias("id"), "type", "text", "line_id", *BOX)
+    labels = items.where(label).select(*keys, "id", F.lit("Text").alias("type"), "text", "line_id", *BOX)
+    rows = cut(legend_rows(merged.unionByName(labels), keys))
+    pairs = cut(legend_pairs(rows, keys))
+    members, own, names = legend_templates(merged, pairs, grouped, edges, keys)
+    seen = ranked(labels, keys, [F.col("y1").desc(), F.col("x1"), F.col("id")], "rn", bounded=False)
+    first = seen.select(*keys, F.col("id").alias("label_id"), "rn").join(pairs, [*keys, "label_id"])
+    sizes = members.groupBy(*keys, "tpl").agg(F.count(F.lit(1)).alias("size"))
+    about = (
+        pairs.select(*keys, "label", F.col("symbol_id").alias("tpl")).join(sizes, [*keys, "tpl"])
+        .groupBy(*keys, "label").agg(F.max("size").alias("node_num"))
+        .join(first.groupBy(*keys, "label").agg(F.min("rn").alias("label_order")), [*keys, "label"])
+    )
+    typed = cut(model.select(*keys, "id", F.concat("type", "text").alias("ntype"), "block", *BOX))
+    near = cut(proximity_edges(typed, keys, model_reach, ("block",)))
+    turns = names.select(*keys, "tpl", "turn").distinct()
+    hits = match_templates(typed, near, members, own, keys, turns)
+    boxes = hit_boxes(hits.select(*keys, "members", F.lit(0).alias("node_num")).distinct(), typed, keys).drop("node_num")
+    marked = hits.select(*keys, "tpl", "members").join(boxes, [*keys, "members"]).join(names.drop("turn").distinct(), [*keys, "tpl"])
+    each = marked.select(*keys, "label", *BOX).distinct().join(about, [*keys, "label"])
+    each = cut(each.withColumn("id", F.struct(*BOX)))
+    return drop_included(each, keys).select(*keys, "label", "node_num", *BOX)
 
 
 def hit_boxes(hits: DataFrame, nodes: DataFrame, keys: Sequence[str]) -> DataFrame:
