@@ -115,7 +115,24 @@ def double_door_merge(spark, d):
     return D.double_door_merge(view(spark, d, "arcs"), K)
 
 
-@query("slide_door_merge")
+def slide_sql(source: str, keys: str = "dwg_id, otype") -> str:
+    """The loop over the leaves of each group in id order, as a recursion; doors in ``slides``."""
+    on = ", ".join(f"w.{k}" for k in keys.split(", "))
+    grown = "{'id': cur.id, 'x1': least(cur.x1, c.x1), 'y1': least(cur.y1, c.y1), 'x2': greatest(cur.x2, c.x2), 'y2': greatest(cur.y2, c.y2)}"
+    near = (
+        "greatest(cur.x1, r.x1) - least(cur.x2, r.x2) <= 10 AND greatest(cur.y1, r.y1) - least(cur.y2, r.y2) <= 10"
+        " AND NOT (cur.x1 = r.x1 AND cur.x2 = r.x2) AND NOT (cur.y1 = r.y1 AND cur.y2 = r.y2)"
+    )
+    return f"""lf AS (SELECT {keys}, list({{'id': id, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}} ORDER BY id) AS ls FROM {source} GROUP BY ALL),
+  wa AS (SELECT {keys}, ls[1] AS cur, ls[2:] AS rest, 0 AS n, ls[1] AS door, FALSE AS made FROM lf
+    UNION ALL SELECT {on}, CASE WHEN c IS NOT NULL THEN {grown} ELSE rest[1] END,
+      CASE WHEN c IS NOT NULL THEN list_filter(rest, lambda r: r.id <> c.id) ELSE rest[2:] END,
+      CASE WHEN c IS NOT NULL THEN n + 1 ELSE 0 END, cur, c IS NULL AND n > 0
+    FROM (SELECT *, list_filter(rest, lambda r: {near})[1] AS c FROM wa WHERE cur IS NOT NULL) w),
+  slides AS (SELECT {keys}, door.id AS id, door.x1 AS x1, door.y1 AS y1, door.x2 AS x2, door.y2 AS y2 FROM wa WHERE made)"""
+
+
+@query("slide_door_merge", f"WITH RECURSIVE {cte('door_rects')}, {slide_sql('door_rects')} SELECT * FROM slides")
 def slide_door_merge(spark, d):
     return D.slide_door_merge(view(spark, d, "door_rects"), ["dwg_id", "otype"])
 

@@ -4,15 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from planspark.functions import geometry as G
 from planspark.operators.ordering import ranked
-from planspark.operators.rects import A, B, close_boxes, drop_contained, merge_overlapping
+from planspark.operators.rects import A, B, drop_contained, merge_overlapping
 from planspark.operators.spatial import BOX, box_pairs
-from planspark.session import cut
+from planspark.session import cut, discard, stored
 
 # Pixels.
 DOOR_LENGTH = (50, 150)
@@ -182,62 +181,107 @@ def double_door_merge(arcs: DataFrame, keys: Sequence[str], cell: float = 128) -
 # --- sliding doors ---------------------------------------------------------------
 
 
-def reach_groups(rects: DataFrame, keys: Sequence[str], gap: int, cell: float = 64) -> DataFrame:
-    """(keys, id, grp): groups whose bounds are farther than ``gap`` apart, so they never interact."""
-    keys = list(keys)
-    closed = close_boxes(rects, keys, gap, cell)
-    home = box_pairs(rects.select(*keys, "id", *BOX), closed, keys, 2 * cell, where=G.rect_inside(A, B))
-    return home.select(*keys, F.col("a_id").alias("id"), F.col("b_id").alias("grp"))
+_GROWN = ("gx1", "gy1", "gx2", "gy2")
 
 
-def slide_door_merge(rects: DataFrame, keys: Sequence[str], gap: int = SLIDE_GAP) -> DataFrame:
+def slide_door_merge(rects: DataFrame, keys: Sequence[str], gap: int = SLIDE_GAP, cell: float = 64) -> DataFrame:
     """Sliding doors: leaves of one type grown, in id order, by near leaves that are not parallel twins.
 
-    A leaf that grows by nothing is no door. The outcome depends on the order
-    of the leaves that can reach each other, so groups whose bounds are farther
-    apart than ``gap`` are found first, and each group is grown in order. A
-    group is what stands together in one doorway of one drawing, a few leaves
-    (47 at most among 600,000 in the tests), however large the drawing is.
+    A leaf that grows by nothing is no door. The result is that of a loop that
+    lets the leaves lead in id order, each taking its first free near leaf of
+    a larger id until none is left. Here all leaves lead at once, and a round
+    is a grid join: a leader takes its next leaf, also from a larger leader,
+    and the smallest of several takers gets it. Whoever loses a leaf, is taken
+    itself, or stands near a leaf that a smaller leader gave back, begins anew
+    in the next round. Smaller leaders never wait for larger ones, so what is
+    left when nobody moves is what the loop gives. Once a leader's bounds are
+    larger than any leaf of its drawing no leaf can be a twin of it, the order
+    does not matter, and it takes all near leaves in one round.
+
+    State is one row per leaf in one table that each round writes; no group
+    meets in a row or a task.
     """
     keys = list(keys)
-    rects = rects.withColumns({c: F.col(c).cast("long") for c in ("id", *BOX)})
-    grouped = rects.join(reach_groups(rects, keys, gap), [*keys, "id"])
-    sizes = grouped.groupBy(*keys, "grp").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
-    sized = grouped.join(sizes, [*keys, "grp"])
-    row = F.array("id", "x1", "y1", "x2", "y2")
-    lists = sized.groupBy(*keys, "grp").agg(F.sort_array(F.collect_list(row)).alias("rows"))
-
-    @F.pandas_udf("array<array<bigint>>")
-    def grow(groups: pd.Series) -> pd.Series:
-        import numpy as np
-        import pandas as pd
-
-        def doors_of(rows):
-            table = np.stack(rows)
-            box, free, doors = table[:, 1:], np.ones(len(table), dtype=bool), []
-            for i in range(len(box)):
-                if not free[i]:
-                    continue
-                free[i], door, alone = False, box[i], True
-                while True:
-                    near = (np.maximum(door[:2], box[:, :2]) - np.minimum(door[2:], box[:, 2:]) <= gap).all(axis=1)
-                    equal = box == door
-                    twin = equal[:, [0, 2]].all(axis=1) | equal[:, [1, 3]].all(axis=1)
-                    hits = np.flatnonzero(free & near & ~twin)
-                    if not hits.size:
-                        break
-                    mate = box[hits[0]]
-                    alone, free[hits[0]] = False, False
-                    door = np.concatenate([np.minimum(door[:2], mate[:2]), np.maximum(door[2:], mate[2:])])
-                if not alone:
-                    doors.append(np.concatenate([table[i, :1], door]).tolist())
-            return doors
-
-        return pd.Series([doors_of(rows) for rows in groups])
-
-    door = F.explode(grow("rows")).alias("door")
-    names = ("id", "x1", "y1", "x2", "y2")
-    return lists.select(*keys, door).select(*keys, *[F.get("door", F.lit(k)).alias(n) for k, n in enumerate(names)])
+    box = list(BOX)
+    own = rects.select(*keys, *[F.col(c).cast("long").alias(c) for c in ("id", *box)])
+    largest = own.groupBy(*keys).agg(F.max(F.expr("x2 - x1")).alias("mw"), F.max(F.expr("y2 - y1")).alias("mh"))
+    state = stored(
+        own.join(largest, keys).withColumns({
+            "owner": F.lit(None).cast("long"), **{g: F.col(c) for g, c in zip(_GROWN, box)},
+            "taken": F.lit(0).cast("long"), "active": F.lit(True), "again": F.lit(False),
+        })
+    )
+    while True:
+        todo = state.agg(F.count_if("again").alias("again"), F.count_if(F.col("active") & F.col("owner").isNull()).alias("active")).first()
+        if not todo["again"] and not todo["active"]:
+            break
+        for step in [_begin_anew, _take_next] if todo["again"] else [_take_next]:
+            # written as a table: a checkpoint would hand the constraints of all rounds on to the next plan
+            state, before = step(state, keys, gap, cell), state
+            discard(before)
+    return state.where("owner IS NULL AND taken > 0").select(*keys, "id", *[F.col(g).alias(c) for g, c in zip(_GROWN, box)])
+
+
+def _leading(state: DataFrame, keys: list[str], *more: str) -> DataFrame:
+    return state.where("owner IS NULL AND NOT again").select(*keys, "id", *more, *[F.col(g).alias(c) for g, c in zip(_GROWN, BOX)])
+
+
+def _begin_anew(state: DataFrame, keys: list[str], gap: int, cell: float) -> DataFrame:
+    """Leaders marked ``again`` give their leaves back; larger leaders near these are marked in turn."""
+    losers = state.where("again").select(*keys, F.col("id").alias("owner"))
+    back = state.join(losers, [*keys, "owner"]).select(*keys, "id", "owner", *BOX)
+    near = box_pairs(_leading(state, keys), back, keys, cell, margin=gap, where=F.col("a_id") > F.col("b_owner"))
+    marked = near.select(*keys, F.col("a_id").alias("id"), F.lit(True).alias("__marked")).distinct()
+    freed = back.select(*keys, "id", F.lit(True).alias("__freed"))
+    both = state.join(freed, [*keys, "id"], "left").join(marked, [*keys, "id"], "left")
+    fresh = F.col("again") | F.col("__freed").isNotNull()
+    return stored(
+        both.withColumns({
+            "owner": F.when(F.col("__freed").isNull(), F.col("owner")),
+            **{g: F.when(fresh, F.col(c)).otherwise(F.col(g)) for g, c in zip(_GROWN, BOX)},
+            "taken": F.when(fresh, F.lit(0).cast("long")).otherwise(F.col("taken")),
+            "active": F.col("active") | fresh,
+            "again": F.col("__marked").isNotNull(),
+        }).drop("__freed", "__marked")
+    )
+
+
+def _take_next(state: DataFrame, keys: list[str], gap: int, cell: float) -> DataFrame:
+    """Every active leader takes its next leaf, or all of them where their order cannot matter."""
+    a, b = A, B
+    twin = ((a[0] == b[0]) & (a[2] == b[2])) | ((a[1] == b[1]) & (a[3] == b[3]))
+    wide = ((a[2] - a[0]) > F.col("a_mw")) & ((a[3] - a[1]) > F.col("a_mh"))
+    open_to = F.col("b_owner").isNull() | (F.col("b_owner") > F.col("a_id"))
+    leaders = _leading(state.where("active"), keys, "mw", "mh")
+    leaves = state.select(*keys, "id", "owner", *BOX)
+    found = box_pairs(leaders, leaves, keys, cell, margin=gap, where=(F.col("a_id") < F.col("b_id")) & open_to & ~twin)
+    leaf = F.struct(F.col("b_id").alias("id"), F.col("b_owner").alias("owner"), *[F.col(f"b_{c}").alias(c) for c in BOX])
+    found = found.select(*keys, F.col("a_id").alias("leader"), F.when(wide, F.col("b_id")).alias("each"), leaf.alias("leaf"))
+    # one leaf per leader, or each of them
+    asked = stored(found.groupBy(*keys, "leader", "each").agg(F.min("leaf").alias("leaf")).drop("each"))
+    won = asked.groupBy(*keys, "leaf").agg(F.min("leader").alias("new"))
+    gains = won.groupBy(*keys, F.col("new").alias("id")).agg(
+        F.count(F.lit(1)).alias("__n"), F.min("leaf.x1").alias("__x1"), F.min("leaf.y1").alias("__y1"),
+        F.max("leaf.x2").alias("__x2"), F.max("leaf.y2").alias("__y2"),
+    )
+    moved = won.select(*keys, F.col("leaf.id").alias("id"), F.col("new").alias("__new"))
+    busy = asked.select(*keys, F.col("leader").alias("id"), F.lit(True).alias("__busy")).distinct()
+    robbed = won.where("leaf.owner IS NOT NULL").select(*keys, F.col("leaf.owner").alias("id"), F.lit(True).alias("__robbed")).distinct()
+    joined = state
+    for part in (moved, gains, busy, robbed):
+        joined = joined.join(part, [*keys, "id"], "left")
+    grown = {g: (F.least if g in ("gx1", "gy1") else F.greatest)(F.col(g), F.col(f"__{g[1:]}")) for g in _GROWN}
+    was_leader = F.col("__new").isNotNull() & ((F.col("taken") > 0) | F.col("__n").isNotNull())
+    out = joined.withColumns({
+        **grown,
+        "taken": F.col("taken") + F.coalesce("__n", F.lit(0)),
+        "active": F.col("active") & F.col("__busy").isNotNull(),
+        "again": F.col("again") | F.col("__robbed").isNotNull() | was_leader,
+        "owner": F.coalesce("__new", "owner"),
+    }).drop("__n", "__x1", "__y1", "__x2", "__y2", "__new", "__busy", "__robbed")
+    out = stored(out)
+    discard(asked)
+    return out
 
 
 # --- the door job -------------------------------------------------------------------
