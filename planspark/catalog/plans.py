@@ -10,6 +10,7 @@ from planspark.catalog.registry import query
 from planspark.catalog.scalars import HEX_SQL, hex_rings, r6
 from planspark.operators import faces as P
 from planspark.operators import rooms as R
+from planspark.session import cut
 
 K = ["dwg_id"]
 BOX = ["x1", "y1", "x2", "y2"]
@@ -84,40 +85,68 @@ def _labels_in_rooms(spark, d):
     return P.points_in_rings(labels, edges, K, "room")
 
 
-_GRID = f"""WITH {cte('texts', 'hexagons')}, {_IN_HEX}, rm AS (SELECT DISTINCT h.* FROM hexagons h JOIN ins ON ins.room = h.id),
-  gx AS (SELECT rm.*, unnest(range(CAST(ceil(ox / 8) AS BIGINT), CAST(floor((ox + w) / 8) AS BIGINT) + 1)) * 8 AS px FROM rm),
-  gy AS (SELECT gx.*, unnest(range(CAST(ceil(oy / 8) AS BIGINT), CAST(floor((oy + h) / 8) AS BIGINT) + 1)) * 8 AS py FROM gx),
+_GRID = f"""WITH RECURSIVE {cte('texts', 'hexagons')}, {_IN_HEX}, rm AS (SELECT DISTINCT h.* FROM hexagons h JOIN ins ON ins.room = h.id),
+  gx AS (SELECT rm.*, ox + 2 * unnest(range(CAST(floor(w / 2) AS BIGINT) + 1)) AS px FROM rm),
+  gy AS (SELECT gx.*, oy + 2 * unnest(range(CAST(floor(h / 2) AS BIGINT) + 1)) AS py FROM gx),
   cl AS (SELECT * FROM gy WHERE px > ox AND py > oy AND ((px < ox + w AND py < oy + cy) OR (px < ox + cx AND py < oy + h))),
   nr AS (SELECT cl.dwg_id, cl.id AS room, px, py, arg_min(ins.id, (pow(px - ins.x, 2) + pow(py - ins.y, 2), ins.id)) AS label_id
     FROM cl JOIN ins ON ins.room = cl.id GROUP BY 1, 2, 3, 4) """
 
 
-@query("nearest_label", _GRID + "SELECT dwg_id, room, px AS x, py AS y, label_id FROM nr")
-def nearest_label(spark, d):
-    labels = _labels_in_rooms(spark, d)
+def _labelled_rings(spark, d):
+    labels = cut(_labels_in_rooms(spark, d))
     ring = hex_rings(spark, d).select("dwg_id", F.col("id").alias("room"), "ring")
-    ring = ring.join(labels.select("dwg_id", "room").distinct(), ["dwg_id", "room"], "left_semi")
-    return R.nearest_label(R.grid_points(ring, ["dwg_id", "room"], 8), labels, ["dwg_id", "room"])
+    return ring.join(labels.select("dwg_id", "room").distinct(), ["dwg_id", "room"], "left_semi"), labels
+
+
+@query(
+    "nearest_label",
+    _GRID + """SELECT dwg_id, room, CAST(py AS DOUBLE) AS y, label_id, count(*) AS points, CAST(sum(px) AS DOUBLE) AS x_sum, CAST(min(px) AS DOUBLE) AS x_min
+    FROM nr GROUP BY 1, 2, 3, 4""",
+)
+def nearest_label(spark, d):
+    """The points of a 2 px grid and their nearest labels, summed up by grid row."""
+    ring, labels = _labelled_rings(spark, d)
+    near = R.nearest_label(R.grid_points(ring, ["dwg_id", "room"], 2), labels, ["dwg_id", "room"])
+    return near.groupBy("dwg_id", "room", "y", "label_id").agg(
+        F.count(F.lit(1)).alias("points"), F.sum("x").alias("x_sum"), F.min("x").alias("x_min")
+    )
 
 
-@query("label_grid_split", _GRID + "SELECT dwg_id, room, label_id, count(*) AS cells, round(count(*) * 64 / 1e4, 6) AS area FROM nr GROUP BY 1, 2, 3")
+@query("label_grid_split", _GRID + "SELECT dwg_id, room, label_id, count(*) AS cells, round(count(*) * 4 / 1e4, 6) AS area FROM nr GROUP BY 1, 2, 3")
 def label_grid_split(spark, d):
-    ring = hex_rings(spark, d).select("dwg_id", F.col("id").alias("room"), "ring")
-    out = R.label_grid_split(ring, _labels_in_rooms(spark, d), ["dwg_id", "room"], grid=8)
+    out = R.label_grid_split(*_labelled_rings(spark, d), ["dwg_id", "room"])
     return out.select("dwg_id", "room", "label_id", "cells", r6(F.col("area")).alias("area"))
 
 
-@query("label_voronoi_split", _GRID + "SELECT room, label_id, count(*) AS cells FROM nr GROUP BY 1, 2")
+_SIDE = "(bs[k].x - lx) * {p}.x + (bs[k].y - ly) * {p}.y - (bs[k].x * bs[k].x + bs[k].y * bs[k].y - lx * lx - ly * ly) / 2"
+_P, _Q = (_SIDE.format(p=p) for p in ("p", "poly[(i % len(poly)) + 1]"))
+
+
+@query(
+    "label_voronoi_split",
+    f"""WITH RECURSIVE {HEX_SQL}, {cte('texts')}, {_IN_HEX}, sp AS (SELECT dwg_id, room, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, min(id) AS id FROM ins GROUP BY ALL),
+    rg AS (SELECT id AS room, list({{'x': x, 'y': y}} ORDER BY i) AS ring FROM verts GROUP BY 1),
+    st AS (SELECT a.dwg_id, a.room, a.id AS label_id, a.x AS lx, a.y AS ly, coalesce(list({{'x': b.x, 'y': b.y}} ORDER BY b.id) FILTER (b.id IS NOT NULL), []) AS bs
+      FROM sp a LEFT JOIN sp b ON b.room = a.room AND b.id <> a.id GROUP BY ALL),
+    cp AS (SELECT st.*, 1 AS k, ring AS poly FROM st JOIN rg USING (room)
+      UNION ALL SELECT dwg_id, room, label_id, lx, ly, bs, k + 1, flatten(list_transform(poly, lambda p, i: list_filter([
+        CASE WHEN {_P} <= 0 THEN p END,
+        CASE WHEN ({_P} < 0 AND {_Q} > 0) OR ({_P} > 0 AND {_Q} < 0) THEN
+          {{'x': p.x + ({_P}) / (({_P}) - ({_Q})) * (poly[(i % len(poly)) + 1].x - p.x), 'y': p.y + ({_P}) / (({_P}) - ({_Q})) * (poly[(i % len(poly)) + 1].y - p.y)}} END],
+        lambda c: c IS NOT NULL))) FROM cp WHERE k <= len(bs)),
+    en AS (SELECT dwg_id, room, label_id, poly FROM cp WHERE k = len(bs) + 1 AND len(poly) > 2)
+    SELECT dwg_id, room, label_id, round(abs(list_sum(list_transform(poly, lambda p, i: p.x * poly[(i % len(poly)) + 1].y - poly[(i % len(poly)) + 1].x * p.y))) / 2 / 1e4, 6) AS area FROM en""",
+)
 def label_voronoi_split(spark, d):
-    """Nearest-label regions: the same rule as the grid split."""
-    return label_grid_split(spark, d).select("room", "label_id", "cells")
+    """Rings of the regions nearest to each label, here with their areas."""
+    out = R.label_voronoi_split(*_labelled_rings(spark, d), ["dwg_id", "room"])
+    return out.select("dwg_id", "room", "label_id", r6(F.col("area")).alias("area"))
 
 
 @query("label_guillotine_split")
 def label_guillotine_split(spark, d):
-    labels = _labels_in_rooms(spark, d)
-    ring = hex_rings(spark, d).select("dwg_id", F.col("id").alias("room"), "ring")
-    ring = ring.join(labels.select("dwg_id", "room").distinct(), ["dwg_id", "room"], "left_semi")
+    ring, labels = _labelled_rings(spark, d)
     return R.label_guillotine_split(ring, labels, ["dwg_id", "room"])
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from planspark.functions import dictionaries as D
@@ -175,23 +175,94 @@ def drop_contained_rings(rings: DataFrame, keys: Sequence[str], owner: str = "id
     return rings.select(*keys, owner).join(inner, [*keys, owner], "left_anti")
 
 
-def nearest_label(points: DataFrame, labels: DataFrame, keys: Sequence[str], id: str = "pid") -> DataFrame:
-    """Each point with the nearest label of its room (``keys``); ties go to the smaller label id."""
+#: Side of the cells that share their candidates for the nearest label, in pixels.
+SEARCH_CELL = 16
+
+
+def candidate_labels(cells: DataFrame, labels: DataFrame, keys: Sequence[str], size: float = SEARCH_CELL) -> DataFrame:
+    """(keys, cx, cy, label_id, lx, ly): the labels that can be nearest to some point of a cell.
+
+    Rings of cells around a cell grow until they are sure to hold its nearest
+    label: at level k the cell meets the labels of its block of size * 2^k and
+    of the eight blocks around it, and is done once all of its points have a
+    label within one block's side. Labels farther than the farthest nearest
+    label are left out. Labels at one position count as the first of them.
+    Every room in ``cells`` must have a label.
+    """
+    keys = list(keys)
+    spots = cut(labels.groupBy(*keys, F.col("x").alias("lx"), F.col("y").alias("ly")).agg(F.min("id").alias("label_id")))
+    todo = cut(cells.select(*keys, "cx", "cy").distinct())
+    x, y = F.col("cx") * size, F.col("cy") * size
+    gap = lambda p, lo: F.greatest(lo - p, p - lo - size, F.lit(0.0))
+    far = lambda p, lo: F.greatest(F.abs(p - lo), F.abs(p - lo - size))
+    lx, ly = F.col("lx"), F.col("ly")
+    near2, far2 = (f(lx, x) * f(lx, x) + f(ly, y) * f(ly, y) for f in (gap, far))
+    done, level = [], 0
+    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    while not todo.isEmpty():
+        side = size * 2**level
+        placed = spots.select(*keys, "label_id", "lx", "ly", F.floor(lx / side).alias("bx"), F.floor(ly / side).alias("by"))
+        around = todo.withColumn("s", F.explode(steps)).select(
+            *keys, "cx", "cy", (F.floor(x / side) + F.col("s.i")).alias("bx"), (F.floor(y / side) + F.col("s.j")).alias("by")
+        )
+        met = around.join(placed, [*keys, "bx", "by"]).select(*keys, "cx", "cy", "label_id", "lx", "ly", near2.alias("near2"), far2.alias("far2"))
+        best = met.groupBy(*keys, "cx", "cy").agg(F.min("far2").alias("best2")).where(F.col("best2") <= side * side)
+        found = cut(met.join(best, [*keys, "cx", "cy"]).where("near2 <= best2").select(*keys, "cx", "cy", "label_id", "lx", "ly"))
+        done.append(found)
+        todo = cut(todo.join(found, [*keys, "cx", "cy"], "left_anti"))
+        level += 1
+    if not done:
+        return todo.join(spots, keys).select(*keys, "cx", "cy", "label_id", "lx", "ly")
+    return reduce(DataFrame.unionByName, done)
+
+
+def nearest_label(points: DataFrame, labels: DataFrame, keys: Sequence[str], size: float = SEARCH_CELL) -> DataFrame:
+    """Each point with the nearest label of its room (``keys``); ties go to the smaller label id.
+
+    Points meet the candidates of their cell only, so a crowded room costs what
+    stands near each point. Points of rooms without labels are left out.
+    """
     keys = list(keys)
-    lab = labels.select(*keys, F.col("id").alias("label_id"), F.col("x").alias("lx"), F.col("y").alias("ly"))
-    d2 = F.pow(F.col("x") - F.col("lx"), F.lit(2)) + F.pow(F.col("y") - F.col("ly"), F.lit(2))
     rest = [c for c in points.columns if c not in keys]
-    return points.join(lab, keys).groupBy(*keys, *rest).agg(F.min_by("label_id", F.struct(d2, "label_id")).alias("label_id"))
+    named = points.join(labels.select(*keys).distinct(), keys, "left_semi")
+    celled = named.withColumns({"cx": F.floor(F.col("x") / size), "cy": F.floor(F.col("y") / size)})
+    near = candidate_labels(celled, labels, keys, size)
+    d2 = F.pow(F.col("x") - F.col("lx"), F.lit(2)) + F.pow(F.col("y") - F.col("ly"), F.lit(2))
+    met = celled.join(near, [*keys, "cx", "cy"])
+    return met.groupBy(*keys, *rest).agg(F.min_by("label_id", F.struct(d2, "label_id")).alias("label_id"))
 
 
-def grid_points(rings: DataFrame, keys: Sequence[str], grid: int) -> DataFrame:
-    """(keys, x, y): the points of a grid strictly inside each ring."""
+def grid_points(rings: DataFrame, keys: Sequence[str], grid: float) -> DataFrame:
+    """(keys, x, y): the points strictly inside each ring on a grid that starts at the ring's own bounds.
+
+    Each grid row is cut where the ring crosses it, and the points between the
+    cuts are listed; a point never meets the ring's edges but those of its row.
+    """
+    keys = list(keys)
     b = G.ring_bounds(F.col("ring"))
-    steps = lambda lo, hi: F.sequence(F.ceil(lo / grid).cast("long"), F.floor(hi / grid).cast("long"))
-    spans = rings.select(*keys, G.ring_edges(F.col("ring")).alias("edges"), steps(b["x1"], b["x2"]).alias("gx"), steps(b["y1"], b["y2"]).alias("gy"))
-    columns = spans.select(*keys, "edges", "gy", F.explode("gx").alias("cx"))
-    cells = columns.select(*keys, "edges", (F.col("cx") * grid).alias("x"), F.explode("gy").alias("cy")).withColumn("y", F.col("cy") * grid)
-    return cells.where(G.point_in_edges(F.col("edges"), F.col("x"), F.col("y"))).select(*keys, "x", "y")
+    edges = rings.select(*keys, b["x1"].cast("double").alias("ox"), b["y1"].cast("double").alias("oy"), F.explode(G.ring_edges(F.col("ring"))).alias("e"))
+    x1, y1, x2, y2 = (F.col(f"e.{c}").cast("double") for c in ("x1", "y1", "x2", "y2"))
+    row = lambda v: (v - F.col("oy")) / grid
+    low, high = F.least(y1, y2), F.greatest(y1, y2)
+    rows = F.sequence(F.ceil(row(low)).cast("long"), F.floor(row(high)).cast("long"))
+    some = F.floor(row(high)) >= F.ceil(row(low))
+    met = edges.where(some).select(*keys, "ox", "oy", "e", F.explode(rows).alias("k"))
+    y = F.col("oy") + F.col("k") * grid
+    cross = F.when((y1 != y2) & (y >= low) & (y < high), x1 + (y - y1) * (x2 - x1) / (y2 - y1))
+    # what of the border lies on the row itself: level edges, and the ends of the others
+    flat = F.when(y1 == y2, F.struct(F.least(x1, x2).alias("a"), F.greatest(x1, x2).alias("b"))).when(y == y1, F.struct(x1.alias("a"), x1.alias("b")))
+    spans = met.groupBy(*keys, "ox", "oy", "k").agg(F.array_sort(F.collect_list(cross)).alias("cuts"), F.collect_list(flat).alias("flats"))
+    pairs = F.transform(
+        F.filter(F.sequence(F.lit(0), F.size("cuts") - 1), lambda i: i % 2 == 0), lambda i: F.struct(F.get("cuts", i).alias("a"), F.get("cuts", i + 1).alias("b"))
+    )
+    inside = spans.where("size(cuts) > 1").select(*keys, "ox", "oy", "k", "flats", F.explode(pairs).alias("run"))
+    first = F.floor((F.col("run.a") - F.col("ox")) / grid).cast("long") + 1
+    last = F.ceil((F.col("run.b") - F.col("ox")) / grid).cast("long") - 1
+    points = inside.where(first <= last).select(
+        *keys, "flats", F.explode(F.transform(F.sequence(first, last), lambda i: F.col("ox") + i * grid)).alias("x"),
+        (F.col("oy") + F.col("k") * grid).alias("y"),
+    )
+    return points.where(~F.exists("flats", lambda f: F.col("x").between(f["a"], f["b"]))).select(*keys, "x", "y")
 
 
 def label_grid_split(rings: DataFrame, labels: DataFrame, keys: Sequence[str], grid: int = 2) -> DataFrame:
@@ -207,6 +278,56 @@ def label_grid_split(rings: DataFrame, labels: DataFrame, keys: Sequence[str], g
     )
 
 
+def clipped(ring: Column, a: Column, b: Column, c: Column) -> Column:
+    """The part of a ring where a*x + b*y <= c, as a ring; parts that hang together there only are joined along the line."""
+
+    def side(p: Column) -> Column:
+        return a * p["x"] + b * p["y"] - c
+
+    def corner(p: Column, i: Column) -> Column:
+        q = F.get(ring, (i + 1) % F.size(ring))
+        fp, fq = side(p), side(q)
+        t = fp / (fp - fq)
+        hit = F.struct((p["x"] + t * (q["x"] - p["x"])).alias("x"), (p["y"] + t * (q["y"] - p["y"])).alias("y"))
+        return F.array_compact(F.array(F.when(fp <= 0, p), F.when(((fp < 0) & (fq > 0)) | ((fp > 0) & (fq < 0)), hit)))
+
+    return F.flatten(F.transform(ring, corner))
+
+
+def label_voronoi_split(rings: DataFrame, labels: DataFrame, keys: Sequence[str], size: float = SEARCH_CELL) -> DataFrame:
+    """The region of each label in its room, all points nearest to it: (keys, label_id, ring, area in square metres).
+
+    A region is the room's ring clipped by the bisectors to the labels next to
+    it. Two labels are next to each other when some cell of the room's bounds
+    can have either as its nearest; others cannot touch, so the pairs grow
+    with the labels and not with their square. Labels lie in their rooms;
+    labels at one position count as the first of them. The areas of a room's
+    regions add up to the room.
+    """
+    keys = list(keys)
+    whole = rings.join(labels.select(*keys).distinct(), keys, "left_semi").select(
+        *keys, F.transform("ring", lambda p: F.struct(p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y"))).alias("ring")
+    )
+    b = G.ring_bounds(F.col("ring"))
+    steps = lambda lo, hi: F.sequence(F.floor(lo / size).cast("long"), F.floor(hi / size).cast("long"))
+    cells = whole.select(*keys, steps(b["x1"], b["x2"]).alias("gx"), steps(b["y1"], b["y2"]).alias("gy")).select(*keys, F.explode("gx").alias("cx"), "gy")
+    near = cut(candidate_labels(cells.select(*keys, "cx", F.explode("gy").alias("cy")), labels, keys, size))
+    other = near.select(*keys, "cx", "cy", F.col("label_id").alias("m"), F.col("lx").alias("mx"), F.col("ly").alias("my"))
+    pairs = near.join(other, [*keys, "cx", "cy"]).where("label_id <> m").select(*keys, "label_id", "m", "mx", "my").distinct()
+    beside = pairs.groupBy(*keys, "label_id").agg(F.array_sort(F.collect_list(F.struct("m", "mx", "my"))).alias("beside"))
+    each = near.select(*keys, "label_id", F.col("lx").cast("double").alias("lx"), F.col("ly").cast("double").alias("ly")).distinct()
+    joined = each.join(beside, [*keys, "label_id"], "left").join(whole, keys)
+
+    def cut_by(ring: Column, m: Column) -> Column:
+        mx, my = m["mx"].cast("double"), m["my"].cast("double")
+        return clipped(ring, mx - F.col("lx"), my - F.col("ly"), (mx * mx + my * my - F.col("lx") * F.col("lx") - F.col("ly") * F.col("ly")) / 2)
+
+    none = F.array().cast("array<struct<m:bigint,mx:double,my:double>>")
+    neighbours = F.coalesce(F.transform("beside", lambda m: F.struct(m["m"].cast("long").alias("m"), m["mx"].cast("double").alias("mx"), m["my"].cast("double").alias("my"))), none)
+    regions = joined.select(*keys, "label_id", F.aggregate(neighbours, F.col("ring"), cut_by).alias("ring"))
+    return regions.where("size(ring) > 2").withColumn("area", G.ring_area(F.col("ring")) / PX2_PER_M2)
+
+
 def label_guillotine_split(rings: DataFrame, labels: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Cut a room along x and y of every label and give each piece to the label nearest its centroid.
 
@@ -229,7 +350,7 @@ def label_guillotine_split(rings: DataFrame, labels: DataFrame, keys: Sequence[s
         (F.sum((F.col("x1") + F.col("x2")) * cross) / (3 * F.sum(cross))).alias("x"),
         (F.sum((F.col("y1") + F.col("y2")) * cross) / (3 * F.sum(cross))).alias("y"),
     )
-    owned = nearest_label(centre, labels, keys).join(table, [*keys, "face"])
+    owned = nearest_label(centre, labels, keys).select(*keys, "face", "label_id").join(table, [*keys, "face"])
     return owned.groupBy(*keys, "label_id").agg(F.count(F.lit(1)).alias("pieces"), (F.sum("area") / PX2_PER_M2).alias("area"))
 
 
