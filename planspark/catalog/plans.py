@@ -8,6 +8,7 @@ from planspark.catalog.bindings import cte, view
 from planspark.catalog.lines import SPLIT_SQL, segments
 from planspark.catalog.registry import query
 from planspark.catalog.scalars import HEX_SQL, hex_rings, r6
+from planspark.functions import geometry as G
 from planspark.operators import faces as P
 from planspark.operators import rooms as R
 from planspark.session import cut
@@ -136,12 +137,12 @@ _P, _Q = (_SIDE.format(p=p) for p in ("p", "poly[(i % len(poly)) + 1]"))
           {{'x': p.x + ({_P}) / (({_P}) - ({_Q})) * (poly[(i % len(poly)) + 1].x - p.x), 'y': p.y + ({_P}) / (({_P}) - ({_Q})) * (poly[(i % len(poly)) + 1].y - p.y)}} END],
         lambda c: c IS NOT NULL))) FROM cp WHERE k <= len(bs)),
     en AS (SELECT dwg_id, room, label_id, poly FROM cp WHERE k = len(bs) + 1 AND len(poly) > 2)
-    SELECT dwg_id, room, label_id, round(abs(list_sum(list_transform(poly, lambda p, i: p.x * poly[(i % len(poly)) + 1].y - poly[(i % len(poly)) + 1].x * p.y))) / 2 / 1e4, 6) AS area FROM en""",
+    SELECT dwg_id, room, label_id, round(abs(list_sum(list_transform(poly, lambda p, i: p.x * poly[(i % len(poly)) + 1].y - poly[(i % len(poly)) + 1].x * p.y))) / 2, 6) AS area_px FROM en""",
 )
 def label_voronoi_split(spark, d):
     """Rings of the regions nearest to each label, here with their areas."""
     out = R.label_voronoi_split(*_labelled_rings(spark, d), ["dwg_id", "room"])
-    return out.select("dwg_id", "room", "label_id", r6(F.col("area")).alias("area"))
+    return out.select("dwg_id", "room", "label_id", r6(G.ring_area(F.col("ring"))).alias("area_px"))
 
 
 @query("label_guillotine_split")
