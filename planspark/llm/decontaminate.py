@@ -1,12 +1,12 @@
 """Benchmark decontamination by word windows (operator 7, native).
 
 Benchmark items become windows of consecutive normalised words. The set of
-their hashes goes to every task; each document's windows are scanned against
-it, in the row, first by the hash of their leading words and then by that of
-the whole window. Only hits leave the row, as window texts, and are confirmed
-by an equi-join on the text itself. A benchmark with more windows than
-``SET_WINDOWS`` is not shipped: window hashes of the documents are joined with
-it instead, and the hits take the same way from there.
+their hashes goes to every task as a table of ``SLOTS`` slots, of the same
+size for every benchmark; each document's windows are scanned against it, in
+the row, first by the hash of their leading words and then by that of the
+whole window. Only hits leave the row, as window texts, and are confirmed by
+an equi-join on the text itself, so a fuller table costs more confirmations
+and never a result.
 
 Cases: a null or empty text has no words and no hits; an item shorter than the
 window is one window, an item without words none; repeated items count once
@@ -16,6 +16,7 @@ rows get the same result; an empty table on either side gives no hits.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +26,10 @@ from planspark.session import cut
 
 WINDOW = 10
 LEAD = 2
-SET_WINDOWS = 50_000
+#: Slots of the hash set, a byte each: 4 MB, whatever the benchmark.
+SLOTS = 1 << 22
+#: Bits of a row that the bitmap aggregate makes.
+ROW_BITS = 32_768
 BREAKS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
 
@@ -54,61 +58,52 @@ def item_windows(items: DataFrame, id: str, text: str, window: int) -> DataFrame
     )
 
 
-def scan(size: int, leads: list[int], full: list[int]) -> Column:
-    """Positions whose leading words' hash is in ``leads`` and whose window's hash is in ``full``.
+def slot(h: Column, slots: int) -> Column:
+    """The slot of a hash, from its upper bits."""
+    return F.shiftrightunsigned(h, 64 - (slots.bit_length() - 1))
 
-    Written as SQL text: one literal list, in place of a call per literal.
-    """
 
-    def hashed(length: int) -> str:
-        return "xxhash64(" + ", ".join(f"get(ws, at + {k})" for k in range(length)) + ")"
+def hash_set(known: DataFrame, most: int, slots: int) -> bytearray:
+    """A byte per slot, 1 where a window's hash or that of its leading words falls.
 
-    tests = [f"{hashed(n)} IN ({', '.join(f'{h}L' for h in hs)})" for n, hs in ((LEAD, leads), (size, full)) if n <= size]
-    return F.expr(f"filter(if(size(ws) >= {size}, sequence(0, size(ws) - {size}), array()), at -> {' AND '.join(tests)})")
+    Made as bitmaps in the cluster: what reaches the driver is ``slots`` / 8 bytes at most.
+    """
+    ws = F.split("window", " ")
+    lead = F.when(F.size(ws) >= LEAD, window_hash(ws, F.lit(0), LEAD))
+    # missing words are null and leave the hash as it is, so one expression serves all sizes up to ``most``
+    hashes = known.select(F.explode(F.array(lead, F.xxhash64(*[F.get(ws, F.lit(k)) for k in range(most)]))).alias("h")).where("h is not null")
+    rows = (
+        hashes.select(slot(F.col("h"), slots).alias("slot"))
+        .groupBy(F.expr(f"slot div {ROW_BITS}").alias("row"))
+        .agg(F.expr(f"bitmap_construct_agg(slot % {ROW_BITS})").alias("bits"))
+        .collect()
+    )
+    out = np.zeros(max(slots, ROW_BITS), dtype=np.uint8)
+    for r in rows:
+        bits = np.unpackbits(np.frombuffer(bytes(r["bits"]), dtype=np.uint8), bitorder="little")
+        out[r["row"] * ROW_BITS : (r["row"] + 1) * ROW_BITS] = bits[:ROW_BITS]
+    return bytearray(out[:slots].tobytes())
 
 
-def candidates(docs: DataFrame, known: DataFrame, sizes: list[int], set_windows: int) -> DataFrame:
+def candidates(docs: DataFrame, known: DataFrame, sizes: list[int], slots: int) -> DataFrame:
     """``doc_id``, ``text_key``, ``n_words`` and ``hits`` (array of at, size, window) by hash."""
-    empty = F.array().cast("array<struct<at:int,size:int,window:string>>")
-    distinct = known.select("size", "window").distinct()
-    coded = distinct.withColumn("ws", F.split("window", " "))
-    lead = F.xxhash64(F.get("ws", F.lit(0)), F.get("ws", F.lit(1)))
+    hits = F.array().cast("array<struct<at:int,size:int,window:string>>")
+    if sizes:
+        table, one = F.lit(hash_set(known, max(sizes), slots)), F.lit(bytearray(b"\x01"))
 
-    def positions(size: int) -> Column:
-        return F.when(F.size("ws") >= size, F.sequence(F.lit(0), F.size("ws") - size)).otherwise(F.array().cast("array<int>"))
+        def in_set(at: Column, length: int) -> Column:
+            return F.substring(table, slot(window_hash(F.col("ws"), at, length), slots).cast("int") + 1, F.lit(1)) == one
 
-    def show(size: int):
-        return lambda at: F.struct(
-            at.alias("at"), F.lit(size).alias("size"), window_text(F.col("ws"), at, size).alias("window")
-        )
+        def found(size: int) -> Column:
+            places = F.when(F.size("ws") >= size, F.sequence(F.lit(0), F.size("ws") - size)).otherwise(F.array().cast("array<int>"))
+            test = (lambda at: in_set(at, LEAD) & in_set(at, size)) if size >= LEAD else (lambda at: in_set(at, size))
+            return F.transform(
+                F.filter(places, test),
+                lambda at: F.struct(at.alias("at"), F.lit(size).alias("size"), window_text(F.col("ws"), at, size).alias("window")),
+            )
 
-    if distinct.limit(set_windows + 1).count() <= set_windows:
-        found = []
-        for size in sizes:
-            rows = coded.where(F.col("size") == size).select(
-                window_hash(F.col("ws"), F.lit(0), size).alias("h"), (lead if size >= LEAD else F.lit(0)).alias("lead")
-            ).collect()
-            full, leads = sorted({r["h"] for r in rows}), sorted({r["lead"] for r in rows})
-
-            found.append(F.transform(scan(size, leads, full), show(size)))
-        hits = F.concat(*found) if found else empty
-        return docs.select("doc_id", "text_key", F.size("ws").alias("n_words"), hits.alias("hits"))
-
-    hashes = None
-    for size in sizes:
-        one = docs.select("doc_id", "text_key", F.posexplode(F.transform(positions(size), lambda at: window_hash(F.col("ws"), at, size))).alias("at", "h")).withColumn("size", F.lit(size))
-        some = coded.where(F.col("size") == size).select(window_hash(F.col("ws"), F.lit(0), size).alias("h")).distinct()
-        one = one.join(some, "h", "left_semi").select("doc_id", "text_key", "size", "at")
-        hashes = one if hashes is None else hashes.unionByName(one)
-    grouped = hashes.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("size", "at")).alias("spots"))
-    joined = in_rows_of(docs, grouped, ["doc_id", "text_key"])
-    shown = F.transform(
-        "spots",
-        lambda s: F.struct(
-            s["at"].alias("at"), s["size"].alias("size"), window_text(F.col("ws"), s["at"], s["size"]).alias("window")
-        ),
-    )
-    return joined.select("doc_id", "text_key", F.size("ws").alias("n_words"), F.coalesce(shown, empty).alias("hits"))
+        hits = F.concat(*[found(size) for size in sizes])
+    return docs.select("doc_id", "text_key", F.size("ws").alias("n_words"), hits.alias("hits"))
 
 
 def find_leaks(
@@ -119,7 +114,7 @@ def find_leaks(
     item_id: str = "item_id",
     item_text: str = "text",
     window: int = WINDOW,
-    set_windows: int = SET_WINDOWS,
+    slots: int = SLOTS,
 ) -> DataFrame:
     """One row per row of ``docs``: ``doc_id``, ``text_key``, ``n_words``, ``n_hit``, ``items``, ``spans``.
 
@@ -131,12 +126,10 @@ def find_leaks(
     split = docs.select(
         F.col(id).alias("doc_id"), text_key_of(F.col(text)).alias("text_key"), words(F.col(text)).alias("ws")
     )
-    found = cut(candidates(split, known, sizes, set_windows))
+    found = cut(candidates(split, known, sizes, slots))
     hits = found.select("doc_id", "text_key", F.explode("hits").alias("hit")).select(
         "doc_id", "text_key", "hit.at", "hit.size", "hit.window"
     )
-    if known.limit(set_windows + 1).count() <= set_windows:
-        known = F.broadcast(known)
     confirmed = (
         hits.join(known, ["size", "window"])
         .groupBy("doc_id", "text_key")

@@ -10,7 +10,7 @@ verdict is ``allow``.
 
 Cases: a null URL or one without ``://`` has an empty host and path and no
 rule; hosts are lower-cased in A-Z; repeated rows give repeated results;
-repeated rules count once; an empty rule table allows everything; extra
+repeated rules count once, rules without a host fit nothing; an empty rule table allows everything; extra
 columns stay out of the result.
 """
 
@@ -23,8 +23,6 @@ from planspark.llm.common import ascii_lower, in_rows_of
 
 DEFAULT_VERDICT = "allow"
 PREFIX_HEX = 8
-#: Rule tables up to this many rows are broadcast; larger ones meet the expressions in a shuffle join.
-BROADCAST_RULES = 200_000
 
 
 def host_of(url: Column) -> Column:
@@ -37,11 +35,14 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(rest, "^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def suffixes(host: Column) -> Column:
-    """Every dot-suffix of a host, itself included."""
-    parts = F.split(host, "\\.", -1)
-    n = F.size(parts)
-    return F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(parts, i, n - i + 1), "."))
+def suffixes(host: Column, labels: list[int]) -> Column:
+    """The dot-suffixes of a host that have one of these numbers of labels, itself included if it has.
+
+    Only numbers that occur among the rules are made, so a host of many dots makes no more than the rules can use.
+    """
+    n = F.length(host) - F.length(F.replace(host, F.lit("."), F.lit(""))) + 1
+    found = [F.when(n >= k, F.substring_index(host, ".", -k)) for k in labels]
+    return F.array_compact(F.array(*found)) if found else F.array().cast("array<string>")
 
 
 def judge(urls: DataFrame, rules: DataFrame, url: str = "url", default: str = DEFAULT_VERDICT) -> DataFrame:
@@ -54,8 +55,10 @@ def judge(urls: DataFrame, rules: DataFrame, url: str = "url", default: str = DE
         ascii_lower(F.coalesce("host", F.lit(""))).alias("r_host"),
         F.coalesce("path", F.lit("")).alias("r_path"),
         F.col("verdict").alias("r_verdict"),
-    ).distinct()
+    ).where("r_host <> ''").distinct()
     lengths = [r[0] for r in rules.select(F.length("r_path")).distinct().orderBy(F.length("r_path")).collect()]
+    dots = F.length("r_host") - F.length(F.replace(F.col("r_host"), F.lit("."), F.lit(""))) + 1
+    labels = sorted(r[0] for r in rules.select(dots.cast("int").alias("n")).distinct().collect())
     parts = (
         urls.select(F.col(url).alias("_url"))
         .distinct()
@@ -65,7 +68,7 @@ def judge(urls: DataFrame, rules: DataFrame, url: str = "url", default: str = DE
     wanted = F.array(*[F.lit(n) for n in lengths]) if lengths else F.array().cast("array<int>")
     expressions = (
         parts.where("host <> ''")
-        .select("_url", "path", F.explode(suffixes(F.col("host"))).alias("e_host"))
+        .select("_url", "path", F.explode(suffixes(F.col("host"), labels)).alias("e_host"))
         .select(
             "_url",
             "e_host",
@@ -78,8 +81,6 @@ def judge(urls: DataFrame, rules: DataFrame, url: str = "url", default: str = DE
     coded = rules.withColumn("r_digest", _digest(F.col("r_host"), F.col("r_path"))).withColumn(
         "key", F.substring("r_digest", 1, PREFIX_HEX)
     )
-    if rules.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES:
-        coded = F.broadcast(coded)
     best = (
         expressions.join(coded, "key")
         .where("e_digest = r_digest")

@@ -49,8 +49,8 @@ ITEMS = [(1, PASSAGE), (2, "own words"), (3, None), (4, ""), (5, "Hello World"),
 def test_leaks(spark, docs, rows, no_docs):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     want = brute.leaks(rows, ITEMS)
-    for most in (decontaminate.SET_WINDOWS, 0):
-        got = decontaminate.find_leaks(docs, items, set_windows=most)
+    for slots in (decontaminate.SLOTS, 64):
+        got = decontaminate.find_leaks(docs, items, slots=slots)
         same(map(tuple, got.select("doc_id", "n_words", "n_hit", "items").collect()), want)
     assert decontaminate.find_leaks(no_docs, items).count() == 0
     none = decontaminate.find_leaks(docs, items.limit(0)).agg(F.sum("n_hit"), F.count("*")).first()
