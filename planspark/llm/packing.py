@@ -234,38 +234,47 @@ class Pieces:
         self.apart = not any("\u2581" in p.lstrip("\u2581") for p in pieces)
         self.begins = np.array([p.startswith("\u2581") for p in pieces])
         one_word = [chr(c) for c in range(0x250) if self.words_in(f"a{chr(c)}b") == 1 and self.words_in(chr(c)) == 1]
-        self.plain = re.compile(f" ?[{re.escape(''.join(one_word))}]+")
+        self.plain = re.compile(f"[{re.escape(''.join(one_word))}]+")
         self.space = np.array([pieces.index("\u2581")], "<i4").tobytes() if "\u2581" in pieces else b""
         self.known: dict[str, bytes] = {}
 
     def words_in(self, text: str) -> int:
         return int(self.begins[self.processor.encode(text)].sum())
 
-    def learn(self, segments: list[str]) -> None:
-        known, plain = self.known, [s for s in segments if self.plain.fullmatch(s)]
-        odd = set(segments).difference(plain)
+    def segments(self, text: str) -> list[str]:
+        """The segments of a text without the first space of each, which the processor puts there itself."""
+        if not text:
+            return []
+        if "\u2581" in text:  # the sign for a space itself would join the spaces around it
+            return [text]
+        if "  " in text or text[0] == " " or text[-1] == " ":
+            return [s[1:] for s in self.SEGMENT.findall(" " + text)]
+        return text.split(" ")
+
+    def learn(self, words: list[str]) -> None:
+        known, plain = self.known, [w for w in words if self.plain.fullmatch(w)]
+        odd = set(words).difference(plain)
         for start in range(0, len(plain), self.TOGETHER * 64):
-            texts = [plain[k : k + self.TOGETHER] for k in range(start, min(len(plain), start + self.TOGETHER * 64), self.TOGETHER)]
-            found = self.processor.encode(["".join(own)[1:] for own in texts], num_threads=1)
-            for own, ids in zip(texts, found):
+            groups = [plain[k : k + self.TOGETHER] for k in range(start, min(len(plain), start + self.TOGETHER * 64), self.TOGETHER)]
+            found = self.processor.encode([" ".join(own) for own in groups], num_threads=1)
+            for own, ids in zip(groups, found):
                 ids = np.array(ids, dtype="<i4")
-                limits = [*np.flatnonzero(self.begins[ids]).tolist(), len(ids)]
-                if len(limits) != len(own) + 1:
+                limits = [4 * k for k in np.flatnonzero(self.begins[ids]).tolist()]
+                if len(limits) != len(own):
                     odd.update(own)
                     continue
                 data = ids.tobytes()
-                known.update(zip(own, [data[4 * a : 4 * b] for a, b in zip(limits, limits[1:])]))
+                known.update(zip(own, [data[a:b] for a, b in zip(limits, [*limits[1:], len(data)])]))
         odd = list(odd)
-        for segment, ids in zip(odd, self.processor.encode([s[1:] for s in odd], num_threads=1)):
-            known[segment] = np.array(ids, dtype="<i4").tobytes()
-        known[" "] = self.space
+        for word, ids in zip(odd, self.processor.encode(odd, num_threads=1)):
+            known[word] = np.array(ids, dtype="<i4").tobytes()
+        known[""] = self.space
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian int32 numbers."""
         if not self.apart:
             return [np.array(ids, dtype="<i4").tobytes() for ids in self.processor.encode(texts, num_threads=1)]
-        # a text with the sign for a space itself is one segment: it would join the spaces around it
-        split = [([] if not t else [" " + t] if "\u2581" in t else self.SEGMENT.findall(" " + t)) for t in texts]
+        split = [self.segments(t) for t in texts]
         new = set(chain.from_iterable(split)).difference(self.known)
         if len(self.known) + len(new) > self.CACHE_WORDS:
             self.known = {}

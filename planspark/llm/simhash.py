@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from planspark.operators.rounds import components
+from planspark.llm.components import components
 from planspark.session import cut
 
 SHINGLE = 3
@@ -246,7 +246,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     """``doc_id``, ``fp``, ``component_id`` (smallest id of the component) of every row."""
     prints = cut(fingerprints(docs, id, text))
     distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    labelled = cut(components(distinct, links(distinct.select("fp")), [], id="fp", name="comp"))
+    labelled = cut(components(distinct, links(distinct.select("fp")), id="fp", name="comp"))
     lowest = labelled.groupBy("comp").agg(F.min("low").alias("component_id"))
     of_print = labelled.join(lowest, "comp").select("fp", "component_id")
     return prints.join(of_print, "fp").select("doc_id", "fp", "component_id")
