@@ -10,6 +10,7 @@ from planspark.catalog.registry import query
 from planspark.catalog.scalars import HEX_SQL, hex_rings, r6
 from planspark.functions import geometry as G
 from planspark.operators import faces as P
+from planspark.operators import living as L
 from planspark.operators import rooms as R
 from planspark.session import cut
 
@@ -145,6 +146,38 @@ def label_voronoi_split(spark, d):
     return out.select("dwg_id", "room", "label_id", r6(G.ring_area(F.col("ring"))).alias("area_px"))
 
 
+def _living_sql() -> str:
+    from planspark.functions import dictionaries as D
+
+    living = " OR ".join(f"contains(text, '{w}')" for w in D.ROOM_WORDS["living"])
+    # the hexagons are boxes without one corner: one cut to the left and one down, each side a box or the smaller L
+    return f"""WITH {cte('texts', 'hexagons')}, {_IN_HEX}, lv AS (SELECT dwg_id, min((room, id)) AS c FROM ins WHERE {living} GROUP BY 1),
+    sp AS (SELECT h.*, c[2] AS first, w * cy + cx * (h.h - cy) AS total FROM lv JOIN hexagons h ON h.id = c[1]),
+    pt AS (SELECT *, 6 AS part, ox AS a1, CASE WHEN low THEN oy ELSE oy + cy END AS b1, CASE WHEN low THEN ox + w ELSE ox + cx END AS a2, CASE WHEN low THEN oy + cy ELSE oy + h END AS b2
+        FROM (SELECT *, w * cy <= cx * (h - cy) AS low FROM sp WHERE ox >= 1)
+      UNION ALL SELECT *, 7, CASE WHEN low THEN ox ELSE ox + cx END, oy, CASE WHEN low THEN ox + cx ELSE ox + w END, CASE WHEN low THEN oy + h ELSE oy + cy END
+        FROM (SELECT *, cx * h < (w - cx) * cy AS low FROM sp WHERE oy >= 1)),
+    kp AS (SELECT * FROM pt p WHERE NOT EXISTS (SELECT 1 FROM pt q WHERE q.id = p.id AND q.part <> p.part AND q.a1 <= p.a1 AND q.b1 <= p.b1 AND q.a2 >= p.a2 AND q.b2 >= p.b2)),
+    nm AS (SELECT kp.dwg_id, part, ins.id AS label_id, a1, b1, a2, b2 FROM kp JOIN ins ON ins.room = kp.id AND x > a1 AND x < a2 AND y > b1 AND y < b2),
+    us AS (SELECT dwg_id, count(DISTINCT part) AS n, min(part) AS part FROM nm GROUP BY 1),
+    rest AS (SELECT sp.dwg_id, first, CASE WHEN n IS NULL THEN total WHEN n = 2 THEN total - (SELECT sum((a2 - a1) * (b2 - b1)) FROM kp WHERE kp.id = sp.id) + CASE WHEN EXISTS
+        (SELECT 1 FROM kp p JOIN kp q ON q.id = p.id AND p.part = 6 AND q.part = 7 AND p.a1 < q.a2 AND q.a1 < p.a2 AND p.b1 < q.b2 AND q.b1 < p.b2 WHERE p.id = sp.id) THEN cx * cy ELSE 0 END
+      ELSE total - (SELECT (a2 - a1) * (b2 - b1) FROM kp WHERE kp.id = sp.id AND kp.part = us.part) END AS area FROM sp LEFT JOIN us USING (dwg_id)),
+    al AS (SELECT dwg_id, 0 AS g, id AS o1, 0 AS o2, NULL::BIGINT AS label_id, w * cy + cx * (h - cy) AS area FROM hexagons h WHERE NOT EXISTS (SELECT 1 FROM lv WHERE lv.c[1] = h.id)
+      UNION ALL SELECT dwg_id, 1, part, label_id, label_id, (a2 - a1) * (b2 - b1) FROM nm UNION ALL SELECT dwg_id, 2, 0, 0, first, area FROM rest)
+    SELECT dwg_id, row_number() OVER (PARTITION BY dwg_id ORDER BY g, o1, o2) AS room_id, label_id, round(area / 1e4, 6) AS area FROM al"""
+
+
+@query("living_room_split", _living_sql())
+def living_room_split(spark, d):
+    labels = view(spark, d, "texts").select("dwg_id", "id", "text", "x", "y").join(
+        _labels_in_rooms(spark, d).select("dwg_id", "id", F.col("room").alias("room_id")), ["dwg_id", "id"]
+    )
+    rooms = hex_rings(spark, d).select("dwg_id", F.col("id").alias("room_id"), "ring")
+    out = L.living_room_split(rooms, labels, K)
+    return out.select("dwg_id", "room_id", "label_id", r6(F.col("area")).alias("area"))
+
+
 @query("label_guillotine_split")
 def label_guillotine_split(spark, d):
     ring, labels = _labelled_rings(spark, d)
