@@ -190,42 +190,48 @@ def polygons_subtract_earlier(spark, d):
     return R.subtract_earlier(rings, K).select("dwg_id", "id", r6(F.col("area")).alias("area"))
 
 
-_DW = f"WITH {cte('door_rects', 'arcs')} "
+# an L-shaped wall is two boxes
+_DW = f"""WITH {cte('door_rects', 'hexagons')}, wl AS (SELECT dwg_id, ox AS x1, oy AS y1, ox + w AS x2, oy + cy AS y2 FROM hexagons
+    UNION ALL SELECT dwg_id, ox, oy, ox + cx, oy + h FROM hexagons) """
+
+
+def _walls(spark, d):
+    return hex_rings(spark, d).select("dwg_id", "id", "ring")
 
 
 @query(
     "door_wall_touch",
-    _DW + "SELECT dwg_id, id FROM door_rects r WHERE EXISTS (SELECT 1 FROM arcs a WHERE a.dwg_id = r.dwg_id AND a.x1 <= r.x2 AND a.x2 >= r.x1 AND a.y1 <= r.y2 AND a.y2 >= r.y1)",
+    _DW + "SELECT dwg_id, id FROM door_rects r WHERE EXISTS (SELECT 1 FROM wl a WHERE a.dwg_id = r.dwg_id AND a.x1 <= r.x2 AND a.x2 >= r.x1 AND a.y1 <= r.y2 AND a.y2 >= r.y1)",
 )
 def door_wall_touch(spark, d):
-    return R.door_wall_touch(view(spark, d, "door_rects"), view(spark, d, "arcs"), K).select("dwg_id", "id")
+    return R.door_wall_touch(view(spark, d, "door_rects"), _walls(spark, d), K).select("dwg_id", "id")
 
 
 def _snap_sql(shifts: str, limit: str) -> str:
-    return _DW + f""", tr AS (SELECT dwg_id, id, x2 - x1 > y2 - y1 AS flat, {limit} AS lim, sh.turn, x1 + CASE WHEN x2 - x1 > y2 - y1 THEN 0 ELSE sh.s END AS x1,
+    return _DW + f""", tr AS MATERIALIZED (SELECT dwg_id, id, x2 - x1 > y2 - y1 AS flat, {limit} AS lim, sh.turn, x1 + CASE WHEN x2 - x1 > y2 - y1 THEN 0 ELSE sh.s END AS x1,
       x2 + CASE WHEN x2 - x1 > y2 - y1 THEN 0 ELSE sh.s END AS x2, y1 + CASE WHEN x2 - x1 > y2 - y1 THEN sh.s ELSE 0 END AS y1,
       y2 + CASE WHEN x2 - x1 > y2 - y1 THEN sh.s ELSE 0 END AS y2 FROM door_rects, ({shifts}) sh),
     m AS (SELECT tr.dwg_id, tr.id, turn, lim, CASE WHEN flat THEN tr.x1 - a.x2 ELSE tr.y1 - a.y2 END AS back,
-      CASE WHEN flat THEN a.x1 - tr.x2 ELSE a.y1 - tr.y2 END AS ahead FROM tr JOIN arcs a ON a.dwg_id = tr.dwg_id
-      AND CASE WHEN flat THEN a.y1 <= tr.y2 AND a.y2 >= tr.y1 ELSE a.x1 <= tr.x2 AND a.x2 >= tr.x1 END),
+      CASE WHEN flat THEN a.x1 - tr.x2 ELSE a.y1 - tr.y2 END AS ahead FROM tr JOIN wl a ON a.dwg_id = tr.dwg_id
+      WHERE CASE WHEN flat THEN a.y1 <= tr.y2 AND a.y2 >= tr.y1 ELSE a.x1 <= tr.x2 AND a.x2 >= tr.x1 END),
     ok AS (SELECT dwg_id, id, turn, min(greatest(back, 0)) FILTER (WHERE ahead <= 0 AND back <= lim) AS lo,
       min(greatest(ahead, 0)) FILTER (WHERE back <= 0 AND ahead <= lim) AS hi FROM m
       WHERE greatest(back, ahead) <= lim GROUP BY 1, 2, 3),
-    f AS (SELECT * FROM ok QUALIFY row_number() OVER (PARTITION BY dwg_id, id ORDER BY turn) = 1),
-    g AS (SELECT tr.*, coalesce(lo, lim) AS lo, coalesce(hi, lim) AS hi FROM tr JOIN f USING (dwg_id, id, turn))
+    f AS MATERIALIZED (SELECT dwg_id, id, arg_min({{'t': turn, 'lo': lo, 'hi': hi}}, turn) AS b FROM ok GROUP BY 1, 2),
+    g AS (SELECT tr.*, coalesce(b.lo, lim) AS lo, coalesce(b.hi, lim) AS hi FROM tr JOIN f ON f.dwg_id = tr.dwg_id AND f.id = tr.id AND f.b.t = tr.turn)
     SELECT dwg_id, id, x1 - CASE WHEN flat THEN lo ELSE 0 END AS x1, y1 - CASE WHEN flat THEN 0 ELSE lo END AS y1,
       x2 + CASE WHEN flat THEN hi ELSE 0 END AS x2, y2 + CASE WHEN flat THEN 0 ELSE hi END AS y2 FROM g
-    UNION ALL SELECT dwg_id, id, x1, y1, x2, y2 FROM door_rects WHERE (dwg_id, id) NOT IN (SELECT (dwg_id, id) FROM f)"""
+    UNION ALL SELECT dwg_id, id, x1, y1, x2, y2 FROM door_rects ANTI JOIN f USING (dwg_id, id)"""
 
 
 @query("door_wall_extend", _snap_sql("SELECT * FROM (VALUES (0, 0), (1, -1), (2, 1), (3, -2), (4, 2), (5, -3), (6, 3), (7, -4), (8, 4), (9, -5), (10, 5)) t(turn, s)", "5"))
 def door_wall_extend(spark, d):
-    return R.snap_doors(view(spark, d, "door_rects"), view(spark, d, "arcs"), K)
+    return R.snap_doors(view(spark, d, "door_rects"), _walls(spark, d), K)
 
 
 @query("snap_method", _snap_sql("SELECT 0 AS turn, 0 AS s", "greatest(x2 - x1, y2 - y1) + 5"))
 def snap_method(spark, d):
-    return R.snap_doors(view(spark, d, "door_rects"), view(spark, d, "arcs"), K, method="slide")
+    return R.snap_doors(view(spark, d, "door_rects"), _walls(spark, d), K, method="slide")
 
 
 @query(

@@ -15,7 +15,7 @@ from planspark.operators import faces as P
 from planspark.operators import rects as R
 from planspark.operators import segments as S
 from planspark.operators.ordering import ranked
-from planspark.operators.spatial import BOX, box_pairs, box_semi
+from planspark.operators.spatial import BOX, box_pairs
 from planspark.session import cut
 
 
@@ -376,20 +376,55 @@ def subtract_earlier(rings: DataFrame, keys: Sequence[str], owner: str = "id") -
 HINGED_EXTEND, HINGED_SHIFT, SLIDE_EXTRA = 5, 5, 5
 
 
+def wall_meetings(boxes: DataFrame, walls: DataFrame, keys: Sequence[str], ids: Sequence[str], cell: float = 64) -> DataFrame:
+    """Where wall polygons meet the bands of boxes: keys, ids, flat, o_* (the box) and the stretch ``lo``..``hi`` along it.
+
+    ``boxes`` has keys, ids, ``flat`` and x1..y2, with x1..y2 grown as far as is looked and ``o_x1``..``o_y2`` as the
+    box itself; its band runs along x if ``flat``, otherwise along y. ``walls`` has keys, id and ring. Each wall edge that
+    comes near is cut to the band. A box wholly inside a wall meets no edge; one of its corners tells, and the stretch is the box.
+    """
+    keys, ids = list(keys), list(ids)
+    edges = walls.select(*keys, F.col("id").alias("wall"), F.inline(G.ring_edges(F.col("ring"))))
+    flatter = edges.select(
+        *keys, *[F.col(c).cast("double").alias(f"e_{c}") for c in S.SEG],
+        F.least("x1", "x2").alias("x1"), F.least("y1", "y2").alias("y1"), F.greatest("x1", "x2").alias("x2"), F.greatest("y1", "y2").alias("y2"),
+    )
+    met = box_pairs(boxes, flatter, keys, cell)
+    flat = F.col("a_flat")
+    # along the band (u) and across it (v)
+    u1, v1, u2, v2 = (F.when(flat, F.col(f"b_e_{a}")).otherwise(F.col(f"b_e_{b}")) for a, b in (("x1", "y1"), ("y1", "x1"), ("x2", "y2"), ("y2", "x2")))
+    low, high = (F.when(flat, F.col(f"a_o_{a}")).otherwise(F.col(f"a_o_{b}")) for a, b in (("y1", "x1"), ("y2", "x2")))
+    at = lambda v: u1 + (v - v1) * (u2 - u1) / F.when(v1 != v2, v2 - v1)
+    one = F.when(v1 == v2, u1).otherwise(at(F.greatest(low, F.least(v1, v2))))
+    two = F.when(v1 == v2, u2).otherwise(at(F.least(high, F.greatest(v1, v2))))
+    own = ["flat", "o_x1", "o_y1", "o_x2", "o_y2"]
+    cut_edges = met.where((F.greatest(v1, v2) >= low) & (F.least(v1, v2) <= high)).select(
+        *keys, *[F.col(f"a_{c}").alias(c) for c in [*ids, *own]], F.least(one, two).alias("lo"), F.greatest(one, two).alias("hi")
+    )
+    corners = boxes.select(*keys, *ids, *own, F.col("o_x1").alias("x"), F.col("o_y1").alias("y"))
+    inside = P.points_in_rings(corners, edges.select(*keys, "wall", *S.SEG), keys, "wall", cell)
+    start, stop = (F.when(F.col("flat"), F.col(f"o_x{k}")).otherwise(F.col(f"o_y{k}")).cast("double") for k in (1, 2))
+    return cut_edges.unionByName(inside.select(*keys, *ids, *own, start.alias("lo"), stop.alias("hi")))
+
+
 def door_wall_touch(doors: DataFrame, walls: DataFrame, keys: Sequence[str], cell: float = 64) -> DataFrame:
-    """Doors that meet a wall rectangle, borders included."""
-    return box_semi(doors, walls, keys, ["id"], cell)
+    """Doors that meet a wall polygon (keys, id, ring), borders included."""
+    keys = list(keys)
+    boxes = doors.select(*keys, "id", F.lit(True).alias("flat"), *BOX, *[F.col(c).alias(f"o_{c}") for c in BOX])
+    met = wall_meetings(boxes, walls, keys, ["id"], cell).where("hi >= o_x1 AND lo <= o_x2")
+    return doors.join(met.select(*keys, "id").distinct(), [*keys, "id"], "left_semi")
 
 
 def snap_doors(doors: DataFrame, walls: DataFrame, keys: Sequence[str], method: str = "arc", cell: float = 64) -> DataFrame:
-    """Extend and shift doors until they meet a wall: (keys, id, x1..y2).
-
-    Each end is extended by the smallest whole number of pixels with which the
-    extended door meets a wall, or by the limit. A hinged door that still
-    stands free is shifted across by 1..5 pixels, minus before plus, and the
-    first shift that meets a wall counts; a sliding door is never shifted but
-    reaches as far as its size plus 5. A door that never meets a wall stays.
-    The smallest extension of a door that already touches is 0 at both ends.
+    """Extend and shift doors until they meet a wall polygon: (keys, id, x1..y2).
+
+    ``walls`` has keys, id and ring. Each end is extended by the smallest whole
+    number of pixels with which the extended door meets a wall, or by the
+    limit. A hinged door that still stands free is shifted across by 1..5
+    pixels, minus before plus, and the first shift that meets a wall counts; a
+    sliding door is never shifted but reaches as far as its size plus 5. A
+    door that never meets a wall stays. The smallest extension of a door that
+    already touches is 0 at both ends.
     """
     keys = list(keys)
     wide, high = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
@@ -405,25 +440,22 @@ def snap_doors(doors: DataFrame, walls: DataFrame, keys: Sequence[str], method:
         *[(F.col(c) + F.when(~F.col("flat"), F.col("shift")).otherwise(0)).alias(c) for c in ("x1", "x2")],
         *[(F.col(c) + F.when(F.col("flat"), F.col("shift")).otherwise(0)).alias(c) for c in ("y1", "y2")],
     )
+    zero = F.lit(0)
+    along, across = F.when(F.col("flat"), F.col("limit")).otherwise(zero), F.when(F.col("flat"), zero).otherwise(F.col("limit"))
     reach = moved.select(
-        *keys, "id", "turn", "limit", "flat", *[F.col(c).alias(f"o{c}") for c in BOX],
-        (F.col("x1") - F.when(F.col("flat"), F.col("limit")).otherwise(0)).alias("x1"),
-        (F.col("x2") + F.when(F.col("flat"), F.col("limit")).otherwise(0)).alias("x2"),
-        (F.col("y1") - F.when(F.col("flat"), F.lit(0)).otherwise(F.col("limit"))).alias("y1"),
-        (F.col("y2") + F.when(F.col("flat"), F.lit(0)).otherwise(F.col("limit"))).alias("y2"),
+        *keys, "id", "turn", "limit", "flat", *[F.col(c).alias(f"o_{c}") for c in BOX],
+        (F.col("x1") - along).alias("x1"), (F.col("y1") - across).alias("y1"), (F.col("x2") + along).alias("x2"), (F.col("y2") + across).alias("y2"),
     )
-    met = box_pairs(reach, walls.select(*keys, *BOX), keys, cell)
-    on_x = F.col("a_flat")
-    back = F.when(on_x, F.col("a_ox1") - F.col("b_x2")).otherwise(F.col("a_oy1") - F.col("b_y2"))
-    ahead = F.when(on_x, F.col("b_x1") - F.col("a_ox2")).otherwise(F.col("b_y1") - F.col("a_oy2"))
-    gap = F.ceil(F.greatest(back, ahead, F.lit(0)))
-    per = met.groupBy(*keys, F.col("a_id").alias("id"), F.col("a_turn").alias("turn")).agg(
-        F.min(F.when(ahead <= 0, gap)).alias("low"), F.min(F.when(back <= 0, gap)).alias("high")
+    met = wall_meetings(reach, walls, keys, ["id", "turn", "limit"], cell)
+    start, stop = (F.when(F.col("flat"), F.col(f"o_x{k}")).otherwise(F.col(f"o_y{k}")) for k in (1, 2))
+    back = F.when(F.col("lo") <= stop, F.ceil(F.greatest(start - F.col("hi"), zero)))
+    ahead = F.when(F.col("hi") >= start, F.ceil(F.greatest(F.col("lo") - stop, zero)))
+    per = met.groupBy(*keys, "id", "turn").agg(
+        F.min(F.when(back <= F.col("limit"), back)).alias("low"), F.min(F.when(ahead <= F.col("limit"), ahead)).alias("high")
     )
-    first = per.groupBy(*keys, "id").agg(F.min(F.struct("turn", "low", "high")).alias("best"))
+    first = per.where("low IS NOT NULL OR high IS NOT NULL").groupBy(*keys, "id").agg(F.min(F.struct("turn", "low", "high")).alias("best"))
     chosen = moved.join(first, [*keys, "id"]).where("turn = best.turn")
     low, up = F.coalesce("best.low", "limit"), F.coalesce("best.high", "limit")
-    zero = F.lit(0)
     fitted = chosen.select(
         *keys, "id",
         (F.col("x1") - F.when(F.col("flat"), low).otherwise(zero)).alias("x1"),
