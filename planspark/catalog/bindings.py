@@ -99,6 +99,18 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
             "CAST(l_linenumber % 2 AS BIGINT) AS otype",
         ],
     ),
+    # door leaves two by two, so that they slide past each other, and now and then one alone or one too short
+    "leaves": (
+        "lineitem",
+        [
+            f"{_DWG_L} AS dwg_id",
+            f"{_ITEM} AS id",
+            f"CAST(l_orderkey % 16 * 400 + CASE (l_linenumber - 1) % 2 WHEN 0 THEN 160 - {_QTY} % 5 * 20 ELSE 195 END AS BIGINT) AS x1",
+            "CAST(floor((l_linenumber - 1) / 2) * 100 + (l_linenumber - 1) % 2 * 5 AS BIGINT) AS y1",
+            f"CAST(l_orderkey % 16 * 400 + CASE (l_linenumber - 1) % 2 WHEN 0 THEN 200 ELSE 235 + {_QTY} % 5 * 20 END AS BIGINT) AS x2",
+            "CAST(floor((l_linenumber - 1) / 2) * 100 + (l_linenumber - 1) % 2 * 5 + 5 AS BIGINT) AS y2",
+        ],
+    ),
     "arcs": (
         "orders",
         [

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from planspark.catalog.bindings import cte, view
-from planspark.catalog.lines import SPLIT_SQL, split_walls
+from planspark.catalog.doors import slide_sql
 from planspark.catalog.registry import query
 from planspark.catalog.scalars import HEX_SQL, hex_rings
 from planspark.operators import cycles as C
@@ -14,32 +14,57 @@ from planspark.operators import segments as S
 
 K = ["dwg_id"]
 BOX = ["x1", "y1", "x2", "y2"]
-_CELLS = """h AS (SELECT * FROM sp WHERE y1 = y2), v AS (SELECT * FROM sp WHERE x1 = x2),
-    c4 AS (SELECT b.dwg_id, b.x1, b.y1, b.x2, t.y1 AS y2 FROM h b JOIN v l ON l.dwg_id = b.dwg_id AND l.x1 = b.x1 AND l.y1 = b.y1
-      JOIN h t ON t.dwg_id = b.dwg_id AND t.x1 = b.x1 AND t.x2 = b.x2 AND t.y1 = l.y2
-      JOIN v r ON r.dwg_id = b.dwg_id AND r.x1 = b.x2 AND r.y1 = b.y1 AND r.y2 = l.y2)"""
 
 
-@query("cycles_4", f"WITH {cte('segments')}, {SPLIT_SQL}, {_CELLS} SELECT dwg_id, x1, y1, x2, y2 FROM c4")
+def leaf_lines(spark, d):
+    """The outlines of the door leaves as single lines."""
+    x1, y1, x2, y2 = (F.col(c) for c in BOX)
+    sides = F.array(*[
+        F.struct(a.alias("x1"), b.alias("y1"), c.alias("x2"), e.alias("y2"))
+        for a, b, c, e in ((x1, y1, x2, y1), (x1, y2, x2, y2), (x1, y1, x1, y2), (x2, y1, x2, y2))
+    ])
+    place = ["dwg_id", F.floor(F.col("x1") / 400).alias("slot"), "y1"]
+    first = view(spark, d, "leaves").groupBy(*place).agg(F.min(F.struct("id", "x1", "x2", "y2")).alias("f"))
+    return first.select("dwg_id", "y1", "f.x1", "f.x2", "f.y2").select("dwg_id", F.inline(sides))
+
+
+def leaf_faces(spark, d):
+    return P.planar_faces(S.split_all(S.merge_collinear(leaf_lines(spark, d), K), K), K)
+
+
+_LEAVES = f"""WITH RECURSIVE {cte('leaves')}, lv AS (SELECT * FROM leaves QUALIFY row_number() OVER (PARTITION BY dwg_id, floor(x1 / 400), y1 ORDER BY id, x1, x2) = 1)"""
+
+
+@query(
+    "cycles_4",
+    _LEAVES + """ SELECT dwg_id, x1, y1, x2, y2 FROM lv a WHERE NOT EXISTS (SELECT 1 FROM lv b WHERE b.dwg_id = a.dwg_id AND b.id <> a.id
+      AND b.x1 <= a.x2 AND b.x2 >= a.x1 AND b.y1 <= a.y2 AND b.y2 >= a.y1)""",
+)
 def cycles_4(spark, d):
-    return C.four_point_cycles(P.planar_faces(split_walls(spark, d), K), K).select("dwg_id", *BOX)
+    """Leaves alone are cycles of four points; of two that slide past each other both have more."""
+    return C.four_point_cycles(leaf_faces(spark, d), K).select("dwg_id", *BOX)
 
 
-@query("rect_cycles")
+@query("rect_cycles", _LEAVES + " SELECT dwg_id, x1, y1, x2, y2, CAST((x2 - x1) * (y2 - y1) AS DOUBLE) AS area FROM lv")
 def rect_cycles(spark, d):
-    return C.rect_cycles(P.planar_faces(split_walls(spark, d), K), K).select("dwg_id", *BOX, "area")
+    return C.rect_cycles(leaf_faces(spark, d), K).select("dwg_id", *BOX, F.col("area").cast("double").alias("area"))
+
 
+_FITS = "lr AS (SELECT dwg_id, CAST(0 AS BIGINT) AS otype, x1, y1, x2, y2 FROM lv WHERE x2 - x1 > 50 AND x2 - x1 < 150)"
 
-@query("cycles_to_rects")
+
+@query("cycles_to_rects", f"{_LEAVES}, {_FITS} SELECT * FROM lr")
 def cycles_to_rects(spark, d):
-    lines = view(spark, d, "door_lines")
-    directed = P.planar_faces(S.split_all(S.merge_collinear(lines, K), K), K)
-    return C.cycles_to_rects(C.rect_cycles(directed, K), K)
+    return C.cycles_to_rects(C.rect_cycles(leaf_faces(spark, d), K), K)
 
 
-@query("slide_doors_by_cycles")
+@query(
+    "slide_doors_by_cycles",
+    f"""{_LEAVES}, {_FITS}, ln AS (SELECT *, row_number() OVER (PARTITION BY dwg_id ORDER BY otype, y1, x1, x2, y2) AS id FROM lr), {slide_sql('ln')}
+    SELECT * FROM slides""",
+)
 def slide_doors_by_cycles(spark, d):
-    return C.slide_doors_by_cycles(view(spark, d, "door_lines"), K)
+    return C.slide_doors_by_cycles(leaf_lines(spark, d), K)
 
 
 # Rings to choose from: every hexagon, every third without one corner, every third with its corners in another order.

@@ -137,7 +137,23 @@ def slide_door_merge(spark, d):
     return D.slide_door_merge(view(spark, d, "door_rects"), ["dwg_id", "otype"])
 
 
-@query("doors_classify")
+# leaves: pairs without contained ones, overlaps merged; a merged leaf has the smallest number of those it holds
+_LEAVES = f"""{PAIRS_SQL}, nu AS (SELECT *, row_number() OVER (PARTITION BY dwg_id ORDER BY otype, y1, x1, x2, y2) AS id FROM pairs),
+  dc AS (SELECT * FROM nu r WHERE NOT EXISTS (SELECT 1 FROM nu s WHERE s.dwg_id = r.dwg_id AND s.otype = r.otype AND s.id <> r.id AND s.x1 <= r.x1 AND s.y1 <= r.y1
+    AND s.x2 >= r.x2 AND s.y2 >= r.y2)), {merge_sql('dc', 'dwg_id, otype')},
+  lv AS (SELECT g.dwg_id, g.otype, g.x1, g.y1, g.x2, g.y2, min(dc.id) AS id FROM merged g JOIN dc ON dc.dwg_id = g.dwg_id AND dc.otype = g.otype AND dc.x1 >= g.x1
+    AND dc.y1 >= g.y1 AND dc.x2 <= g.x2 AND dc.y2 <= g.y2 GROUP BY ALL),
+  fr AS (SELECT * FROM lv r WHERE NOT EXISTS (SELECT 1 FROM arcs a WHERE a.dwg_id = r.dwg_id AND greatest(r.x1, a.x1) - least(r.x2, a.x2) <= 5
+    AND greatest(r.y1, a.y1) - least(r.y2, a.y2) <= 5))"""
+
+
+@query(
+    "doors_classify",
+    f"""WITH RECURSIVE {cte('door_lines', 'arcs')}, {_LEAVES}, {slide_sql('fr')}, {_DOUBLE}, al AS (SELECT dwg_id, kind FROM doors UNION ALL SELECT dwg_id, 'slide' FROM slides
+      UNION ALL SELECT dwg_id, 'closed' FROM lv ANTI JOIN fr USING (dwg_id, id))
+    SELECT dwg_id, count(*) FILTER (kind = 'single') AS single, count(*) FILTER (kind = 'double') AS double, count(*) FILTER (kind = 'slide') AS slide,
+      count(*) FILTER (kind = 'closed') AS closed FROM al GROUP BY 1""",
+)
 def doors_classify(spark, d):
     doors = D.doors_classify(view(spark, d, "door_lines"), view(spark, d, "arcs"), K)
     counts = doors.groupBy("dwg_id").pivot("kind", ["single", "double", "slide", "closed"]).count()

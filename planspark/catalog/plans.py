@@ -184,7 +184,15 @@ def label_guillotine_split(spark, d):
     return R.label_guillotine_split(ring, labels, ["dwg_id", "room"])
 
 
-@query("polygons_subtract_earlier")
+@query(
+    "polygons_subtract_earlier",
+    f"""WITH {cte('hexagons')}, xs AS (SELECT dwg_id, unnest([ox, ox + cx, ox + w]) AS x FROM hexagons), ys AS (SELECT dwg_id, unnest([oy, oy + cy, oy + h]) AS y FROM hexagons),
+    xi AS (SELECT dwg_id, x AS x1, lead(x) OVER (PARTITION BY dwg_id ORDER BY x) AS x2 FROM (SELECT DISTINCT * FROM xs)),
+    yi AS (SELECT dwg_id, y AS y1, lead(y) OVER (PARTITION BY dwg_id ORDER BY y) AS y2 FROM (SELECT DISTINCT * FROM ys)),
+    fc AS (SELECT xi.dwg_id, x1, y1, (x2 - x1) * (y2 - y1) AS area, min(id) AS id FROM xi JOIN yi ON yi.dwg_id = xi.dwg_id AND x2 IS NOT NULL AND y2 IS NOT NULL
+      JOIN hexagons h ON h.dwg_id = xi.dwg_id AND x1 >= ox AND y1 >= oy AND ((x2 <= ox + w AND y2 <= oy + cy) OR (x2 <= ox + cx AND y2 <= oy + h)) GROUP BY 1, 2, 3, 4)
+    SELECT dwg_id, id, CAST(sum(area) AS DOUBLE) AS area FROM fc GROUP BY 1, 2""",
+)
 def polygons_subtract_earlier(spark, d):
     rings = hex_rings(spark, d).select("dwg_id", "id", "ring")
     return R.subtract_earlier(rings, K).select("dwg_id", "id", r6(F.col("area")).alias("area"))
