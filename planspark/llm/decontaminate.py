@@ -26,8 +26,8 @@ from planspark.session import cut
 
 WINDOW = 10
 LEAD = 2
-#: Slots of the hash set, a byte each: 4 MB, whatever the benchmark.
-SLOTS = 1 << 22
+#: Slots of the hash set, a byte each: 256 KB in the plan, whatever the benchmark. A hash marks two of them.
+SLOTS = 1 << 18
 #: Bits of a row that the bitmap aggregate makes.
 ROW_BITS = 32_768
 BREAKS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
@@ -58,9 +58,10 @@ def item_windows(items: DataFrame, id: str, text: str, window: int) -> DataFrame
     )
 
 
-def slot(h: Column, slots: int) -> Column:
-    """The slot of a hash, from its upper bits."""
-    return F.shiftrightunsigned(h, 64 - (slots.bit_length() - 1))
+def places(h: Column, slots: int) -> list[Column]:
+    """The two slots of a hash, from its upper and its lower bits."""
+    bits = slots.bit_length() - 1
+    return [F.shiftrightunsigned(h, 64 - bits), h.bitwiseAND(F.lit(slots - 1))]
 
 
 def hash_set(known: DataFrame, most: int, slots: int) -> bytearray:
@@ -71,9 +72,11 @@ def hash_set(known: DataFrame, most: int, slots: int) -> bytearray:
     ws = F.split("window", " ")
     lead = F.when(F.size(ws) >= LEAD, window_hash(ws, F.lit(0), LEAD))
     # missing words are null and leave the hash as it is, so one expression serves all sizes up to ``most``
-    hashes = known.select(F.explode(F.array(lead, F.xxhash64(*[F.get(ws, F.lit(k)) for k in range(most)]))).alias("h")).where("h is not null")
+    whole = F.xxhash64(*[F.get(ws, F.lit(k)) for k in range(most)])
     rows = (
-        hashes.select(slot(F.col("h"), slots).alias("slot"))
+        known.select(F.explode(F.array(lead, whole)).alias("h"))
+        .where("h is not null")
+        .select(F.explode(F.array(*places(F.col("h"), slots))).alias("slot"))
         .groupBy(F.expr(f"slot div {ROW_BITS}").alias("row"))
         .agg(F.expr(f"bitmap_construct_agg(slot % {ROW_BITS})").alias("bits"))
         .collect()
@@ -92,13 +95,14 @@ def candidates(docs: DataFrame, known: DataFrame, sizes: list[int], slots: int)
         table, one = F.lit(hash_set(known, max(sizes), slots)), F.lit(bytearray(b"\x01"))
 
         def in_set(at: Column, length: int) -> Column:
-            return F.substring(table, slot(window_hash(F.col("ws"), at, length), slots).cast("int") + 1, F.lit(1)) == one
+            one_of, other = places(window_hash(F.col("ws"), at, length), slots)
+            return (F.substring(table, one_of.cast("int") + 1, F.lit(1)) == one) & (F.substring(table, other.cast("int") + 1, F.lit(1)) == one)
 
         def found(size: int) -> Column:
-            places = F.when(F.size("ws") >= size, F.sequence(F.lit(0), F.size("ws") - size)).otherwise(F.array().cast("array<int>"))
+            starts = F.when(F.size("ws") >= size, F.sequence(F.lit(0), F.size("ws") - size)).otherwise(F.array().cast("array<int>"))
             test = (lambda at: in_set(at, LEAD) & in_set(at, size)) if size >= LEAD else (lambda at: in_set(at, size))
             return F.transform(
-                F.filter(places, test),
+                F.filter(starts, test),
                 lambda at: F.struct(at.alias("at"), F.lit(size).alias("size"), window_text(F.col("ws"), at, size).alias("window")),
             )
 
