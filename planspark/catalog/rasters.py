@@ -147,3 +147,26 @@ def polygon_iou(spark, d):
     pairs = box_pairs(box, box, ["dwg_id"], 128, where=F.col("a_id") < F.col("b_id")).select("dwg_id", F.col("a_id").alias("a"), F.col("b_id").alias("b"))
     out = M.polygon_iou(pairs, runs.withColumnRenamed("id", "a"), runs.withColumnRenamed("id", "b"), ["dwg_id"])
     return out.where("iou > 0").select("dwg_id", "a", "b", r6(F.col("iou")).alias("iou"))
+
+
+_BOXES = "[{p}.ox, {p}.oy, {p}.ox + {p}.w, {p}.oy + {p}.cy, 1], [{p}.ox, {p}.oy, {p}.ox + {p}.cx, {p}.oy + {p}.h, 1], [{p}.ox, {p}.oy, {p}.ox + {p}.cx, {p}.oy + {p}.cy, -1]"
+
+
+@query(
+    "polygon_overlay_iou",
+    f"""WITH {cte('hexagons')}, pr AS (SELECT a.dwg_id, a.id AS a, b.id AS b, a.w * a.cy + a.cx * (a.h - a.cy) AS na, b.w * b.cy + b.cx * (b.h - b.cy) AS nb,
+      list_sum(list_transform([{_BOXES.format(p='a')}], lambda r: list_sum(list_transform([{_BOXES.format(p='b')}], lambda q:
+        r[5] * q[5] * greatest(0, least(r[3], q[3]) - greatest(r[1], q[1])) * greatest(0, least(r[4], q[4]) - greatest(r[2], q[2])))))) AS c
+      FROM hexagons a JOIN hexagons b ON a.dwg_id = b.dwg_id AND a.id < b.id)
+    SELECT dwg_id, a, b, CAST(c AS DOUBLE) AS common, round(c / (na + nb - c), 6) AS iou FROM pr WHERE c > 0""",
+)
+def polygon_overlay_iou(spark, d):
+    """The overlap of rings without pixels."""
+    from planspark.functions import geometry as G
+    from planspark.operators.spatial import box_pairs
+
+    ring = hex_rings(spark, d)
+    box = ring.select("dwg_id", "id", *[c.alias(n) for n, c in G.ring_bounds(F.col("ring")).items()])
+    pairs = box_pairs(box, box, ["dwg_id"], 128, where=F.col("a_id") < F.col("b_id")).select("dwg_id", F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+    out = M.overlay_iou(pairs, ring.select("dwg_id", F.col("id").alias("a"), "ring"), ring.select("dwg_id", F.col("id").alias("b"), "ring"), ["dwg_id"])
+    return out.where("common > 1e-6").select("dwg_id", "a", "b", r6(F.col("common")).alias("common"), r6(F.col("iou")).alias("iou"))

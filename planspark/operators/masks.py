@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from planspark.functions import geometry as G
 from planspark.operators.ordering import islands, ranked
 from planspark.operators.rounds import components
+from planspark.session import cut
+
+#: Rounding of positions in the exact overlay.
+EPS = 1e-9
 
 
 def union_runs(runs: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -234,3 +238,71 @@ def polygon_iou(pairs: DataFrame, left: DataFrame, right: DataFrame, keys: Seque
     s = pairs.join(common, [*keys, "a", "b"], "left").join(la, [*keys, "a"], "left").join(lb, [*keys, "b"], "left").fillna(0, ["c", "na", "nb"])
     union = F.col("na") + F.col("nb") - F.col("c")
     return s.select(*keys, "a", "b", F.when(union > 0, F.col("c") / union).otherwise(0.0).alias("iou"))
+
+
+def overlay_iou(pairs: DataFrame, left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, a, b, common, iou): exact overlap of pairs of simple rings, without pixels.
+
+    ``pairs`` has keys, a, b; ``left`` keys, a, ring and ``right`` keys, b, ring.
+    The border of the common part is made of the pieces of each ring inside
+    the other one, so every edge is cut where the other ring's edges meet it,
+    the middle of each piece tells whether it counts, and the area is the sum
+    over these pieces. Of borders that lie on each other in the same direction
+    the left one counts. Rings of no area have 0.
+    """
+    keys = list(keys)
+
+    def sided(rings: DataFrame, owner: str) -> DataFrame:
+        plain = F.transform("ring", lambda p: F.struct(p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y")))
+        turned = F.when(G.ring_signed_area(plain) < 0, F.reverse(plain)).otherwise(plain)
+        return rings.select(*keys, owner, turned.alias("ring"))
+
+    one, two = cut(sided(left, "a")), cut(sided(right, "b"))
+    met = pairs.select(*keys, "a", "b").distinct()
+    edge = [F.col(f"e.{c}").alias(c) for c in ("i", "x1", "y1", "x2", "y2")]
+    group = [*keys, "a", "b", "left"]
+
+    def edges(rings: DataFrame, owner: str, own: bool) -> DataFrame:
+        return met.join(rings, [*keys, owner]).select(*keys, "a", "b", F.lit(own).alias("left"), F.explode(G.ring_edges(F.col("ring"))).alias("e")).select(*group, *edge)
+
+    mine = edges(one, "a", True).unionByName(edges(two, "b", False)).where("x1 <> x2 OR y1 <> y2")
+    mine = cut(mine)
+    other = mine.select(*keys, "a", "b", (~F.col("left")).alias("left"), *[F.col(c).alias(f"o{c}") for c in ("x1", "y1", "x2", "y2")])
+    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    ox, oy = F.col("ox2") - F.col("ox1"), F.col("oy2") - F.col("oy1")
+    gx, gy = F.col("ox1") - F.col("x1"), F.col("oy1") - F.col("y1")
+    turn, size = dx * oy - dy * ox, dx * dx + dy * dy
+    t, u = (gx * oy - gy * ox) / turn, (gx * dy - gy * dx) / turn
+    near = (
+        (F.least("x1", "x2") <= F.greatest("ox1", "ox2") + EPS) & (F.greatest("x1", "x2") >= F.least("ox1", "ox2") - EPS)
+        & (F.least("y1", "y2") <= F.greatest("oy1", "oy2") + EPS) & (F.greatest("y1", "y2") >= F.least("oy1", "oy2") - EPS)
+    )
+    slack = EPS * F.sqrt(size)
+    ends = F.array((gx * dx + gy * dy) / size, ((F.col("ox2") - F.col("x1")) * dx + (F.col("oy2") - F.col("y1")) * dy) / size)
+    stops = F.when(F.abs(turn) > EPS, F.when(u.between(-EPS, 1 + EPS), F.array(t))).when(F.abs(gx * dy - gy * dx) <= slack, ends)
+    own = [*group, "i", "x1", "y1", "x2", "y2"]
+    hits = mine.join(other, group).where(near).select(*own, F.explode(stops).alias("t")).where((F.col("t") > 0) & (F.col("t") < 1))
+    both = mine.select(*own, F.explode(F.array(F.lit(0.0), F.lit(1.0))).alias("t")).unionByName(hits)
+    cuts = both.groupBy(*own).agg(F.array_sort(F.collect_set("t")).alias("ts"))
+    spans = F.zip_with(F.slice("ts", 1, F.size("ts") - 1), F.slice("ts", 2, F.size("ts") - 1), lambda p, q: F.struct(p.alias("p"), q.alias("q")))
+    place = lambda s: ((F.col("x1") + dx * s), (F.col("y1") + dy * s))
+    pieces = cuts.select(*own, F.explode(spans).alias("s"))
+    (px, py), (qx, qy), (mx, my) = place(F.col("s.p")), place(F.col("s.q")), place((F.col("s.p") + F.col("s.q")) / 2)
+    pieces = cut(pieces.select(*group, "i", F.col("s.p").alias("p"), dx.alias("dx"), dy.alias("dy"), (px * qy - qx * py).alias("cross"), mx.alias("mx"), my.alias("my")))
+    # the middle of a piece against the other ring: crossings of a ray to the right, and edges that it lies on
+    fx, fy = F.col("mx") - F.col("ox1"), F.col("my") - F.col("oy1")
+    crosses = ((F.col("oy1") > F.col("my")) != (F.col("oy2") > F.col("my"))) & (F.col("mx") < F.col("ox1") + fy * ox / F.when(oy != 0, oy))
+    length = F.sqrt(ox * ox + oy * oy)
+    along = (fx * ox + fy * oy) / (length * length)
+    on = (F.abs(fx * oy - fy * ox) <= EPS * F.greatest(length, F.lit(1.0)) * 10) & along.between(-EPS, 1 + EPS)
+    same = F.col("dx") * ox + F.col("dy") * oy > 0
+    tested = pieces.join(other, group).groupBy(*group, "i", "p", "cross").agg(
+        (F.count_if(crosses) % 2 == 1).alias("inside"), F.count_if(on).alias("on"), F.count_if(on & same).alias("alike")
+    )
+    counts = F.when(F.col("on") > 0, F.col("left") & (F.col("alike") > 0)).otherwise(F.col("inside"))
+    common = tested.where(counts).groupBy(*keys, "a", "b").agg((F.sum("cross") / 2).alias("common"))
+    areas = [r.select(*keys, o, G.ring_area(F.col("ring")).alias(f"area_{o}")) for r, o in ((one, "a"), (two, "b"))]
+    whole = met.join(common, [*keys, "a", "b"], "left").join(areas[0], [*keys, "a"]).join(areas[1], [*keys, "b"])
+    share = F.greatest(F.coalesce("common", F.lit(0.0)), F.lit(0.0))
+    union = F.col("area_a") + F.col("area_b") - share
+    return whole.select(*keys, "a", "b", share.alias("common"), F.when(union > 0, share / union).otherwise(0.0).alias("iou"))

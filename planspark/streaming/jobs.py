@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import pandas as pd
@@ -88,16 +89,55 @@ def stream_drawings(
     return ready.writeStream.foreachBatch(handle).outputMode("append").option("checkpointLocation", checkpoint)
 
 
-def stream_task_status(events: DataFrame, target: str, checkpoint: str):
+#: Buckets of the status table.
+BUCKETS = 16
+VERSION = re.compile(r"bucket=(\d+)/batch=(\d+)$")
+
+
+def versions(spark: SparkSession, target: str) -> dict[int, dict[int, str]]:
+    """The folders of a bucketed table: bucket -> batch -> path. At most two per bucket are kept."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/bucket=*/batch=*")
+    found: dict[int, dict[int, str]] = {}
+    for status in pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern) or []:
+        path = status.getPath().toString()
+        if m := VERSION.search(path):
+            found.setdefault(int(m[1]), {})[int(m[2])] = path
+    return found
+
+
+def upsert_status(batch: DataFrame, batch_id: int, target: str, buckets: int = BUCKETS) -> None:
+    """Bring the last status of the tasks in ``batch`` into the table, by buckets of the task id.
+
+    A bucket that the batch touches is written anew under its batch id, from
+    its version before this batch; other buckets are left alone. A repeated
+    batch replaces what it wrote. Of every touched bucket the version before
+    stays until the next one, so the table never has more than two.
+    """
+    spark = batch.sparkSession
+    bucket = F.pmod(F.xxhash64("task_id"), F.lit(buckets)).cast("int")
+    fresh = batch.select("task_id", "status", "ts")
+    touched = [r[0] for r in fresh.select(bucket.alias("b")).distinct().collect()]
+    before = {b: {n: p for n, p in own.items() if n < batch_id} for b, own in versions(spark, target).items() if b in touched}
+    paths = [own[max(own)] for own in before.values() if own]
+    if paths:
+        fresh = fresh.unionByName(spark.read.schema(fresh.schema).parquet(*paths))
+    rows = latest_status(fresh).withColumns({"bucket": bucket, "batch": F.lit(batch_id)})
+    rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(target)
+    for own in before.values():
+        for n in sorted(own)[:-1]:
+            gone = spark._jvm.org.apache.hadoop.fs.Path(own[n])
+            gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
+
+
+def stream_task_status(events: DataFrame, target: str, checkpoint: str, buckets: int = BUCKETS):
     """Keep the last status per task of a stream (task_id, status, ts).
 
-    The status is keyed state of the stream. A batch writes the tasks it
-    changes under its batch id and touches no others; ``current_status`` reads
-    the table. A repeated batch replaces its own rows.
+    The status is keyed state of the stream; each batch brings the tasks that
+    it changes into a bucketed table. ``current_status`` reads it.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        upsert_status(batch, batch_id, target, buckets)
 
     return (
         latest_status(events.select("task_id", "status", "ts"))
@@ -108,5 +148,5 @@ def stream_task_status(events: DataFrame, target: str, checkpoint: str):
 
 
 def current_status(changes: DataFrame) -> DataFrame:
-    """The last status per task from the changes that ``stream_task_status`` wrote."""
+    """The last status per task in the table that ``stream_task_status`` keeps; a version before adds nothing newer."""
     return latest_status(changes.select("task_id", "status", "ts"))
