@@ -126,8 +126,8 @@ def in_face_points(points: DataFrame, directed: DataFrame, keys: Sequence[str],
     return points_in_rings(points, directed.join(faces, [*keys, "face"], "left_semi"), keys, "face", cell)
 
 
-def hole_sums(directed: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys, face, hole_area, hole_length): outer borders lying in a face, given to the smallest such face."""
+def hole_homes(directed: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, hole, face, area, perimeter): outer borders lying in a face, given to the smallest such face."""
     keys = list(keys)
     table = face_table(directed, keys)
     outer = table.where("area < 0").select(
@@ -135,10 +135,15 @@ def hole_sums(directed: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
     inside = in_face_points(outer, directed, keys)
     size = table.select(*keys, "face", F.col("area").alias("face_area"))
-    home = inside.join(size, [*keys, "face"]).groupBy(*keys, "hole").agg(
+    return inside.join(size, [*keys, "face"]).groupBy(*keys, "hole").agg(
         F.min_by("face", "face_area").alias("face"), F.first("area").alias("area"), F.first("perimeter").alias("perimeter")
     )
-    return home.groupBy(*keys, "face").agg(F.sum(-F.col("area")).alias("hole_area"), F.sum("perimeter").alias("hole_length"))
+
+
+def hole_sums(directed: DataFrame, keys: Sequence[str], homes: DataFrame | None = None) -> DataFrame:
+    """(keys, face, hole_area, hole_length) of the outer borders in each face; ``homes`` as made by ``hole_homes``."""
+    homes = hole_homes(directed, keys) if homes is None else homes
+    return homes.groupBy(*keys, "face").agg(F.sum(-F.col("area")).alias("hole_area"), F.sum("perimeter").alias("hole_length"))
 
 
 def block_rings(directed: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -180,3 +185,53 @@ def inner_points(directed: DataFrame, keys: Sequence[str]) -> DataFrame:
         ((F.col("y1") + F.col("y2")) / 2 + dx / size / 4).alias("y"),
     )
     return directed.groupBy(*keys, "face").agg(F.min(spot).alias("p")).select(*keys, "face", "p.x", "p.y")
+
+
+def merged_borders(directed: DataFrame, kept: DataFrame, keys: Sequence[str], owner: Sequence[str] = ()) -> DataFrame:
+    """Directed edges around the faces in ``kept`` (keys, owner, face): those whose other side has not the same owner."""
+    group = [*keys, *owner]
+    mine = directed.join(kept.select(*group, "face"), [*keys, "face"]).select(*group, *SEG)
+    back = mine.select(*group, F.col("x2").alias("x1"), F.col("y2").alias("y1"), F.col("x1").alias("x2"), F.col("y1").alias("y2"))
+    return mine.join(back, [*group, *SEG], "left_anti")
+
+
+def border_rings(borders: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, loop, ring): the closed loops of directed borders; holes run the other way round.
+
+    Around a node, borders that leave and arrive take turns, and the one that
+    leaves before an arriving one bounds the same part, so parts that touch in
+    a node stay apart.
+    """
+    keys = list(keys)
+    node = [*keys, "nx", "ny"]
+    out = borders.select(*keys, F.col("x1").alias("nx"), F.col("y1").alias("ny"), F.col("x2").alias("fx"), F.col("y2").alias("fy"), F.lit(True).alias("leaves"), F.struct(*SEG).alias("e"))
+    back = borders.select(*keys, F.col("x2").alias("nx"), F.col("y2").alias("ny"), F.col("x1").alias("fx"), F.col("y1").alias("fy"), F.lit(False).alias("leaves"), F.struct(*SEG).alias("e"))
+    angle = F.atan2((F.col("fy") - F.col("ny")).cast("double"), (F.col("fx") - F.col("nx")).cast("double"))
+    fan = ranked(out.unionByName(back).withColumn("angle", angle), node, [F.col("angle"), F.col("leaves")], "turn", bounded=True)
+    size = fan.groupBy(*node).agg(F.max("turn").alias("last"))
+    arrive = fan.where("NOT leaves").join(size, node).select(
+        *node, F.col("e").alias("id"), F.when(F.col("turn") == 1, F.col("last")).otherwise(F.col("turn") - 1).alias("turn")
+    )
+    leave = fan.where("leaves").select(*node, "turn", F.col("e").alias("nxt"))
+    links = stored(arrive.join(leave, [*node, "turn"]).select(*keys, "id", "nxt"))
+    point = F.struct("pos", F.col("id.x1").cast("double").alias("x"), F.col("id.y1").cast("double").alias("y"))
+    ring = F.transform(F.array_sort(F.collect_list(point)), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
+    return cycle_labels(links, keys).groupBy(*keys, F.col("cycle").alias("loop")).agg(ring.alias("ring"))
+
+
+def region_rings(
+    directed: DataFrame, kept: DataFrame, keys: Sequence[str], owner: Sequence[str], homes: DataFrame | None = None
+) -> DataFrame:
+    """(keys, owner, rings): the borders of the faces of each owner, merged; outer rings run counter-clockwise, holes clockwise.
+
+    ``homes`` names the blocks that stand free in a face; their outer borders are borders of that face's owner too.
+    """
+    named = {o: f"__owner{k}" for k, o in enumerate(owner)}  # whatever the owner is called
+    kept = kept.select(*keys, "face", *[F.col(o).alias(n) for o, n in named.items()])
+    if homes is not None:
+        free = homes.select(*keys, "face", "hole").join(kept, [*keys, "face"]).drop("face").withColumnRenamed("hole", "face")
+        kept = kept.unionByName(free)
+    group = [*keys, *named.values()]
+    loops = border_rings(cut(merged_borders(directed, kept, keys, list(named.values()))), group)
+    sums = loops.groupBy(*group).agg(F.transform(F.array_sort(F.collect_list(F.struct("loop", "ring"))), lambda r: r["ring"]).alias("rings"))
+    return sums.withColumnsRenamed({n: o for o, n in named.items()})

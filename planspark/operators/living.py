@@ -12,9 +12,8 @@ from planspark.functions import text as T
 from planspark.operators import faces as P
 from planspark.operators import rooms as R
 from planspark.operators.ordering import ranked
-from planspark.operators.rounds import cycle_labels
 from planspark.operators.segments import SEG
-from planspark.session import cut, stored
+from planspark.session import cut
 
 # Longest cut and the first row and column that a cut may reach, in pixels; the function that is split.
 CUT_LENGTH, CUT_EDGE = 300, 1
@@ -106,38 +105,6 @@ def cut_parts(rings: DataFrame, keys: Sequence[str]) -> DataFrame:
     return parts.join(R.drop_contained_rings(parts, keys, "part"), [*keys, "part"], "left_semi")
 
 
-def merged_borders(directed: DataFrame, kept: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Directed edges around the faces in ``kept`` (keys, face): those whose other side is not kept."""
-    keys = list(keys)
-    mine = directed.join(kept.select(*keys, "face"), [*keys, "face"], "left_semi").select(*keys, *SEG)
-    back = mine.select(*keys, F.col("x2").alias("x1"), F.col("y2").alias("y1"), F.col("x1").alias("x2"), F.col("y1").alias("y2"))
-    return mine.join(back, [*keys, *SEG], "left_anti")
-
-
-def border_rings(borders: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys, loop, ring): the closed loops of directed borders; holes run the other way round.
-
-    Around a node, borders that leave and arrive take turns, and the one that
-    leaves before an arriving one bounds the same part, so parts that touch in
-    a node stay apart.
-    """
-    keys = list(keys)
-    node = [*keys, "nx", "ny"]
-    out = borders.select(*keys, F.col("x1").alias("nx"), F.col("y1").alias("ny"), F.col("x2").alias("fx"), F.col("y2").alias("fy"), F.lit(True).alias("leaves"), F.struct(*SEG).alias("e"))
-    back = borders.select(*keys, F.col("x2").alias("nx"), F.col("y2").alias("ny"), F.col("x1").alias("fx"), F.col("y1").alias("fy"), F.lit(False).alias("leaves"), F.struct(*SEG).alias("e"))
-    angle = F.atan2((F.col("fy") - F.col("ny")).cast("double"), (F.col("fx") - F.col("nx")).cast("double"))
-    fan = ranked(out.unionByName(back).withColumn("angle", angle), node, [F.col("angle"), F.col("leaves")], "turn", bounded=True)
-    size = fan.groupBy(*node).agg(F.max("turn").alias("last"))
-    arrive = fan.where("NOT leaves").join(size, node).select(
-        *node, F.col("e").alias("id"), F.when(F.col("turn") == 1, F.col("last")).otherwise(F.col("turn") - 1).alias("turn")
-    )
-    leave = fan.where("leaves").select(*node, "turn", F.col("e").alias("nxt"))
-    links = stored(arrive.join(leave, [*node, "turn"]).select(*keys, "id", "nxt"))
-    point = F.struct("pos", F.col("id.x1").cast("double").alias("x"), F.col("id.y1").cast("double").alias("y"))
-    ring = F.transform(F.array_sort(F.collect_list(point)), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
-    return cycle_labels(links, keys).groupBy(*keys, F.col("cycle").alias("loop")).agg(ring.alias("ring"))
-
-
 def without_parts(rings: DataFrame, parts: DataFrame, keys: Sequence[str]) -> DataFrame:
     """What is left of each ring outside its parts: (keys, rings, area, perimeter), whole pixels."""
     keys = list(keys)
@@ -148,11 +115,11 @@ def without_parts(rings: DataFrame, parts: DataFrame, keys: Sequence[str]) -> Da
     spots = P.inner_points(directed.join(positive, [*keys, "face"], "left_semi"), keys)
     over = P.points_in_rings(spots, R.ring_edge_table(both, keys, "part"), keys, "part")
     kept = over.groupBy(*keys, "face").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low = -1 AND high = -1")
-    borders = cut(merged_borders(directed, kept, keys))
+    borders = cut(P.merged_borders(directed, kept, keys))
     cross = F.col("x1") * F.col("y2") - F.col("x2") * F.col("y1")
     step = F.sqrt(F.pow(F.col("x2") - F.col("x1"), F.lit(2.0)) + F.pow(F.col("y2") - F.col("y1"), F.lit(2.0)))
     sums = borders.groupBy(*keys).agg((F.sum(cross) / 2).alias("area"), F.sum(step).alias("perimeter"))
-    loops = border_rings(borders, keys).groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("loop", "ring"))), lambda r: r["ring"]).alias("rings"))
+    loops = P.border_rings(borders, keys).groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("loop", "ring"))), lambda r: r["ring"]).alias("rings"))
     return sums.join(loops, keys)
 
 

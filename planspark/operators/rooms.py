@@ -76,7 +76,7 @@ def room_functions(labelled: DataFrame, rooms: DataFrame, keys: Sequence[str], o
 
 
 def rooms(rings: DataFrame, labels: DataFrame, keys: Sequence[str], owner: str = "poly_id") -> DataFrame:
-    """Rooms of each drawing: room_id, area in square metres, perimeter in metres, function, face.
+    """Rooms of each drawing: room_id, area in square metres, perimeter in metres, function, face and its outer ring.
 
     ``rings`` is the structure layer (doors, windows, balconies, walls) with a
     ring per polygon. Holes are taken off the area and added to the length.
@@ -93,7 +93,8 @@ def rooms(rings: DataFrame, labels: DataFrame, keys: Sequence[str], owner: str =
         ((F.col("perimeter") + F.col("hole_length")) / PX_PER_M).alias("perimeter"),
     )
     borders = directed.join(free, [*keys, "face"], "left_semi")
-    named = room_functions(label_rooms(labels, borders, keys), sized, keys)
+    ringed = sized.join(P.face_rings(borders, keys), [*keys, "face"])
+    named = room_functions(label_rooms(labels, borders, keys), ringed, keys)
     return ranked(cut(named), keys, [F.col("face")], "room_id", bounded=False)
 
 
@@ -331,7 +332,7 @@ def label_voronoi_split(rings: DataFrame, labels: DataFrame, keys: Sequence[str]
 def label_guillotine_split(rings: DataFrame, labels: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Cut a room along x and y of every label and give each piece to the label nearest its centroid.
 
-    Returns (keys, label_id, pieces, area). ``keys`` name one room.
+    Returns (keys, label_id, pieces, area, rings), the rings around the pieces of a label together. ``keys`` name one room.
     """
     keys = list(keys)
     b = rings.select(*keys, *[c.alias(n) for n, c in G.ring_bounds(F.col("ring")).items()])
@@ -350,24 +351,28 @@ def label_guillotine_split(rings: DataFrame, labels: DataFrame, keys: Sequence[s
         (F.sum((F.col("x1") + F.col("x2")) * cross) / (3 * F.sum(cross))).alias("x"),
         (F.sum((F.col("y1") + F.col("y2")) * cross) / (3 * F.sum(cross))).alias("y"),
     )
-    owned = nearest_label(centre, labels, keys).select(*keys, "face", "label_id").join(table, [*keys, "face"])
-    return owned.groupBy(*keys, "label_id").agg(F.count(F.lit(1)).alias("pieces"), (F.sum("area") / PX2_PER_M2).alias("area"))
+    owned = cut(nearest_label(centre, labels, keys).select(*keys, "face", "label_id").join(table, [*keys, "face"]))
+    sums = owned.groupBy(*keys, "label_id").agg(F.count(F.lit(1)).alias("pieces"), (F.sum("area") / PX2_PER_M2).alias("area"))
+    return sums.join(P.region_rings(directed, owned, keys, ["label_id"]), [*keys, "label_id"])
 
 
 def subtract_earlier(rings: DataFrame, keys: Sequence[str], owner: str = "id") -> DataFrame:
-    """Area of each polygon without the earlier ones: (keys, owner, area in px²).
+    """What is left of each polygon without the earlier ones: (keys, owner, area in px², rings).
 
-    Every face of the common edge set belongs to the first polygon over it.
+    Every face of the common edge set belongs to the first polygon over it;
+    the rings are the borders of a polygon's faces together.
     """
     keys = list(keys)
     directed = P.planar_faces(P.node_boundaries(rings, keys), keys)
     table = P.face_table(directed, keys).where("area > 0").select(*keys, "face", "area")
     spots = P.inner_points(directed.join(table, [*keys, "face"], "left_semi"), keys)
     over = P.points_in_rings(spots, ring_edge_table(rings, keys, owner), keys, owner)
-    first = over.groupBy(*keys, "face").agg(F.min(owner).alias(owner))
-    holes = P.hole_sums(directed, keys)
+    first = cut(over.groupBy(*keys, "face").agg(F.min(owner).alias(owner)))
+    homes = cut(P.hole_homes(directed, keys))
+    holes = P.hole_sums(directed, keys, homes)
     net = table.join(holes, [*keys, "face"], "left").fillna(0, ["hole_area"]).withColumn("area", F.col("area") - F.col("hole_area"))
-    return first.join(net, [*keys, "face"]).groupBy(*keys, owner).agg(F.sum("area").alias("area"))
+    sums = first.join(net, [*keys, "face"]).groupBy(*keys, owner).agg(F.sum("area").alias("area"))
+    return sums.join(P.region_rings(directed, first, keys, [owner], homes), [*keys, owner])
 
 
 # --- fitting doors to walls -----------------------------------------------------------
