@@ -181,9 +181,7 @@ def living_room_split(spark, d):
 @query("label_guillotine_split")
 def label_guillotine_split(spark, d):
     ring, labels = _labelled_rings(spark, d)
-    out = R.label_guillotine_split(ring, labels, ["dwg_id", "room"])
-    around = F.aggregate("rings", F.lit(0.0), lambda s, r: s + G.ring_signed_area(r))
-    return out.select("dwg_id", "room", "label_id", "pieces", "area", r6(around).alias("ring_area"))
+    return R.label_guillotine_split(ring, labels, ["dwg_id", "room"], with_rings=False)
 
 
 @query(
@@ -193,12 +191,11 @@ def label_guillotine_split(spark, d):
     yi AS (SELECT dwg_id, y AS y1, lead(y) OVER (PARTITION BY dwg_id ORDER BY y) AS y2 FROM (SELECT DISTINCT * FROM ys)),
     fc AS (SELECT xi.dwg_id, x1, y1, (x2 - x1) * (y2 - y1) AS area, min(id) AS id FROM xi JOIN yi ON yi.dwg_id = xi.dwg_id AND x2 IS NOT NULL AND y2 IS NOT NULL
       JOIN hexagons h ON h.dwg_id = xi.dwg_id AND x1 >= ox AND y1 >= oy AND ((x2 <= ox + w AND y2 <= oy + cy) OR (x2 <= ox + cx AND y2 <= oy + h)) GROUP BY 1, 2, 3, 4)
-    SELECT dwg_id, id, CAST(sum(area) AS DOUBLE) AS area, CAST(sum(area) AS DOUBLE) AS ring_area FROM fc GROUP BY 1, 2""",
+    SELECT dwg_id, id, CAST(sum(area) AS DOUBLE) AS area FROM fc GROUP BY 1, 2""",
 )
 def polygons_subtract_earlier(spark, d):
     rings = hex_rings(spark, d).select("dwg_id", "id", "ring")
-    around = F.aggregate("rings", F.lit(0.0), lambda s, r: s + G.ring_signed_area(r))
-    return R.subtract_earlier(rings, K).select("dwg_id", "id", r6(F.col("area")).alias("area"), r6(around).alias("ring_area"))
+    return R.subtract_earlier(rings, K, with_rings=False).select("dwg_id", "id", r6(F.col("area")).alias("area"))
 
 
 # an L-shaped wall is two boxes

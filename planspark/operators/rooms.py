@@ -329,10 +329,11 @@ def label_voronoi_split(rings: DataFrame, labels: DataFrame, keys: Sequence[str]
     return regions.where("size(ring) > 2").withColumn("area", G.ring_area(F.col("ring")) / PX2_PER_M2)
 
 
-def label_guillotine_split(rings: DataFrame, labels: DataFrame, keys: Sequence[str]) -> DataFrame:
+def label_guillotine_split(rings: DataFrame, labels: DataFrame, keys: Sequence[str], with_rings: bool = True) -> DataFrame:
     """Cut a room along x and y of every label and give each piece to the label nearest its centroid.
 
     Returns (keys, label_id, pieces, area, rings), the rings around the pieces of a label together. ``keys`` name one room.
+    Rings take as many rounds again as the faces and can be left out.
     """
     keys = list(keys)
     b = rings.select(*keys, *[c.alias(n) for n, c in G.ring_bounds(F.col("ring")).items()])
@@ -353,14 +354,15 @@ def label_guillotine_split(rings: DataFrame, labels: DataFrame, keys: Sequence[s
     )
     owned = cut(nearest_label(centre, labels, keys).select(*keys, "face", "label_id").join(table, [*keys, "face"]))
     sums = owned.groupBy(*keys, "label_id").agg(F.count(F.lit(1)).alias("pieces"), (F.sum("area") / PX2_PER_M2).alias("area"))
-    return sums.join(P.region_rings(directed, owned, keys, ["label_id"]), [*keys, "label_id"])
+    return sums.join(P.region_rings(directed, owned, keys, ["label_id"]), [*keys, "label_id"]) if with_rings else sums
 
 
-def subtract_earlier(rings: DataFrame, keys: Sequence[str], owner: str = "id") -> DataFrame:
+def subtract_earlier(rings: DataFrame, keys: Sequence[str], owner: str = "id", with_rings: bool = True) -> DataFrame:
     """What is left of each polygon without the earlier ones: (keys, owner, area in px², rings).
 
     Every face of the common edge set belongs to the first polygon over it;
-    the rings are the borders of a polygon's faces together.
+    the rings are the borders of a polygon's faces together; they take as many
+    rounds again as the faces and can be left out.
     """
     keys = list(keys)
     directed = P.planar_faces(P.node_boundaries(rings, keys), keys)
@@ -372,7 +374,7 @@ def subtract_earlier(rings: DataFrame, keys: Sequence[str], owner: str = "id") -
     holes = P.hole_sums(directed, keys, homes)
     net = table.join(holes, [*keys, "face"], "left").fillna(0, ["hole_area"]).withColumn("area", F.col("area") - F.col("hole_area"))
     sums = first.join(net, [*keys, "face"]).groupBy(*keys, owner).agg(F.sum("area").alias("area"))
-    return sums.join(P.region_rings(directed, first, keys, [owner], homes), [*keys, owner])
+    return sums.join(P.region_rings(directed, first, keys, [owner], homes), [*keys, owner]) if with_rings else sums
 
 
 # --- fitting doors to walls -----------------------------------------------------------
